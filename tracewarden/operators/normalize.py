@@ -10,7 +10,7 @@ from tracewarden.functions.text import (
     blank, clean_text, contains_any, content_id, dst_of, forwarded_id, iptables_text, looks_like_ip, or_unknown,
     pfsense_text, syslog_severity, truncate_text,
 )
-from tracewarden.functions.times import ISO_STAMP, after_syslog_ts, instant, iso_ts, syslog_ts
+from tracewarden.functions.times import ISO_STAMP, SYSLOG_STAMP, after_syslog_ts, instant, iso_ts, syslog_ts
 from tracewarden.schema import EVENT_COLUMNS
 
 
@@ -30,14 +30,13 @@ def windows_type(c: Column) -> Column:
 
 def windows_lookup(c: Column) -> Column:
     """(description, severity, technique, tactic) of a known Windows event id, else null."""
-    out = None
+    entries = []
     for number, (text, severity, technique, tactic) in fixed.WINDOWS_EVENTS.items():
-        row = F.struct(
+        entries += [F.lit(number), F.struct(
             F.lit(text).alias("description"), F.lit(severity).alias("severity"),
             F.lit(technique).alias("technique"), F.lit(tactic).alias("tactic"),
-        )
-        out = F.when(c == number, row) if out is None else out.when(c == number, row)
-    return out
+        )]
+    return F.try_element_at(F.create_map(*entries), c)
 
 
 def normalise_windows(df: DataFrame) -> DataFrame:
@@ -113,17 +112,25 @@ def linux_actors(message: Column, process: Column, strict: bool = False) -> tupl
     return actor, F.when(looks_like_ip(origin), origin)
 
 
+def _first_match(text: Column, word_lists) -> Column:
+    """Position (from 1) of the first list with a word in the text, else null."""
+    out = None
+    for i, words in enumerate(word_lists, 1):
+        hit = contains_any(text, words)
+        out = F.when(hit, i) if out is None else out.when(hit, i)
+    return out
+
+
 def linux_lookup(text: Column) -> Column:
     """First matching Linux pattern as a struct, else null."""
-    out = None
-    for words, kind, severity, about, technique, tactic in fixed.LINUX_PATTERNS:
-        row = F.struct(
+    rows = F.array(*[
+        F.struct(
             F.lit(kind).alias("type"), F.lit(severity).alias("severity"), F.lit(about).alias("description"),
             F.lit(technique).alias("technique"), F.lit(tactic).alias("tactic"),
         )
-        hit = contains_any(text, words)
-        out = F.when(hit, row) if out is None else out.when(hit, row)
-    return out
+        for _, kind, severity, about, technique, tactic in fixed.LINUX_PATTERNS
+    ])
+    return F.get(rows, _first_match(text, [p[0] for p in fixed.LINUX_PATTERNS]) - 1)
 
 
 def normalise_linux(df: DataFrame, strict: bool = False) -> DataFrame:
@@ -153,49 +160,48 @@ def normalise_linux(df: DataFrame, strict: bool = False) -> DataFrame:
 # ---- Network syslog ----
 
 PRI = r"^<(\d{1,4})>"
-RFC5424 = r"^1 (\S+) (\S+) (\S+) (\S+) (\S+) (\S+)(?: (.*))?$"
 
 
 def parse_syslog(df: DataFrame, year: int, as_of, col: str = "value") -> DataFrame:
-    """Syslog messages -> facility, pri_severity, timestamp, hostname, app, proc_id, message, format."""
+    """Syslog messages -> facility, pri_severity, timestamp, hostname, app, proc_id, message, format.
+
+    Each step is its own column, so that every pattern runs once per message.
+    """
     df = df.withColumn("_raw", F.regexp_replace(col, r"(?s)^\s+|\s+$", "")).filter("_raw != ''")
-    pri = F.regexp_extract("_raw", PRI, 1).try_cast("int")
-    df = df.withColumn("_pri", pri).withColumn(
-        "_rest", F.when(F.col("_pri").isNull(), F.col("_raw")).otherwise(F.regexp_replace("_raw", PRI, ""))
-    )
+    df = df.withColumn("_pri", F.regexp_extract("_raw", PRI, 1).try_cast("int"))
+    df = df.withColumn("_rest", F.when(F.col("_pri").isNull(), F.col("_raw")).otherwise(F.regexp_replace("_raw", PRI, "")))
     rest = F.col("_rest")
-
-    def new(i: int) -> Column:
-        return F.regexp_extract(rest, "(?s)" + RFC5424, i)
-
-    new_ts = F.when(new(1).rlike(ISO_STAMP), iso_ts(new(1)))
-    old_ts = F.when(~rest.rlike(r"^\d{4}-"), syslog_ts(rest, year))
-    df = df.withColumns({"_new": new_ts, "_old": old_ts})
-    body = F.when(F.col("_old").isNotNull(), F.trim(F.substring(rest, 16, 1 << 30)))
-    host_only = ~body.contains(" ")
-    after_host = F.trim(F.regexp_replace(body, r"^\S* ", ""))
-    tag = F.regexp_extract(after_host, r"(?s)^([^:]*):", 1)
-    tagged = after_host.contains(":")
+    # RFC 5424: seven fields after the version digit; RFC 3164: a 15-character stamp, host, tag, message.
+    fields = F.when(rest.startswith("1 "), F.split(F.substring(rest, 3, 1 << 30), " ", 7))
+    df = df.withColumn("_fields", F.when(F.size(fields) >= 6, fields)).withColumns({
+        "_new": F.when(F.col("_fields")[0].rlike(ISO_STAMP), iso_ts(F.col("_fields")[0])),
+        "_old": F.when(rest.rlike(SYSLOG_STAMP), syslog_ts(rest, year)),
+    })
     is_new, is_old = F.col("_new").isNotNull(), F.col("_old").isNotNull()
+    df = df.withColumn("_body", F.when(is_old & ~is_new, F.split(F.trim(F.substring(rest, 16, 1 << 30)), " ", 2)))
+    body = F.col("_body")
+    df = df.withColumn("_said", F.trim(F.get(body, F.lit(1))))
+    df = df.withColumn("_tag", F.when(F.col("_said").contains(":"), F.substring_index("_said", ":", 1)))
+    said, tag = F.col("_said"), F.col("_tag")
 
-    def dash(c: Column) -> Column:
-        return F.when(c == "-", "").otherwise(c)
+    def field(i: int) -> Column:
+        return F.nullif(F.get("_fields", F.lit(i)), F.lit("-"))
 
+    none = F.lit("")
     return df.withColumns({
         "facility": F.coalesce(F.call_function("div", F.col("_pri"), F.lit(8)).cast("int"), F.lit(0)),
         "pri_severity": F.coalesce(F.col("_pri") % 8, F.lit(0)),
         "timestamp": F.coalesce("_new", "_old", instant(as_of)),
-        "hostname": F.when(is_new, dash(new(2))).when(is_old & host_only, body)
-        .when(is_old, F.regexp_extract(body, r"^(\S*) ", 1)).otherwise("unknown"),
-        "app": F.when(is_new, dash(new(3))).when(is_old & host_only, "")
-        .when(is_old & tagged, F.element_at(F.split(tag, r"\["), 1)).when(is_old, "unknown").otherwise(""),
-        "proc_id": F.when(is_new, dash(new(4))).when(is_old & tagged, F.regexp_extract(tag, r"\[([^\]]*)", 1))
-        .otherwise(""),
-        "message": F.when(is_new, F.trim(new(7))).when(is_old & host_only, body)
-        .when(is_old & tagged, F.trim(F.regexp_replace(after_host, r"(?s)^[^:]*:", "")))
-        .when(is_old, after_host).otherwise(rest),
+        "hostname": F.when(is_new, F.coalesce(field(1), none)).when(is_old, F.get(body, F.lit(0))).otherwise("unknown"),
+        "app": F.when(is_new, F.coalesce(field(2), none)).when(tag.isNotNull(), F.substring_index(tag, "[", 1))
+        .when(said.isNotNull(), "unknown").otherwise(none),
+        "proc_id": F.when(is_new, F.coalesce(field(3), none)).when(tag.isNotNull(), F.regexp_extract(tag, r"\[([^\]]*)", 1))
+        .otherwise(none),
+        "message": F.when(is_new, F.trim(F.coalesce(F.get("_fields", F.lit(6)), none)))
+        .when(tag.isNotNull(), F.trim(F.substring(said, F.length(tag) + 2, F.lit(1 << 30))))
+        .when(said.isNotNull(), said).when(is_old, F.get(body, F.lit(0))).otherwise(rest),
         "format": F.when(is_new, "rfc5424").when(is_old, "rfc3164").otherwise("raw"),
-    }).drop("_raw", "_pri", "_rest", "_new", "_old")
+    }).drop("_raw", "_pri", "_rest", "_fields", "_new", "_old", "_body", "_said", "_tag")
 
 
 def device_type(host: Column, app: Column, message: Column) -> Column:
@@ -214,53 +220,55 @@ def device_type(host: Column, app: Column, message: Column) -> Column:
 
 def cisco_fields(c: Column) -> Column:
     """(description, type, severity) of a Cisco message."""
+    mnemonic = F.regexp_replace(F.trim(F.substring_index(c, ":", 1)), "^%", "")
+    text = F.trim(F.substring(c, F.instr(c, ":") + 1, F.lit(1 << 30)))
+    kinds = F.array(*[F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"))
+                      for _, kind, severity in fixed.CISCO_MNEMONICS])
     parsed = c.contains("%") & c.contains(":")
-    mnemonic = F.regexp_replace(F.trim(F.regexp_extract(c, r"(?s)^([^:]*):", 1)), "^%", "")
-    text = F.trim(F.regexp_replace(c, r"(?s)^[^:]*:", ""))
-    kind, severity = F.when(~parsed, "network"), F.when(~parsed, 5)
-    for words, name, score in fixed.CISCO_MNEMONICS:
-        hit = contains_any(F.upper(mnemonic), words)
-        kind, severity = kind.when(hit, name), severity.when(hit, score)
+    hit = F.get(kinds, _first_match(F.upper(mnemonic), [words for words, _, _ in fixed.CISCO_MNEMONICS]) - 1)
+    hit = F.coalesce(F.when(parsed, hit), F.struct(F.lit("network").alias("type"), F.lit(5).alias("severity")))
     return F.struct(
         F.when(parsed, F.concat(F.lit("["), mnemonic, F.lit("] "), text)).otherwise(c).alias("description"),
-        kind.otherwise("network").alias("type"),
-        severity.otherwise(5).alias("severity"),
+        hit["type"].alias("type"), hit["severity"].alias("severity"),
     )
 
 
 def normalise_network(df: DataFrame) -> DataFrame:
-    """Parsed syslog (parse_syslog, ``device``, optional ``sender`` address) -> events.
+    """Parsed syslog (parse_syslog, ``device``, optional ``sender`` address) -> events, in one pass.
 
-    Windows events forwarded over syslog are normalised as Windows events, whatever transport they came by.
+    Windows events forwarded over syslog become Windows events, whatever transport they came by.
     """
     if "sender" not in df.columns:
         df = df.withColumn("sender", F.lit("unknown"))
     if "device" not in df.columns:
         df = df.withColumn("device", device_type(F.col("hostname"), F.col("app"), F.col("message")))
     named = F.when(F.col("hostname").isin("", "unknown"), F.col("sender")).otherwise(F.col("hostname"))
-    df = df.withColumn("_source", or_unknown(named))
-    message, device = F.col("message"), F.col("device")
-    cisco = F.when(device == "cisco", cisco_fields(message))
-    network = df.filter(device != "windows-forwarded").withColumn("_cisco", cisco).select(
-        content_id(F.col("_source"), F.col("timestamp"), F.col("app"), message).alias("event_id"),
+    message, device, source = F.col("message"), F.col("device"), F.col("_source")
+    pfsense, iptables, forwarded = (device == d for d in ("pfsense", "iptables", "windows-forwarded"))
+    df = df.withColumns({
+        "_source": or_unknown(named),
+        "_cisco": F.when(device == "cisco", cisco_fields(message)),
+        "_number": F.when(forwarded, forwarded_id(message)).otherwise(0),
+    })
+    number, known = F.col("_number"), F.col("_known")
+    out = df.withColumn("_known", F.when(forwarded, windows_lookup(number))).select(
+        content_id(source, F.col("timestamp"), F.col("app"), message).alias("event_id"),
         "timestamp",
-        F.lit("network").alias("platform"),
-        F.col("_source").alias("source"),
-        F.col("_source").alias("actor"),
-        dst_of(message).alias("target"),
-        F.coalesce(F.col("_cisco.type"), F.lit("network")).alias("event_type"),
-        F.coalesce(F.col("_cisco.severity"), syslog_severity(F.col("pri_severity"))).alias("severity"),
-        F.lit(0).alias("raw_event_id"),
-        F.when(device == "pfsense", pfsense_text(message)).when(device == "iptables", iptables_text(message))
+        F.when(forwarded, "windows").otherwise("network").alias("platform"),
+        source.alias("source"),
+        F.when(forwarded, "unknown").otherwise(source).alias("actor"),
+        F.when(forwarded, clean_text(source)).otherwise(dst_of(message)).alias("target"),
+        F.when(forwarded, windows_type(number)).otherwise(F.coalesce(F.col("_cisco.type"), F.lit("network"))).alias("event_type"),
+        F.when(forwarded, F.coalesce(known["severity"], F.lit(2)))
+        .otherwise(F.coalesce(F.col("_cisco.severity"), syslog_severity(F.col("pri_severity")))).alias("severity"),
+        number.alias("raw_event_id"),
+        F.when(forwarded, F.coalesce(known["description"], F.concat(F.lit("Windows Event ID "), number)))
+        .when(pfsense, pfsense_text(message)).when(iptables, iptables_text(message))
         .otherwise(truncate_text(F.coalesce(F.col("_cisco.description"), message), 160)).alias("description"),
-        F.when(device == "pfsense", "T1562").when(device == "iptables", "T1046").otherwise("").alias("mitre_technique"),
-        F.when(device == "pfsense", "defense-evasion").when(device == "iptables", "discovery").otherwise("")
+        F.when(pfsense, "T1562").when(iptables, "T1046").otherwise(F.coalesce(known["technique"], F.lit("")))
+        .alias("mitre_technique"),
+        F.when(pfsense, "defense-evasion").when(iptables, "discovery").otherwise(F.coalesce(known["tactic"], F.lit("")))
         .alias("mitre_tactic"),
         message.alias("raw_payload"),
     )
-    forwarded = df.filter(device == "windows-forwarded").select(
-        forwarded_id(message).alias("raw_event_id"), "timestamp", F.col("_source").alias("computer"),
-        F.lit("").alias("subject_user"), F.lit("").alias("target_user"), F.lit("").alias("ip_address"),
-        F.lit("").alias("process_name"), F.lit("").alias("service_name"), message.alias("raw_payload"),
-    )
-    return _events(network).unionByName(normalise_windows(forwarded))
+    return _events(out)

@@ -28,7 +28,6 @@ STAGE = {
     "privilege_escalation_chain": 20_004, "persistence_after_auth": 20_005, "audit_log_cleared": 20_006,
     "after_hours_auth": 20_007, "new_source_auth": 20_008, "entity_lateral": 30_000,
 }
-NO_TEXT = F.lit(None).cast("string")
 
 
 def traced(events: DataFrame) -> DataFrame:
@@ -74,7 +73,7 @@ def alert_struct(
         F.lit(STAGE[name]).alias("stage"), F.lit(alert_type or name).alias("alert_type"), severity.alias("severity"),
         score[severity].alias("severity_score"), title.alias("title"), description.alias("description"),
         F.col("actor"), F.col("target"), F.col("source").alias("source_host"), F.col("timestamp"), F.col("event_id"),
-        NO_TEXT.alias("sigma_rule_id"), technique.alias("mitre_technique"), tactic.alias("mitre_tactic"),
+        F.lit(None).cast("string").alias("sigma_rule_id"), technique.alias("mitre_technique"), tactic.alias("mitre_tactic"),
         meta.alias("metadata"), proof_.alias("proof"),
     )
 

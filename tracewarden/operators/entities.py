@@ -311,9 +311,11 @@ def top_risk(snapshot: DataFrame, n: int = 20, type: str | None = None) -> DataF
 
 def entity_stats(snapshot: DataFrame) -> DataFrame:
     """Counts by measure: total, stale, per type and per risk label."""
+    def one(measure: str, name, n) -> Column:
+        return F.struct(F.lit(measure).alias("measure"), name.alias("name"), n.alias("n"))
+
+    none, single = F.lit(""), F.lit(1)
     return snapshot.select(F.explode(F.array(
-        F.struct(F.lit("total").alias("measure"), F.lit("").alias("name"), F.lit(1).alias("one")),
-        F.struct(F.lit("type"), F.col("entity_type"), F.lit(1)),
-        F.struct(F.lit("risk_label"), F.col("risk_label"), F.lit(1)),
-        F.struct(F.lit("stale"), F.lit(""), F.col("is_stale").cast("int")),
-    )).alias("m")).groupBy("m.measure", "m.name").agg(F.sum("m.one").alias("count"))
+        one("total", none, single), one("type", F.col("entity_type"), single),
+        one("risk_label", F.col("risk_label"), single), one("stale", none, F.col("is_stale").cast("int")),
+    )).alias("m")).groupBy("m.measure", "m.name").agg(F.sum("m.n").alias("count"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,10 @@ from tracewarden.functions.times import ISO_STAMP, SYSLOG_STAMP, after_syslog_ts
 from tracewarden.schema import EVENT_COLUMNS
 
 
-def _events(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(c).cast("int") if c in ("severity", "raw_event_id") else F.col(c) for c in EVENT_COLUMNS])
+def _events(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Event columns in order, then any columns of the source worth keeping (file, offset, ...)."""
+    ints = ("severity", "raw_event_id")
+    return df.select(*[F.col(c).cast("int") if c in ints else F.col(c) for c in EVENT_COLUMNS], *keep)
 
 
 # ---- Windows ----
@@ -39,7 +43,7 @@ def windows_lookup(c: Column) -> Column:
     return F.try_element_at(F.create_map(*entries), c)
 
 
-def normalise_windows(df: DataFrame) -> DataFrame:
+def normalise_windows(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Windows records (schema.WINDOWS_RAW) -> events."""
     known = F.col("_known")
     user = F.when(
@@ -66,9 +70,9 @@ def normalise_windows(df: DataFrame) -> DataFrame:
         .alias("description"),
         F.coalesce(known["technique"], F.lit("")).alias("mitre_technique"),
         F.coalesce(known["tactic"], F.lit("")).alias("mitre_tactic"),
-        F.coalesce("raw_payload", F.lit("")).alias("raw_payload"),
+        F.coalesce("raw_payload", F.lit("")).alias("raw_payload"), *keep,
     )
-    return _events(out)
+    return _events(out, keep)
 
 
 # ---- Linux ----
@@ -133,7 +137,7 @@ def linux_lookup(text: Column) -> Column:
     return F.get(rows, _first_match(text, [p[0] for p in fixed.LINUX_PATTERNS]) - 1)
 
 
-def normalise_linux(df: DataFrame, strict: bool = False) -> DataFrame:
+def normalise_linux(df: DataFrame, strict: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """Parsed Linux lines (hostname, process, message, timestamp) -> events."""
     message, process = F.col("message"), F.col("process")
     searched = F.lower(message if strict else F.concat(process, F.lit(": "), message))
@@ -152,9 +156,9 @@ def normalise_linux(df: DataFrame, strict: bool = False) -> DataFrame:
         F.coalesce(hit["description"], F.concat(process, F.lit(": "), truncate_text(message, 120))).alias("description"),
         F.coalesce(hit["technique"], F.lit("")).alias("mitre_technique"),
         F.coalesce(hit["tactic"], F.lit("")).alias("mitre_tactic"),
-        message.alias("raw_payload"),
+        message.alias("raw_payload"), *keep,
     )
-    return _events(out)
+    return _events(out, keep)
 
 
 # ---- Network syslog ----
@@ -233,7 +237,7 @@ def cisco_fields(c: Column) -> Column:
     )
 
 
-def normalise_network(df: DataFrame) -> DataFrame:
+def normalise_network(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Parsed syslog (parse_syslog, ``device``, optional ``sender`` address) -> events, in one pass.
 
     Windows events forwarded over syslog become Windows events, whatever transport they came by.
@@ -269,6 +273,6 @@ def normalise_network(df: DataFrame) -> DataFrame:
         .alias("mitre_technique"),
         F.when(pfsense, "defense-evasion").when(iptables, "discovery").otherwise(F.coalesce(known["tactic"], F.lit("")))
         .alias("mitre_tactic"),
-        message.alias("raw_payload"),
+        message.alias("raw_payload"), *keep,
     )
-    return _events(out)
+    return _events(out, keep)

@@ -100,11 +100,9 @@ def dashboard(events: DataFrame, as_of, top: int = 10) -> DataFrame:
             top_by(events, field, top).withColumnRenamed("event_count", "count"), f"top_{field}", F.col(field))
 
     whole = cube.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("all"), F.coalesce(F.sum("recent"), F.lit(0)).alias("recent"))
-    sums = whole.select(F.explode(F.array(
-        F.struct(F.lit("total_events").alias("measure"), F.lit("").alias("name"), F.col("all").alias("count")),
-        F.struct(F.lit("events_last_hour"), F.lit(""), F.col("recent")),
-    )).alias("m")).select("m.*")
-    out = sums
+    sums = whole.select(F.explode(F.create_map(
+        F.lit("total_events"), "all", F.lit("events_last_hour"), "recent")).alias("measure", "count"))
+    out = sums.select("measure", F.lit("").alias("name"), "count")
     for part in (over("platform"), over("event_type"), over("level"), busiest("source"), busiest("actor")):
         out = out.unionByName(part)
     return out

@@ -12,22 +12,29 @@ from tracewarden.operators.sigma import RulePack, sigma_match
 from tracewarden.session import reliable
 
 
-def candidates(events: DataFrame, pack: RulePack | None = None, window_s: int = 600, hosts: int = 3,
-               hot_rows: int = HOT_ROWS, **thresholds) -> DataFrame:
-    """Candidate alerts of all detectors, in the order in which one event is examined (column ``stage``)."""
+def candidates(
+    events: DataFrame, pack: RulePack | None = None, window_s: int = 600, hosts: int = 3, entity: dict | None = None,
+    hot_rows: int = HOT_ROWS, **rules,
+) -> DataFrame:
+    """Candidate alerts of all detectors, in the order in which one event is examined (column ``stage``).
+
+    ``entity`` holds arguments of entities.deviations, ``rules`` those of correlate.correlate.
+    """
     pack = RulePack.builtin() if pack is None else pack
     return (
-        e.deviations(events, hot_rows=hot_rows)
+        e.deviations(events, hot_rows=hot_rows, **(entity or {}))
         .unionByName(sigma_match(events, pack))
-        .unionByName(c.correlate(events, window_s, hosts=hosts, hot_rows=hot_rows, **thresholds))
+        .unionByName(c.correlate(events, window_s, hosts=hosts, hot_rows=hot_rows, **rules))
         .unionByName(e.entity_lateral(events, window_s, hosts, hot_rows=hot_rows))
     )
 
 
-def detect(events: DataFrame, pack: RulePack | None = None, window_s: int = 600, cooldown_s: int = 300, hosts: int = 3,
-           hot_rows: int = HOT_ROWS, **thresholds) -> DataFrame:
+def detect(
+    events: DataFrame, pack: RulePack | None = None, window_s: int = 600, cooldown_s: int = 300, hosts: int = 3,
+    entity: dict | None = None, hot_rows: int = HOT_ROWS, **rules,
+) -> DataFrame:
     """Final alerts. Candidates and survivors are checkpointed: both feed several later steps."""
-    found = reliable(candidates(events, pack, window_s, hosts, hot_rows, **thresholds))
+    found = reliable(candidates(events, pack, window_s, hosts, entity, hot_rows, **rules))
     kept = reliable(c.cooldown(found, cooldown_s, hot_rows))
     return c.finalise(kept, events, window_s, hot_rows)
 

@@ -585,9 +585,9 @@ def _(ev):
     return search.alert_feed(_state(ev), "2024-01-30 00:00:00").select(*_ALERT)
 
 
-@events_query("alert_by_id", with_ctes(f"SELECT {_ALERT_SQL} FROM alerts WHERE event_id = '1'", "alerts"))
+@events_query("alert_by_id", with_ctes(f"SELECT {_ALERT_SQL} FROM alerts WHERE event_id = '7'", "alerts"))
 def _(ev):
-    return search.by_id(_alerts(ev), "event_id", "1").select(*_ALERT)
+    return search.by_id(_alerts(ev), "event_id", "7").select(*_ALERT)
 
 
 @events_query("entity_alerts", with_ctes(

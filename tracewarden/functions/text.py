@@ -15,6 +15,11 @@ def blank(c: Column) -> Column:
     return c.isNull() | (c == "")
 
 
+def strip(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.trim(c, F.lit(" \t\r\n\f\v"))
+
+
 def or_unknown(c: Column) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), F.lit("unknown"))
 
@@ -30,7 +35,7 @@ def truncate_text(c: Column, n: int) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Trim, map empty markers to 'unknown', drop control characters, truncate to 128."""
-    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    t = strip(F.coalesce(c, F.lit("")))
     body = truncate_text(F.regexp_replace(t, r"[\x00-\x1f\x7f]", ""), 128)
     return F.when(t.isin("", "-", "N/A"), F.lit("unknown")).otherwise(body)
 

@@ -40,13 +40,9 @@ ISO_STAMP = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,9})?(?:Z|[+-]\d{2}:
 
 def syslog_ts(line: Column, year: int) -> Column:
     """Timestamp at the start of a syslog line, null when there is none; ``year`` completes RFC 3164 stamps."""
-    short = F.concat_ws(
-        " ",
-        F.lit(str(year)),
-        F.regexp_extract(line, SYSLOG_STAMP, 1),
-        F.lpad(F.trim(F.regexp_extract(line, SYSLOG_STAMP, 2)), 2, "0"),
-        F.regexp_extract(line, SYSLOG_STAMP, 3),
-    )
+    # The stamp has fixed columns: month 1-3, day 5-6 (padded with a blank or a zero), clock 8-15.
+    day = F.lpad(F.trim(F.substring(line, 5, 2)), 2, "0")
+    short = F.concat_ws(" ", F.lit(str(year)), F.substring(line, 1, 3), day, F.substring(line, 8, 8))
     return F.coalesce(
         F.when(line.rlike(SYSLOG_STAMP), F.try_to_timestamp(short, F.lit("yyyy MMM dd HH:mm:ss"))),
         iso_ts(F.nullif(F.regexp_extract(line, ISO_STAMP, 1), F.lit(""))),
@@ -55,7 +51,7 @@ def syslog_ts(line: Column, year: int) -> Column:
 
 def after_syslog_ts(line: Column) -> Column:
     """The line without its leading timestamp."""
-    return F.trim(F.regexp_replace(F.regexp_replace(line, SYSLOG_STAMP, ""), ISO_STAMP, ""))
+    return F.trim(F.regexp_replace(line, f"{SYSLOG_STAMP}|{ISO_STAMP}", ""))
 
 
 def micros(c: Column) -> Column:

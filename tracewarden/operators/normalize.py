@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewarden.functions import fixed
 from tracewarden.functions.text import (
     blank, clean_text, contains_any, content_id, dst_of, forwarded_id, iptables_text, looks_like_ip, or_unknown,
-    pfsense_text, syslog_severity, truncate_text,
+    pfsense_text, strip, syslog_severity, truncate_text,
 )
 from tracewarden.functions.times import ISO_STAMP, SYSLOG_STAMP, after_syslog_ts, instant, iso_ts, syslog_ts
 from tracewarden.schema import EVENT_COLUMNS
@@ -85,7 +85,7 @@ def parse_linux_lines(df: DataFrame, year: int, as_of, col: str = "value") -> Da
     """Log lines -> (timestamp, process, pid, message) beside the other columns; blank lines are dropped."""
     line = F.col("_line")
     stamp = syslog_ts(line, year)
-    df = df.withColumn("_line", F.trim(F.regexp_replace(col, r"^\s+|\s+$", ""))).filter("_line != ''")
+    df = df.withColumn("_line", strip(F.col(col))).filter("_line != ''")
     df = df.withColumn("_ts", stamp).withColumn(
         "_words",
         F.filter(F.split(F.when(F.col("_ts").isNull(), line).otherwise(after_syslog_ts(line)), r"\s+"), lambda w: w != ""),
@@ -171,7 +171,7 @@ def parse_syslog(df: DataFrame, year: int, as_of, col: str = "value") -> DataFra
 
     Each step is its own column, so that every pattern runs once per message.
     """
-    df = df.withColumn("_raw", F.regexp_replace(col, r"(?s)^\s+|\s+$", "")).filter("_raw != ''")
+    df = df.withColumn("_raw", strip(F.col(col))).filter("_raw != ''")
     df = df.withColumn("_pri", F.regexp_extract("_raw", PRI, 1).try_cast("int"))
     df = df.withColumn("_rest", F.when(F.col("_pri").isNull(), F.col("_raw")).otherwise(F.regexp_replace("_raw", PRI, "")))
     rest = F.col("_rest")

@@ -37,38 +37,44 @@ def validate(df: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def _fix(df: DataFrame, as_of) -> DataFrame:
-    """Repair what can be repaired; a sub-object that is not an object takes its defaults."""
-    is_object = {name: F.coalesce(F.trim(name).startswith("{"), F.lit(False)) for name in ("entity", "event", "mitre")}
+_PARTS = {
+    "entity": "actor string, target string",
+    "event": "type string, severity string, raw_event_id string, description string",
+    "mitre": "technique_id string, tactic_name string",
+}
 
-    def part(obj: str, key: str, default: str) -> Column:
-        return F.when(
-            is_object[obj], F.coalesce(F.get_json_object(obj, f"$.{key}"), F.lit(default))
-        ).otherwise(F.lit(default))
 
+def _fix(df: DataFrame, as_of) -> DataFrame:
+    """Repair what can be repaired; a sub-object that is not an object takes its defaults."""
+    # Each sub-object is read once. A severity in quotes must be an integer; a bare number may have a fraction, which
+    # is cut.
+    quoted = F.coalesce(F.col("event").rlike(r'"severity"\s*:\s*"'), F.lit(False)).alias("_quoted")
+    df = df.select("*", quoted, *[
+        F.when(F.trim(name).startswith("{"), F.from_json(name, fields)).alias(f"_{name}") for name, fields in _PARTS.items()
+    ])
+
+    def part(name: str, default: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(default))
+
+    sev = F.col("_event.severity")
+    number = F.when(F.col("_quoted"), F.trim(sev).try_cast("int")).otherwise(sev.try_cast("double").cast("int"))
+    has_event = F.col("_event").isNotNull()
     platform = F.lower("platform")
-    sev = F.get_json_object("event", "$.severity")
-    # Text must be an integer; a JSON number may have a fraction, which is cut.
-    quoted = F.col("event").rlike(r'"severity"\s*:\s*"')
-    number = F.when(quoted, F.trim(sev).try_cast("int")).otherwise(sev.try_cast("double").cast("int"))
     return df.select(
         "event_id",
         F.coalesce(iso_ts(F.col("timestamp")), instant(as_of)).alias("timestamp"),
         F.when(platform.isin(fixed.PLATFORMS), platform).otherwise("unknown").alias("platform"),
         "source",
-        F.struct(part("entity", "actor", "unknown").alias("actor"), part("entity", "target", "unknown").alias("target"))
+        F.struct(part("_entity.actor", "unknown").alias("actor"), part("_entity.target", "unknown").alias("target"))
         .alias("entity"),
         F.struct(
-            F.when(is_object["event"], F.coalesce(F.get_json_object("event", "$.type"), F.lit("system")))
-            .otherwise("unknown").alias("type"),
-            F.when(is_object["event"], F.greatest(F.lit(0), F.least(F.lit(10), F.coalesce(number, F.lit(1)))))
-            .otherwise(1).alias("severity"),
-            F.coalesce(part("event", "raw_event_id", "0").try_cast("int"), F.lit(0)).alias("raw_event_id"),
-            part("event", "description", "").alias("description"),
+            F.when(has_event, part("_event.type", "system")).otherwise("unknown").alias("type"),
+            F.greatest(F.lit(0), F.least(F.lit(10), F.coalesce(number, F.lit(1)))).alias("severity"),
+            F.coalesce(F.col("_event.raw_event_id").try_cast("int"), F.lit(0)).alias("raw_event_id"),
+            part("_event.description", "").alias("description"),
         ).alias("event"),
-        F.struct(
-            part("mitre", "technique_id", "").alias("technique_id"), part("mitre", "tactic_name", "").alias("tactic_name")
-        ).alias("mitre"),
+        F.struct(part("_mitre.technique_id", "").alias("technique_id"), part("_mitre.tactic_name", "").alias("tactic_name"))
+        .alias("mitre"),
         F.coalesce("raw_payload", F.lit("")).alias("raw_payload"),
     )
 

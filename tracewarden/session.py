@@ -11,20 +11,29 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Settings the engine relies on, safe to apply to any session.
+
+    The JVM never compiles methods above 8000 bytes of bytecode, so wider stages run faster as separate operators.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
+
+
 def local_session(app: str = "tracewarden", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return tune(spark)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -112,7 +112,8 @@ def read_evtx(spark: SparkSession, path: str, as_of, stream: bool = False, max_f
     reader = spark.readStream if stream else spark.read
     if stream and max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    files = reader.format("binaryFile").option("pathGlobFilter", "*.[eE][vV][tT][xX]").load(path)
+    listing = "path string, modificationTime timestamp, length long, content binary"
+    files = reader.format("binaryFile").schema(listing).option("pathGlobFilter", "*.[eE][vV][tT][xX]").load(path)
     step = CHUNK_SIZE * CHUNKS_PER_TASK_ROW
     # Only path and length are read here; the content column is pruned.
     ranges = files.filter(F.col("length") > FILE_HEADER).select(

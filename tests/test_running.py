@@ -55,7 +55,7 @@ def test_recent_presence_brute_force(spark):
     rows, df = skewed(spark, 300)
     window, last = 200, 7
     for hot in (30, 4_000_000):
-        counted, _ = recent_presence(df, "actor", "source", window, last, hot_rows=hot)
+        counted = recent_presence(df, "actor", "source", window, last, hot_rows=hot)
         got = {r["event_id"]: r["n_hosts"] for r in counted.collect()}
         for actor, _, us, i in rows:
             own = sorted(((r[2], r[3], r[1]) for r in rows if r[0] == actor and (r[2], r[3]) <= (us, i)))[-last:]

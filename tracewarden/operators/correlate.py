@@ -173,9 +173,9 @@ def _new_source_auth(history: int):
 
 def actor_windows(trace: DataFrame, window_s: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every count the per-actor rules need, in two scans: per (actor, source), then per actor."""
-    rows, edges = presence(trace, "actor", "source", window_s, F.col("auth"), hot_rows)
+    rows = presence(trace, "actor", "source", window_s, F.col("auth"), hot_rows)
     counts = {"fail": F.col("fail"), "logon": F.col("logon"), "auth": F.col("auth"), "all": F.lit(True)}
-    return sliding_counts(rows, ["actor"], counts, window_s, edges=edges, hot_rows=hot_rows)
+    return sliding_counts(rows, ["actor"], counts, window_s, hot_rows=hot_rows)
 
 
 def host_windows(trace: DataFrame, window_s: int, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -201,8 +201,8 @@ def credential_stuffing(
 
 
 def lateral_movement(events: DataFrame, window_s: int = 600, hosts: int = 3, hot_rows: int = HOT_ROWS) -> DataFrame:
-    rows, edges = presence(traced(events).filter("auth"), "actor", "source", window_s, F.col("auth"), hot_rows)
-    rows = sliding_counts(rows, ["actor"], {"auth": F.col("auth")}, window_s, edges=edges, hot_rows=hot_rows)
+    rows = presence(traced(events).filter("auth"), "actor", "source", window_s, F.col("auth"), hot_rows)
+    rows = sliding_counts(rows, ["actor"], {"auth": F.col("auth")}, window_s, hot_rows=hot_rows)
     return emit(rows, _lateral_movement(hosts))
 
 
@@ -365,6 +365,23 @@ def alert_hosts(alerts: DataFrame, stays: DataFrame, window_s: int) -> DataFrame
     )
 
 
+def recent_hosts(
+    alerts: DataFrame, events: DataFrame, window_s: int, last: int = 100, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """(alert_id, host) of entity lateral alerts: hosts among the ``last`` events of the actor that lie in the window.
+
+    The alert's own event gives its number; the events are fetched by number, at most ``last`` per alert.
+    """
+    rows = events.filter("actor != 'unknown'").select("actor", "source", "event_id", micros(F.col("timestamp")).alias("_us"))
+    rows = running_totals(rows, ["actor"], ["_us", "event_id"], {"_number": F.lit(1)}, hot_rows=hot_rows)
+    at = alerts.select("alert_id", "actor", "event_id", micros(F.col("timestamp")).alias("_us"))
+    at = at.join(rows.select("actor", "event_id", "_us", "_number"), ["actor", "event_id", "_us"])
+    first = F.greatest(F.lit(1).cast("long"), F.col("_number") - last + 1)
+    wanted = at.select("alert_id", "actor", F.col("_us").alias("_at"), F.explode(F.sequence(first, "_number")).alias("_number"))
+    met = wanted.join(rows.select("actor", "source", "_us", "_number"), ["actor", "_number"])
+    return met.filter(F.col("_us") >= F.col("_at") - window_s * SECOND).select("alert_id", F.col("source").alias("host")).distinct()
+
+
 def known_sources(alerts: DataFrame, events: DataFrame, window_s: int, keep: int = 10) -> DataFrame:
     """(alert_id, known_sources): up to ``keep`` other sources of the actor in the window of a new-source alert.
 
@@ -399,16 +416,15 @@ def alert_key(*cols: str) -> Column:
 
 def finalise(alerts: DataFrame, events: DataFrame, window_s: int = 600, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Give each surviving alert its id, status, evidence and complete texts."""
-    from tracewarden.operators.entities import lateral_stays
-
     alerts = alerts.withColumn("alert_id", alert_key("alert_type", "actor", "source_host", "event_id"))
     trace = traced(events)
     proofs = alert_evidence(alerts, events, hot_rows)
     lateral = alerts.filter("stage = %d" % STAGE["lateral_movement"])
-    _, edges = presence(trace.filter("auth"), "actor", "source", window_s, F.col("auth"), hot_rows)
-    hosts = alert_hosts(lateral, spans(edges, "actor", "source"), window_s)
+    rows = presence(trace.filter("auth").select("actor", "source", "_us", "event_id", "auth"), "actor", "source", window_s,
+                    F.col("auth"), hot_rows)
+    hosts = alert_hosts(lateral, spans(rows, "actor", "source"), window_s)
     recent = alerts.filter("stage = %d" % STAGE["entity_lateral"])
-    hosts = hosts.unionByName(lateral_stays(recent, events, window_s, hot_rows=hot_rows))
+    hosts = hosts.unionByName(recent_hosts(recent, events, window_s, hot_rows=hot_rows))
     hosts = hosts.groupBy("alert_id").agg(F.array_sort(F.collect_set("host")).alias("distinct_hosts"))
     known = known_sources(alerts.filter("stage = %d" % STAGE["new_source_auth"]), events, window_s)
 

@@ -10,8 +10,9 @@ from tracewarden.functions.text import entity_type, risk_label
 from tracewarden.functions.times import instant, micros
 from tracewarden.operators.correlate import CANDIDATE, alert_struct, emit, metadata, proof
 from tracewarden.operators.running import HOT_ROWS, running_totals
-from tracewarden.operators.sliding import POSITION, SECOND, recent_presence
+from tracewarden.operators.sliding import SECOND, recent_presence
 from tracewarden.operators.spacing import greedy_spacing
+from tracewarden.session import reliable
 
 DAY = 86_400 * SECOND
 SEVERITY = {
@@ -90,14 +91,14 @@ def success_after_failures(seen: DataFrame, threshold: int = 5, hot_rows: int =
     ``seen`` is observations(). Only the first success at each failure count can end a run, so the candidates are
     spaced on the failure count itself.
     """
-    successes = seen.filter("branch = 'auth_success'").filter(F.col("failures") >= threshold)
+    successes = seen.filter(F.col("branch") == "auth_success").filter(F.col("failures") >= threshold)
     rest = ["event_id", "timestamp", "source", "target", "event_type", "severity", "description", "_us"]
-    first = successes.groupBy("actor", "failures").agg(
+    first = reliable(successes.groupBy("actor", "failures").agg(
         F.min_by(F.struct(*rest), F.struct("_us", "event_id")).alias("_e")
-    )
-    kept = greedy_spacing(successes, ["actor"], "failures", threshold, initial=0, hot_rows=hot_rows)
-    runs = Window.partitionBy("actor").orderBy("failures")
-    kept = kept.withColumn("run", F.col("failures") - F.coalesce(F.lag("failures").over(runs), F.lit(0)))
+    ))
+    kept = greedy_spacing(first, ["actor"], "failures", threshold, initial=0, hot_rows=hot_rows)
+    kept = running_totals(kept, ["actor"], ["failures"], peaks={"_reset": F.col("failures")}, before=True, hot_rows=hot_rows)
+    kept = kept.select("actor", "failures", (F.col("failures") - F.coalesce("_reset_before", F.lit(0))).alias("run"))
     return first.join(kept, ["actor", "failures"]).select("actor", "failures", "run", "_e.*")
 
 
@@ -113,7 +114,7 @@ def deviations(
     events: DataFrame, failure_threshold: int = 5, hot_rows: int = HOT_ROWS, seen: DataFrame | None = None, **hours
 ) -> DataFrame:
     """Candidate alerts for every deviation of an actor from its own history."""
-    seen = observations(events, hot_rows=hot_rows, **hours) if seen is None else seen
+    seen = reliable(observations(events, hot_rows=hot_rows, **hours)) if seen is None else seen
     texts = {
         "new_host_access": F.format_string("First seen on %s", "source"),
         "audit_log_cleared": F.lit("Security audit log was cleared"),
@@ -138,7 +139,7 @@ def entity_lateral(
     used = events.filter("actor != 'unknown'")
     rows = used.select("event_id", "timestamp", "actor", "source", "target", "mitre_technique", "mitre_tactic",
                        micros(F.col("timestamp")).alias("_us"))
-    counted, _ = recent_presence(rows, "actor", "source", window_s, last, hot_rows)
+    counted = recent_presence(rows, "actor", "source", window_s, last, hot_rows)
     busy = counted.filter(F.col("n_hosts") >= hosts).select("actor", "event_id", "_us", "n_hosts")
     rows = rows.join(busy, ["actor", "event_id", "_us"])
     text = F.format_string(f"%s authenticated to %s distinct hosts within {window_s // 60} minutes: {{hosts}}",
@@ -149,30 +150,6 @@ def entity_lateral(
     )))
 
 
-def lateral_stays(
-    alerts: DataFrame, events: DataFrame, window_s: int = 600, last: int = 100, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """(alert_id, host) of entity lateral alerts: the hosts counted at the alerting event."""
-    rows = events.filter("actor != 'unknown'").select("event_id", "actor", "source", micros(F.col("timestamp")).alias("_us"))
-    _, edges = recent_presence(rows, "actor", "source", window_s, last, hot_rows)
-    w = Window.partitionBy("actor", "source").orderBy(*POSITION)
-    place = F.struct(*POSITION)
-    stays = edges.withColumn("_end", F.lead(place).over(w)).filter("_edge = 1").select(
-        "actor", "source", place.alias("_start"), "_end"
-    )
-    width = F.lit(window_s * SECOND)
-    slices = F.sequence(F.call_function("div", F.col("_start._us"), width), F.call_function("div", F.col("_end._us"), width))
-    stays = stays.withColumn("_slice", F.explode(slices))
-    at = alerts.select(
-        "alert_id", "actor",
-        F.struct(micros(F.col("timestamp")).alias("_us"), F.col("event_id").alias("_id"), F.lit(2).alias("_kind"),
-                 F.col("event_id").alias("_tie")).alias("_at"),
-    ).withColumn("_slice", F.call_function("div", F.col("_at._us"), width))
-    return at.join(stays, ["actor", "_slice"]).filter("_start <= _at AND _at < _end").select(
-        "alert_id", F.col("source").alias("host")
-    ).distinct()
-
-
 def risk_added(
     events: DataFrame, window_s: int = 600, hosts: int = 3, hot_rows: int = HOT_ROWS, seen: DataFrame | None = None, **hours
 ) -> DataFrame:
@@ -180,7 +157,7 @@ def risk_added(
     seen = observations(events, hot_rows=hot_rows, **hours) if seen is None else seen
     base = seen.select("actor", "event_id", "_us", "timestamp", "risk_added")
     rows = events.filter("actor != 'unknown'").select("event_id", "actor", "source", micros(F.col("timestamp")).alias("_us"))
-    counted, _ = recent_presence(rows, "actor", "source", window_s, 100, hot_rows)
+    counted = recent_presence(rows, "actor", "source", window_s, 100, hot_rows)
     moved = counted.filter(F.col("n_hosts") >= hosts).select(
         "actor", "event_id", "_us", F.lit(fixed.RISK["lateral_movement"]).alias("_more"))
     return base.join(moved, ["actor", "event_id", "_us"], "left").withColumn(
@@ -206,8 +183,8 @@ def entity_snapshot(
     Sets stay small by construction (hours, types, flags); hosts are cut to ``shown_hosts`` names before they are
     gathered, next to their exact number.
     """
-    seen = observations(events, hot_rows=hot_rows, **hours)
-    risk = risk_added(events, window_s, hosts, hot_rows, seen=seen)
+    seen = reliable(observations(events, hot_rows=hot_rows, **hours))  # read six times below
+    risk = reliable(risk_added(events, window_s, hosts, hot_rows, seen=seen))
     lateral = F.col("risk_added") >= fixed.RISK["lateral_movement"]
     totals = risk.groupBy("actor").agg(
         F.round(F.least(F.lit(fixed.RISK_CEILING), F.sum("risk_added")), 2).alias("risk_score"),
@@ -276,7 +253,7 @@ def entity_timeline(
     seen: DataFrame | None = None, **hours
 ) -> DataFrame:
     """The significant events of every entity: severe enough, or deviating."""
-    seen = observations(events, hot_rows=hot_rows, **hours) if seen is None else seen
+    seen = reliable(observations(events, hot_rows=hot_rows, **hours)) if seen is None else seen
     columns = ["actor", "timestamp", "event_id", "event_type", "target", "source", "severity", "description"]
     loud = (F.col("severity") >= min_severity) | (F.size("flags") > 0)
     runs = success_after_failures(seen.filter(F.col("branch").isin("auth_success", "auth_failure")), failure_threshold, hot_rows)

@@ -1,7 +1,8 @@
 """Exact event-time sliding windows [t - W, t] as running totals.
 
 A row adds its value when it happens and takes it back one microsecond after its window ends, so a sliding count is
-one linear running total: no frame is rescanned, and hot keys split like any other running total.
+one linear running total: no frame is rescanned, and hot keys split like any other running total. The second half of
+each row is made by an explode, so the input is read once.
 """
 
 from __future__ import annotations
@@ -16,68 +17,79 @@ from tracewarden.operators.running import HOT_ROWS, hot_keys, running_totals
 SECOND = 1_000_000
 
 
-def _stack(*parts: DataFrame) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
+def _moves(df: DataFrame, keys: Sequence[str], flags: Mapping[str, Column], window_s: int) -> DataFrame:
+    """Every row twice where a flag is set: as it happens (``_live``) and as it leaves. Leaving rows carry no payload.
+
+    Rows that are edges already (see presence) pass through once.
+    """
+    edge = "_edge" in df.columns
+    payload = [c for c in df.columns if c not in (*keys, "_us", "_edge")]
+    ready = df.withColumns({n: F.when(c, 1).otherwise(0) for n, c in flags.items()})
+    alive = F.col("_edge").isNull() if edge else F.lit(True)
+    here = F.struct(alive.alias("_live"), F.col("_us"), *[F.when(alive, F.col(n)).otherwise(0).alias(n) for n in flags])
+    gone = F.struct(
+        F.lit(False).alias("_live"), (F.col("_us") + window_s * SECOND + 1).alias("_us"), *[(-F.col(n)).alias(n) for n in flags]
+    )
+    counted = alive & (sum((F.col(n) for n in flags), F.lit(0)) > 0)
+    both = ready.withColumn("_m", F.explode(F.when(counted, F.array(here, gone)).otherwise(F.array(here))))
+    out = [F.when(F.col("_m._live"), F.col(c)).alias(c) for c in payload]
+    if edge:
+        out.append(F.when(~alive, F.col("_edge")).otherwise(0).alias("_edge"))
+    tie = [F.col("event_id").alias("_tie")] if "event_id" in df.columns else []
+    return both.select(*keys, *out, *tie, "_m.*")
 
 
 def sliding_counts(
-    df: DataFrame,
-    keys: Sequence[str],
-    counts: Mapping[str, Column],
-    window_s: int,
-    edges: DataFrame | None = None,
-    before: bool = False,
-    live_only: bool = True,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], counts: Mapping[str, Column], window_s: int, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Per row: ``n_<name>`` rows of its key in the window, and ``upto_<name>`` rows of its key so far.
 
-    ``df`` has the event time in ``_us`` (microseconds). Rows of equal time see each other. ``edges`` (see
-    host_edges) adds ``n_hosts``.
+    ``df`` has the event time in ``_us`` (microseconds). Rows of equal time see each other. Over the output of
+    presence, ``n_hosts`` counts the distinct items in the window as well.
     """
-    flags = {f"_f_{n}": F.when(c, 1).otherwise(0) for n, c in counts.items()}
-    live = df.withColumns(flags).withColumn("_live", F.lit(True))
-    counted = " + ".join(flags)
-    gone = live.filter(f"{counted} > 0").select(
-        *keys, (F.col("_us") + window_s * SECOND + 1).alias("_us"), *[(-F.col(f)).alias(f) for f in flags],
-        F.lit(False).alias("_live"),
-    )
-    parts = [live, gone]
+    flags = {f"_f_{n}": c for n, c in counts.items()}
     sums = {f"n_{n}": F.col(f"_f_{n}") for n in counts}
     sums |= {f"upto_{n}": F.when(F.col("_live"), F.col(f"_f_{n}")) for n in counts}
-    if edges is not None:
-        parts.append(edges.select(*keys, "_us", "_edge", F.lit(False).alias("_live")))
+    if "_edge" in df.columns:
         sums["n_hosts"] = F.col("_edge")
-    run = running_totals(_stack(*parts), keys, ["_us"], sums, before=before, hot_rows=hot_rows)
-    if live_only:
-        run = run.filter("_live").drop("_live", "_edge")
-    return run.drop(*flags)
+    run = running_totals(_moves(df, keys, flags, window_s), keys, ["_us"], sums, hot_rows=hot_rows)
+    return run.filter("_live").drop("_live", "_edge", "_tie", *flags)
+
 
+def presence(
+    df: DataFrame, key: str, item: str, window_s: int, counted: Column, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Rows with ``n_pair``, how often their (key, item) pair occurs in the window; and between them edge rows
+    (``_edge`` = 1 or -1): the instants at which an item counted for the key enters or leaves the window.
 
-def presence(df: DataFrame, key: str, item: str, window_s: int, counted: Column, hot_rows: int = HOT_ROWS):
-    """(rows, edges): per row how often its (key, item) pair occurs in the window as ``n_pair``, and the instants at
-    which an item counted for the key enters (+1) or leaves (-1) the window. Summing edges counts distinct items.
+    Summing edges counts distinct items. Rows need ``event_id``.
     """
-    run = sliding_counts(
-        df, [key, item], {"pair": F.lit(True), "counted": counted}, window_s, before=True, live_only=False,
-        hot_rows=hot_rows,
+    flags = {"_f_pair": F.lit(True), "_f_counted": counted}
+    place = F.struct("_us", "_live", "_tie")
+    run = running_totals(
+        _moves(df, [key, item], flags, window_s), [key, item], ["_us"],
+        {"n_pair": F.col("_f_pair"), "_n": F.col("_f_counted")}, {"_top": place}, before=True, hot_rows=hot_rows,
     )
-    turned = (F.col("n_counted") > 0) != (F.col("n_counted_before") > 0)
-    edges = (
-        run.filter(turned & (F.col(item) != "unknown"))
-        .select(key, item, "_us", F.when(F.col("n_counted") > 0, 1).otherwise(-1).alias("_edge"))
-        .dropDuplicates([key, item, "_us"])
+    # Peers see the same totals; the last of them speaks for all, so an edge is emitted once.
+    turned = ((F.col("_n") > 0) != (F.col("_n_before") > 0)) & (place == F.col("_top")) & (F.col(item) != "unknown")
+    edge = F.when(F.col("_n") > 0, 1).otherwise(-1)
+    none = F.array().cast("array<int>")
+    kinds = F.concat(
+        F.when(F.col("_live"), F.array(F.lit(None).cast("int"))).otherwise(none), F.when(turned, F.array(edge)).otherwise(none)
     )
-    extra = [c for c in run.columns if c.endswith("_before") or c.endswith("_counted") or c.startswith("upto_")]
-    return run.filter("_live").drop("_live", *extra), edges
+    payload = [c for c in df.columns if c not in (key, item, "_us")]
+    out = run.withColumn("_edge", F.explode(kinds))
+    is_row = F.col("_edge").isNull()
+    return out.select(key, item, "_us", *[F.when(is_row, F.col(c)).alias(c) for c in [*payload, "n_pair"]], "_edge")
+
 
+def spans(rows: DataFrame, key: str, item: str) -> DataFrame:
+    """Output of presence -> one row per stay of an item in the window: [start, end) in microseconds.
 
-def spans(edges: DataFrame, key: str, item: str) -> DataFrame:
-    """Edges -> one row per stay of an item in the window: [start, end) in microseconds."""
+    Stays of a pair are at least a window apart, so their number is bounded by time, not by rows.
+    """
     w = Window.partitionBy(key, item).orderBy("_us")
+    edges = rows.filter("_edge IS NOT NULL").select(key, item, "_us", "_edge")
     return (
         edges.withColumn("_end", F.lead("_us").over(w)).filter("_edge = 1")
         .select(key, item, F.col("_us").alias("_start"), "_end")
@@ -99,35 +111,32 @@ POSITION = ["_us", "_id", "_kind", "_tie"]
 
 def recent_presence(
     df: DataFrame, key: str, item: str, window_s: int, rows: int, hot_rows: int = HOT_ROWS
-) -> tuple[DataFrame, DataFrame]:
-    """(rows, edges): per row ``n_hosts``, the distinct items among the last ``rows`` rows of the key that also lie in
-    the window; and the edges behind it, positioned by POSITION columns.
+) -> DataFrame:
+    """Per row ``n_hosts``: the distinct items among the last ``rows`` rows of the key that also lie in the window.
 
     A row stops counting at the earlier of two places: where its window ends, or at the row ``rows`` places later.
+    Places order by time, then row id; at one place leaving (0) comes before entering (1) before the row itself (2).
     """
     df = nth_following(df.select(key, item, "_us", "event_id"), key, rows, hot_rows)
-    ends = F.least(
-        F.col("_nth"),
-        F.struct((F.col("_us") + window_s * SECOND + 1).alias("us"), F.lit("").alias("id")),
-    )
-    live = df.select(
-        key, item, "_us", F.col("event_id").alias("_id"), F.lit(2).alias("_kind"), F.col("event_id").alias("_tie"),
-        F.lit(1).alias("_v"),
-    )
-    gone = df.withColumn("_ends", ends).select(
-        key, item, F.col("_ends.us").alias("_us"), F.col("_ends.id").alias("_id"), F.lit(0).alias("_kind"),
-        F.col("event_id").alias("_tie"), F.lit(-1).alias("_v"),
-    )
-    run = running_totals(
-        live.unionByName(gone), [key, item], POSITION, {"_n": F.col("_v")}, before=True, hot_rows=hot_rows
-    )
-    edges = run.filter("(_n > 0) != (_n_before > 0)").select(
-        key, item, "_us", "_id", F.when(F.col("_n") > 0, 1).otherwise(0).alias("_kind"), "_tie",
-        F.when(F.col("_n") > 0, 1).otherwise(-1).alias("_edge"),
-    )
-    both = live.drop("_v").withColumn("_edge", F.lit(0)).unionByName(edges)
-    total = running_totals(both, [key], POSITION, {"n_hosts": F.col("_edge")}, hot_rows=hot_rows)
-    return (
-        total.filter("_kind = 2").select(key, item, "_us", F.col("_id").alias("event_id"), "n_hosts"),
-        edges,
+    over = F.struct((F.col("_us") + window_s * SECOND + 1).alias("us"), F.lit("").alias("id"))
+    ends = F.least("_nth", over)
+
+    def move(us: Column, row_id: Column, kind: int, value: int) -> Column:
+        return F.struct(us.alias("_us"), row_id.alias("_id"), F.lit(kind).alias("_kind"), F.lit(value).alias("_v"))
+
+    both = F.array(move(F.col("_us"), F.col("event_id"), 2, 1), move(ends["us"], ends["id"], 0, -1))
+    moves = df.select(key, item, F.col("event_id").alias("_tie"), F.explode(both).alias("_m")).select(key, item, "_tie", "_m.*")
+    run = running_totals(moves, [key, item], POSITION, {"_n": F.col("_v")}, before=True, hot_rows=hot_rows)
+
+    def step(kind: int, change: int) -> Column:
+        return F.struct(F.lit(kind).alias("_kind"), F.lit(change).alias("_edge"))
+
+    none = F.array().cast("array<struct<_kind:int,_edge:int>>")
+    entered, left = (F.col("_n") > 0) & (F.col("_n_before") <= 0), (F.col("_n") <= 0) & (F.col("_n_before") > 0)
+    steps = F.concat(
+        F.when(F.col("_kind") == 2, F.array(step(2, 0))).otherwise(none),
+        F.when(entered, F.array(step(1, 1))).when(left, F.array(step(0, -1))).otherwise(none),
     )
+    marks = run.select(key, item, "_us", "_id", "_tie", F.explode(steps).alias("_s")).select(key, item, "_us", "_id", "_tie", "_s.*")
+    total = running_totals(marks, [key], POSITION, {"n_hosts": F.col("_edge")}, hot_rows=hot_rows)
+    return total.filter("_kind = 2").select(key, item, "_us", F.col("_id").alias("event_id"), "n_hosts")

@@ -13,9 +13,9 @@ from tracewarden.schema import EVENT_COLUMNS, EVENT_JSON
 
 def parse_event_json(df: DataFrame, as_of, col: str = "value") -> tuple[DataFrame, DataFrame]:
     """JSON text -> (valid flat events, rejected rows with ``reason``). Works on batch and streaming input."""
-    parsed = df.withColumn(
-        "_e", F.from_json(col, EVENT_JSON, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    )
+    read = F.from_json(col, EVENT_JSON, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    # The filters below must not be pushed into the reading, which would repeat it per field: an explode is a barrier.
+    parsed = df.withColumn("_e", F.explode(F.array(read)))
     e = F.col("_e")
     reason = F.when(e.isNull() | e["_corrupt_record"].isNotNull(), "invalid json")
     for name in fixed.REQUIRED_FIELDS:

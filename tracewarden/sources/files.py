@@ -71,7 +71,8 @@ def parse_windows_xml(df: DataFrame, as_of, col: str = "value", default_host: st
     blocks = F.regexp_extract_all(F.col(col), F.lit(r"(?s)(<Event .*?</Event>)"), F.lit(1))
     rest = [c for c in df.columns if c != col]
     df = df.select(*rest, F.explode(blocks).alias("_block"))
-    df = df.withColumn("_x", F.from_xml("_block", _XML, {"mode": "PERMISSIVE"}))
+    # One element per block; the explode keeps the filter below from repeating the XML reading.
+    df = df.withColumn("_x", F.explode(F.array(F.from_xml("_block", _XML, {"mode": "PERMISSIVE"}))))
     data = F.coalesce(F.col("_x.EventData.Data"), F.array().cast("array<struct<_Name:string,_VALUE:string>>"))
     df = df.withColumn("_data", F.filter(data, lambda d: d["_Name"].isNotNull()))
 

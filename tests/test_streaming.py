@@ -4,10 +4,9 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from tracewarden.operators import correlate as c
 from tracewarden.operators.normalize import normalise_linux, parse_linux_lines
-from tracewarden.operators.sigma import RulePack, sigma_match
 from tracewarden.operators.validate import parse_event_json, to_json_lines
+from tracewarden.plans import detection
 from tracewarden.schema import EVENT
 from tracewarden.sources import files
 from tracewarden.streaming.live import LiveDetection, dedup_stream, subscribe, timeline_stream
@@ -43,16 +42,26 @@ def key_rows(df):
 
 
 def test_live_detection_equals_batch(spark, events):
-    rules = {"brute_force_threshold": 3, "stuffing_threshold": 2, "hosts": 2}
-    live = LiveDetection(spark, fresh() + "/out", window_s=86_400, cooldown_s=7_200, lateness_s=3_600, **rules)
+    options = {"window_s": 86_400, "cooldown_s": 7_200, "hosts": 2, "brute_force_threshold": 3, "stuffing_threshold": 2,
+               "entity": {"failure_threshold": 2, "stale_days": 7}}
+    live = LiveDetection(spark, fresh() + "/out", lateness_s=3_600, **options)
     live.start(follow(spark, stored(events)), fresh(), availableNow=True).awaitTermination()
     live.flush(1_000)
-    found = sigma_match(events, RulePack.builtin()).unionByName(c.correlate(events, 86_400, 3, 2, 2))
-    want = c.finalise(c.cooldown(found, 7_200), events, 86_400)
-    assert key_rows(live.alerts()) == key_rows(want)
+    assert key_rows(live.alerts()) == key_rows(detection.detect(events, **options))
     assert live.late_rows().first()["late"] == 0
 
 
+def test_late_rows_are_counted_and_a_retry_changes_nothing(spark, make):
+    live = LiveDetection(spark, fresh() + "/out")
+    first = make([(i, "bob", "a", 4625) for i in range(10)])
+    late = make([(5, "bob", "a", 4625), (100, "bob", "a", 1102)]).withColumn("event_id", F.concat(F.lit("x"), "event_id"))
+    live.process(first, 0)
+    for _ in range(2):
+        live.process(late, 1)
+    assert live.late_rows().first()["late"] == 1
+    assert sorted(r["alert_type"] for r in live.alerts().select("alert_type").collect()).count("brute_force") == 1
+
+
 def test_json_dedup_stream(spark, events):
     folder = fresh() + "/json"
     to_json_lines(events.unionByName(events)).coalesce(1).write.text(folder)

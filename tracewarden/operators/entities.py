@@ -49,9 +49,14 @@ def observations(
     history: int = 10,
     stale_days: int = 90,
     hot_rows: int = HOT_ROWS,
+    past: DataFrame | None = None,
+    pairs: DataFrame | None = None,
 ) -> DataFrame:
     """Every tracked event with its place in the life of its actor: event number, failures so far, first time on the
-    host, idle time before it, the deviation flags it raises and the risk it adds."""
+    host, idle time before it, the deviation flags it raises and the risk it adds.
+
+    ``past`` (actor, events, failures, reset, last_us) and ``pairs`` (actor, source) tell what came before ``events``,
+    one row per key; see life_of."""
     rows = tracked(events).select(
         "event_id", "timestamp", "actor", "source", "target", "event_type", "severity", "raw_event_id", "description",
         micros(F.col("timestamp")).alias("_us"), _branch().alias("branch"),
@@ -63,6 +68,17 @@ def observations(
         {"event_number": F.lit(1), "failures": F.when(F.col("branch") == "auth_failure", 1)},
         {"_last": F.col("_us")}, before=True, hot_rows=hot_rows,
     )
+    if past is not None:
+        earlier = past.select("actor", F.col("events").alias("_p_events"), F.col("failures").alias("_p_failures"),
+                              F.col("last_us").alias("_p_last"))
+        rows = rows.join(earlier, "actor", "left")
+        rows = rows.join(pairs.select("actor", "source", F.lit(1).alias("_p_pair")), ["actor", "source"], "left")
+        rows = rows.withColumns({
+            "event_number": F.col("event_number") + F.coalesce("_p_events", F.lit(0)),
+            "failures": F.col("failures") + F.coalesce("_p_failures", F.lit(0)),
+            "_last_before": F.coalesce("_last_before", "_p_last"),
+            "_on_host": F.col("_on_host") + F.coalesce("_p_pair", F.lit(0)),
+        }).drop("_p_events", "_p_failures", "_p_last", "_p_pair")
     hour = F.hour("timestamp")
     auth = F.coalesce(F.col("event_type") == "auth", F.lit(False))
     flags = {
@@ -85,18 +101,42 @@ def observations(
     )
 
 
-def success_after_failures(seen: DataFrame, threshold: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
+def life_of(seen: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(past, pairs) of some observations: sums and maxima per actor, so those of several batches add up (see merge_life)."""
+    past = seen.groupBy("actor").agg(
+        F.count("*").alias("events"), F.count_if(F.col("branch") == "auth_failure").alias("failures"),
+        F.max("_us").alias("last_us"),
+    ).join(runs.groupBy("actor").agg(F.max("failures").alias("reset")), "actor", "left")
+    return past.select("actor", "events", "failures", "reset", "last_us"), seen.select("actor", "source").distinct()
+
+
+def merge_life(past: DataFrame) -> DataFrame:
+    return past.groupBy("actor").agg(
+        F.sum("events").alias("events"), F.sum("failures").alias("failures"), F.max("reset").alias("reset"),
+        F.max("last_us").alias("last_us"))
+
+
+def success_after_failures(
+    seen: DataFrame, threshold: int = 5, hot_rows: int = HOT_ROWS, past: DataFrame | None = None
+) -> DataFrame:
     """Successes that end a run of at least ``threshold`` failures; a success resets the run only when it does.
 
     ``seen`` is observations(). Only the first success at each failure count can end a run, so the candidates are
     spaced on the failure count itself.
     """
     successes = seen.filter(F.col("branch") == "auth_success").filter(F.col("failures") >= threshold)
+    if past is not None:
+        resets = past.filter("reset IS NOT NULL").select("actor", F.col("reset").alias("_reset"))
+        successes = successes.join(resets, "actor", "left").filter(
+            F.col("failures") - F.coalesce("_reset", F.lit(0)) >= threshold)
     rest = ["event_id", "timestamp", "source", "target", "event_type", "severity", "description", "_us"]
     first = reliable(successes.groupBy("actor", "failures").agg(
         F.min_by(F.struct(*rest), F.struct("_us", "event_id")).alias("_e")
     ))
-    kept = greedy_spacing(first, ["actor"], "failures", threshold, initial=0, hot_rows=hot_rows)
+    counts = first.select("actor", "failures")
+    if past is not None:
+        counts = counts.unionByName(resets.withColumnRenamed("_reset", "failures"))
+    kept = greedy_spacing(counts, ["actor"], "failures", threshold, initial=0, hot_rows=hot_rows)
     kept = running_totals(kept, ["actor"], ["failures"], peaks={"_reset": F.col("failures")}, before=True, hot_rows=hot_rows)
     kept = kept.select("actor", "failures", (F.col("failures") - F.coalesce("_reset_before", F.lit(0))).alias("run"))
     return first.join(kept, ["actor", "failures"]).select("actor", "failures", "run", "_e.*")
@@ -111,7 +151,8 @@ def _deviation_alert(flag: str, text: Column) -> Column:
 
 
 def deviations(
-    events: DataFrame, failure_threshold: int = 5, hot_rows: int = HOT_ROWS, seen: DataFrame | None = None, **hours
+    events: DataFrame, failure_threshold: int = 5, hot_rows: int = HOT_ROWS, seen: DataFrame | None = None,
+    past: DataFrame | None = None, **hours
 ) -> DataFrame:
     """Candidate alerts for every deviation of an actor from its own history."""
     seen = reliable(observations(events, hot_rows=hot_rows, **hours)) if seen is None else seen
@@ -127,7 +168,7 @@ def deviations(
             "Account inactive for %s+ days, now active", F.lit(hours.get("stale_days", 90))),
     }
     hits = emit(seen, *[(F.array_contains("flags", n), _deviation_alert(n, t)) for n, t in texts.items()])
-    runs = success_after_failures(seen, failure_threshold, hot_rows)
+    runs = success_after_failures(seen, failure_threshold, hot_rows, past)
     text = F.format_string("%s failures before success", "run")
     return hits.unionByName(emit(runs, (F.lit(True), _deviation_alert("success_after_failures", text))))
 

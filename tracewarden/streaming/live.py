@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.functions import predicates as p
 from tracewarden.operators import correlate as c
+from tracewarden.operators import entities as e
 from tracewarden.operators.sigma import RulePack, sigma_match
 from tracewarden.operators.sliding import SECOND
 from tracewarden.session import reliable
@@ -40,12 +41,17 @@ def timeline_stream(events: DataFrame, bucket: str = "1 hour", lateness: str = "
 
 
 class LiveDetection:
-    """Window rules and rule packs over a stream of events, with cooldown, into ``folder``/alerts."""
+    """All detectors over a stream of events, with cooldown, into ``folder``/alerts.
+
+    ``entity`` holds arguments of entities.deviations, ``rules`` those of correlate.correlate. What deviations need to
+    know of the past is kept as one row per actor, and per actor and source, of each batch.
+    """
 
     def __init__(
         self, spark: SparkSession, folder: str, pack: RulePack | None = None, window_s: int = 600, cooldown_s: int = 300,
-        lateness_s: int = 0, **rules,
+        lateness_s: int = 0, entity: dict | None = None, **rules,
     ):
+        self.entity = dict(entity or {})
         self.spark, self.folder, self.rules = spark, folder.rstrip("/"), rules
         self.pack = RulePack.builtin() if pack is None else pack
         self.window_s, self.cooldown_s, self.lateness_s = window_s, cooldown_s, lateness_s
@@ -91,8 +97,12 @@ class LiveDetection:
         context = self._between(self._events(batch_id), done - self.window_s * SECOND, upto).drop("batch_id", "event_date")
         context = reliable(context)
         fresh = us > done
-        found = sigma_match(context.filter(fresh), self.pack).unionByName(
-            c.correlate(context, self.window_s, **self.rules).filter(fresh))
+        found = (
+            self._deviations(context.filter(fresh), batch_id)
+            .unionByName(sigma_match(context.filter(fresh), self.pack))
+            .unionByName(c.correlate(context, self.window_s, **self.rules).filter(fresh))
+            .unionByName(e.entity_lateral(context, self.window_s, self.rules.get("hosts", 3)).filter(fresh))
+        )
         old = self._read("alerts")
         if old is not None:
             old = self._between(old.filter(F.col("batch_id") < batch_id), done - self.cooldown_s * SECOND, done)
@@ -103,6 +113,23 @@ class LiveDetection:
         kept = reliable(c.cooldown(reliable(found), self.cooldown_s).filter("_old IS NULL").drop("_old"))
         return c.finalise(kept, context, self.window_s)
 
+    def _deviations(self, fresh: DataFrame, batch_id: int) -> DataFrame:
+        """Deviations of the new rows, given what earlier batches noted of their actors; notes the new rows too."""
+        options = dict(self.entity)
+        threshold = options.pop("failure_threshold", 5)
+        past, pairs = self._read("past"), self._read("pairs")
+        if past is not None:
+            earlier = F.col("batch_id") < batch_id
+            actors = fresh.select("actor").distinct()
+            past = reliable(e.merge_life(past.filter(earlier).join(actors, "actor", "left_semi")))
+            pairs = reliable(pairs.filter(earlier).join(actors, "actor", "left_semi").select("actor", "source").distinct())
+        seen = reliable(e.observations(fresh, past=past, pairs=pairs, **options))
+        runs = reliable(e.success_after_failures(seen, threshold, past=past))
+        new_past, new_pairs = e.life_of(seen, runs)
+        self._write(new_past, "past", batch_id)
+        self._write(new_pairs if pairs is None else new_pairs.join(pairs, ["actor", "source"], "left_anti"), "pairs", batch_id)
+        return e.deviations(fresh, threshold, seen=seen, past=past, **options)
+
     # ---- storage ----
 
     def _write(self, df: DataFrame, table: str, batch_id: int, *by: str) -> None:

@@ -455,13 +455,12 @@ def finalise(alerts: DataFrame, events: DataFrame, window_s: int = 600, hot_rows
 
 def correlation_stats(alerts: DataFrame, events: DataFrame, window_s: int = 600) -> DataFrame:
     """Rules, alerts, window length and actors seen in the last window, as one row."""
-    newest = events.agg(F.max("timestamp").alias("_newest"))
-    in_window = (
-        events.select("actor", "timestamp").join(F.broadcast(newest))  # one row
-        .filter(F.col("timestamp") >= F.col("_newest") - F.make_interval(secs=F.lit(window_s)))
-        .agg(F.countDistinct("actor").alias("buffer_actors"))
-    )
-    return alerts.agg(F.count("*").alias("alerts_total")).join(F.broadcast(in_window)).select(
+    newest = events.agg(F.max("timestamp")).scalar()
+    active = events.filter(F.col("timestamp") >= newest - F.make_interval(secs=F.lit(window_s)))
+    counts = alerts.agg(F.count("*").alias("alerts_total")).unionByName(
+        active.agg(F.countDistinct("actor").alias("buffer_actors")), allowMissingColumns=True
+    ).agg(F.max("alerts_total").alias("alerts_total"), F.max("buffer_actors").alias("buffer_actors"))
+    return counts.select(
         F.lit(8 + len(_CUSTOM)).cast("long").alias("rules_count"), "alerts_total",
         F.lit(window_s).cast("long").alias("window_seconds"), "buffer_actors",
     )

@@ -143,24 +143,20 @@ def how(commands: Column, steps: Column, actor: Column, source_host: Column, tar
 def five_w(alerts: DataFrame, as_of, texts: DataFrame | None = None) -> DataFrame:
     """Add ``five_w`` to final alerts; rule alerts and unknown types take the default template."""
     texts = templates(alerts.sparkSession) if texts is None else texts
-    names = texts.select("template")
-    default = F.broadcast(texts.filter("template = 'default'").select(
-        F.col("what").alias("_what"), F.col("why").alias("_why"), F.col("commands").alias("_commands"),
-        F.col("remediation").alias("_remediation")))
     # Template tables have one row per alert type; they are configuration.
-    joined = alerts.join(
-        F.broadcast(texts.withColumnRenamed("template", "alert_type").filter("alert_type != 'default'")),
-        "alert_type", "left").join(default)
+    own = texts.filter("template != 'default'").select(F.col("template").alias("alert_type"), F.col("template").alias("_own"))
+    joined = alerts.join(F.broadcast(own), "alert_type", "left").withColumn("template", F.coalesce("_own", F.lit("default")))
+    joined = joined.join(F.broadcast(texts), "template", "left")
     target, meta = or_unknown(F.col("target")), F.col("metadata")
     hosts = F.col("distinct_hosts") if "distinct_hosts" in alerts.columns else F.lit(None).cast("array<string>")
     span = F.element_at(meta, F.lit("span_seconds")).try_cast("long")
     return joined.withColumn("five_w", F.struct(
         who(F.col("actor"), target).alias("who"),
-        F.coalesce("what", "_what").alias("what"),
+        F.col("what"),
         where(F.col("source_host"), target, hosts).alias("where"),
         when(F.col("timestamp"), span, as_of).alias("when"),
-        why(F.coalesce("why", "_why"), F.col("description"), meta, F.col("mitre_technique"), F.col("mitre_tactic"),
+        why(F.col("why"), F.col("description"), meta, F.col("mitre_technique"), F.col("mitre_tactic"),
             F.col("sigma_rule_id")).alias("why"),
-        how(F.coalesce("commands", "_commands"), F.coalesce("remediation", "_remediation"), F.col("actor"),
+        how(F.col("commands"), F.col("remediation"), F.col("actor"),
             F.col("source_host"), target, meta).alias("how"),
-    )).drop(*names.columns, "what", "why", "commands", "remediation", "_what", "_why", "_commands", "_remediation")
+    )).drop("template", "_own", "what", "why", "commands", "remediation")

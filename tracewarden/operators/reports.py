@@ -11,21 +11,27 @@ from tracewarden.functions.times import instant
 BUCKETS = ("minute", "hour", "day")
 
 
+def _one_row(*parts: DataFrame) -> DataFrame:
+    """One-row aggregates side by side: stacked, then folded, so nothing is joined."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
 def totals(
     events: DataFrame, alerts: DataFrame, entities: DataFrame, rules_active: int, cases: DataFrame | None, as_of
 ) -> DataFrame:
     """System totals as one row."""
     recent = F.col("timestamp") >= instant(as_of) - F.make_dt_interval(hours=F.lit(1))
-    out = events.agg(F.count("*").alias("events_total"), F.count_if(recent).alias("events_last_hour"))
-    sides = [
+    parts = [
+        events.agg(F.count("*").alias("events_total"), F.count_if(recent).alias("events_last_hour")),
         alerts.agg(F.count("*").alias("alerts_total"), F.count_if(F.col("status") == "open").alias("alerts_open")),
         entities.agg(F.count("*").alias("entities_total")),
     ]
     if cases is not None:
-        sides.append(cases.agg(F.count_if(F.col("status") != "closed").alias("investigations_open")))
-    for side in sides:  # each side is one row
-        out = out.join(F.broadcast(side))
-    return out.withColumn("rules_active", F.lit(rules_active).cast("long"))
+        parts.append(cases.agg(F.count_if(F.col("status") != "closed").alias("investigations_open")))
+    return _one_row(*parts).withColumn("rules_active", F.lit(rules_active).cast("long"))
 
 
 def count_by(events: DataFrame, field: str) -> DataFrame:
@@ -110,7 +116,8 @@ def dashboard(events: DataFrame, as_of, top: int = 10) -> DataFrame:
 
 def ingest_counters(received: DataFrame, rejected: DataFrame, stored: DataFrame) -> DataFrame:
     """received, rejected, processed and duplicate counts of an ingest, as one row."""
-    out = received.agg(F.count("*").alias("received"))
-    out = out.join(F.broadcast(rejected.agg(F.count("*").alias("rejected"))))
-    out = out.join(F.broadcast(stored.agg(F.count("*").alias("processed"))))
+    out = _one_row(
+        received.agg(F.count("*").alias("received")), rejected.agg(F.count("*").alias("rejected")),
+        stored.agg(F.count("*").alias("processed")),
+    )
     return out.withColumn("duplicates", F.col("received") - F.col("rejected") - F.col("processed"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewarden.functions import fixed, predicates as p
 from tracewarden.functions.text import entity_type, risk_label
 from tracewarden.functions.times import instant, micros
-from tracewarden.operators.correlate import CANDIDATE, alert_struct, emit, metadata, proof
+from tracewarden.operators.correlate import alert_struct, emit, metadata, proof
 from tracewarden.operators.running import HOT_ROWS, running_totals
 from tracewarden.operators.sliding import SECOND, recent_presence
 from tracewarden.operators.spacing import greedy_spacing

@@ -89,8 +89,8 @@ def alert_stats(alerts: DataFrame, as_of, top_types: int = 20) -> DataFrame:
 def dashboard(events: DataFrame, as_of, top: int = 10) -> DataFrame:
     """(measure, name, count): totals, platforms, types, severities, busiest sources and actors.
 
-    The events are read once: the small cube over (platform, type, severity) answers the totals, and sources and
-    actors are counted from their own combined groups.
+    One small cube over (platform, type, severity) answers totals and breakdowns; sources and actors, which can be
+    many, are counted on their own columns only. Every count is combined map-side.
     """
     recent = F.col("timestamp") >= instant(as_of) - F.make_dt_interval(hours=F.lit(1))
     cube = events.groupBy("platform", "event_type", severity_name(F.col("severity")).alias("level")).agg(

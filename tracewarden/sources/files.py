@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.functions import fixed
 from tracewarden.functions.text import blank
-from tracewarden.functions.times import instant, iso_ts, windows_ts
-from tracewarden.schema import WINDOWS_RAW
+from tracewarden.functions.times import instant, windows_ts
 
 
 def _reader(spark: SparkSession, stream: bool, max_files: int | None = None):

@@ -54,7 +54,44 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS
 FROM d LEFT JOIN classed ON d.doc_id = classed.doc_id LEFT JOIN lowest ON lowest.a = classed.class_id
 """
 
+DECONTAMINATION = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id),
+parts AS (SELECT item_id, list_slice(w, k, k + 9) AS ws
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM b WHERE len(w) > 0)),
+uses AS (SELECT DISTINCT item_id, array_to_string(ws, ' ') AS win FROM parts),
+wins AS (SELECT array_to_string(ws, ' ') AS win, any_value(ws) AS ws FROM parts GROUP BY 1),
+tok AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS k FROM d),
+counts AS (SELECT t, count(*) AS n FROM tok GROUP BY t),
+each AS (SELECT win, unnest(ws) AS t, unnest(range(0, len(ws))) AS o FROM wins),
+ranked AS (SELECT win, t, o, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY win ORDER BY coalesce(n, 0), o) AS r
+  FROM each LEFT JOIN counts USING (t)),
+alive AS (SELECT win FROM ranked GROUP BY win HAVING min(n) > 0),
+anchor AS (SELECT win, t, r FROM ranked SEMI JOIN alive USING (win) WHERE r <= 3),
+lead AS (SELECT win, doc_id, k FROM anchor JOIN tok USING (t) WHERE r = 1),
+seen AS (SELECT DISTINCT lead.win, lead.doc_id, lead.k, a.r FROM lead JOIN anchor a ON a.win = lead.win AND a.r > 1
+  JOIN tok ON tok.t = a.t AND tok.doc_id = lead.doc_id AND abs(tok.k - lead.k) <= 20),
+needed AS (SELECT win, count(*) - 1 AS c FROM anchor GROUP BY win),
+close AS (SELECT DISTINCT lead.win, lead.doc_id FROM lead JOIN needed USING (win)
+  LEFT JOIN (SELECT win, doc_id, k, count(*) AS c FROM seen GROUP BY ALL) s
+  ON s.win = lead.win AND s.doc_id = lead.doc_id AND s.k = lead.k WHERE coalesce(s.c, 0) = needed.c),
+nearby AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM close JOIN uses USING (win) GROUP BY doc_id),
+sizes AS (SELECT DISTINCT len(ws) AS m FROM wins),
+runs AS (SELECT doc_id, k, m, array_to_string(list_slice(w, k, k + m - 1), ' ') AS win
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM d, sizes)),
+hits AS (SELECT doc_id, k, m, win FROM runs SEMI JOIN wins USING (win)),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + m)) AS j FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS l FROM hits JOIN uses USING (win) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(l), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(l, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id LEFT JOIN nearby ON nearby.doc_id = d.doc_id
+"""
+
 ORACLES = {
+    "op5_benchmark_decontamination": DECONTAMINATION,
     "op6_substring_dedup": SUBSTRING,
     "op7_ngram_jaccard_join": NGRAM_JOIN,
     "op10_suffix_array_dedup": SUFFIX,

@@ -90,7 +90,25 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id LEFT JOIN nearby ON nearby.doc_id = d.doc_id
 """
 
+LINES = """
+WITH d AS (SELECT doc_id, max(text) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
+l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM d WHERE text IS NOT NULL),
+n AS (SELECT doc_id, unnest(lines) AS line, unnest(range(0, len(lines))) AS i FROM l),
+h AS (SELECT doc_id, i, line, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM n),
+r AS (SELECT doc_id, i, line, (h + 31 * coalesce(lag(h) OVER w, 0) + 961 * coalesce(lag(h, 2) OVER w, 0)) % 4 = 0 AS ends
+  FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, i, line, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM r),
+g AS (SELECT doc_id, c, min(i) AS a, count(*) AS size, string_agg(line, chr(10) ORDER BY i) AS bytes FROM c GROUP BY doc_id, c),
+f AS (SELECT doc_id, a, size, bytes, size > 1 AND row_number() OVER (PARTITION BY bytes ORDER BY doc_id, a) > 1 AS gone FROM g)
+SELECT d.doc_id, CAST(coalesce(sum(size), 0) AS BIGINT) AS n_lines,
+  CAST(coalesce(sum(CASE WHEN gone THEN size ELSE 0 END), 0) AS BIGINT) AS n_removed,
+  CASE WHEN max(d.text) IS NOT NULL THEN sha256(coalesce(string_agg(bytes, chr(10) ORDER BY a) FILTER (WHERE NOT gone), '')) END AS kept_sha256
+FROM d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
 ORACLES = {
+    "op2_line_dedup": LINES,
     "op5_benchmark_decontamination": DECONTAMINATION,
     "op6_substring_dedup": SUBSTRING,
     "op7_ngram_jaccard_join": NGRAM_JOIN,

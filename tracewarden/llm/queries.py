@@ -1,10 +1,11 @@
 """One registered query per operator of this folder, over whole tables with production parameters."""
 
-from tracewarden.llm import decontamination, ngram_join, substring_dedup, suffix_dedup
+from tracewarden.llm import decontamination, line_dedup, ngram_join, substring_dedup, suffix_dedup
 from tracewarden.llm.common import table
 from tracewarden.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES = {
+    "op2_line_dedup": lambda spark, folder: line_dedup.digest(table(spark, folder, "documents")),
     "op5_benchmark_decontamination": lambda spark, folder: decontamination.digest(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")),
     "op6_substring_dedup": lambda spark, folder: substring_dedup.digest(table(spark, folder, "documents")),

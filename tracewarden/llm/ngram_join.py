@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.llm.common import components, one_per_id, part_of, stored, text_bytes
-from tracewarden.llm.exchange import SENT, Layout, answered, bucket_hash, replies, sender
+from tracewarden.llm.exchange import SENT, Layout, answered, bucket_hash, replies, sender, short
 from tracewarden.llm.words import mixed, rolled, slices
 
 SIZE = 5
@@ -191,7 +191,7 @@ def candidates(docs: DataFrame, reps: DataFrame, size: int, percent: int, slack:
             once = np.zeros(len(n), bool)
             once[order[~same]] = True
             keep = early & once[row]
-            yield len(s.data), (mine[row[keep]], bucket_hash(prints[keep]), prints[keep])
+            yield len(s.data), (mine[row[keep]], bucket_hash(prints[keep]), short(prints[keep]))
 
     answers = replies(docs.select("doc_id", "text").mapInArrow(sender(entries, layout, True), SENT), layout, True)
     listed = answers.unionByName(
@@ -214,7 +214,7 @@ def candidates(docs: DataFrame, reps: DataFrame, size: int, percent: int, slack:
                     continue
                 whole = prints[cuts[r] : cuts[r + 1]]
                 lead = whole[: int(early[cuts[r] : cuts[r + 1]].sum())]
-                lead = lead[np.isin(lead, answer[0])]
+                lead = lead[np.isin(short(lead), answer[0])]
                 if len(lead) >= least[r]:
                     out.append((int(mine[r]), int(n[r]), lead.view(np.int64), whole.view(np.int64)))
         columns = list(zip(*out)) or [[]] * 4

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tracewarden.llm.common import one_per_id, text_bytes
-from tracewarden.llm.exchange import SENT, Layout, answered, replies, sender
+from tracewarden.llm.exchange import SENT, Layout, answered, replies, sender, short
 from tracewarden.llm.words import covered, slices
 
 SIZE = 13
@@ -34,7 +34,7 @@ def later_windows(docs: DataFrame, size: int, layout: Layout) -> DataFrame:
     def entries(ids, texts):
         for s in slices(texts):
             at, picks = s.windows(size, 0)
-            prints = s.windows(size, 1)[1]
+            prints = short(s.windows(size, 1)[1])
             yield len(s.data), (ids[s.text_of[at] + s.rows.start], picks, prints)
 
     sent = docs.select("doc_id", "text").mapInArrow(sender(entries, layout, False), SENT)
@@ -44,6 +44,7 @@ def later_windows(docs: DataFrame, size: int, layout: Layout) -> DataFrame:
 def sourced(s, ids, told, size: int):
     """For each text of a slice that was answered: (row, places of the phrases with a source, their sources)."""
     at, prints = s.windows(size, 1)
+    prints = short(prints)
     row = s.text_of[at]
     cuts = np.searchsorted(row, np.arange(len(s.first)))
     for r in range(len(s.first) - 1):

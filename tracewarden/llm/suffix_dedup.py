@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.llm.common import one_per_id, text_bytes
-from tracewarden.llm.exchange import SENT, Layout, answered, bucket_hash, packed, replies, sender
+from tracewarden.llm.exchange import PACK, SENT, Layout, answered, bucket_hash, packed, replies, sender, short
 from tracewarden.llm.substring_dedup import sourced
 from tracewarden.llm.words import covered, mixed, rolled, slices, spans
 
@@ -68,7 +68,7 @@ def duplicate_spans(docs: DataFrame, size: int = SIZE, core: int = CORE) -> Data
     def suffixes(ids, texts):
         for s in slices(texts):
             at, prints = minimisers(s, core, size)
-            yield len(s.data), (ids[s.text_of[at] + s.rows.start], bucket_hash(prints), prints)
+            yield len(s.data), (ids[s.text_of[at] + s.rows.start], bucket_hash(prints), short(prints))
 
     sent = docs.select("doc_id", "text").mapInArrow(sender(suffixes, seeds_layout, True), SENT)
     seeds = replies(sent, seeds_layout, True)
@@ -85,7 +85,7 @@ def duplicate_spans(docs: DataFrame, size: int = SIZE, core: int = CORE) -> Data
                 answer = told.get(int(ids[s.rows.start + r]))
                 if answer is not None:
                     mine = slice(cuts[r], cuts[r + 1])
-                    near.append(places[mine][np.isin(prints[mine], answer[0])])
+                    near.append(places[mine][np.isin(short(prints[mine]), answer[0])])
             if not near:
                 continue
             seed = np.concatenate(near)
@@ -94,7 +94,7 @@ def duplicate_spans(docs: DataFrame, size: int = SIZE, core: int = CORE) -> Data
             np.add.at(marks, np.maximum(seed - (size - core), 0), 1)
             np.add.at(marks, seed + 1, -1)
             here = (np.cumsum(marks[:-1]) > 0)[at]
-            other = mixed(rolled(s.hashes, size, 1))[at[here]]
+            other = short(mixed(rolled(s.hashes, size, 1)))[at[here]]
             held.append((ids[s.text_of[at[here]] + s.rows.start], picks[here], other))
         out = packed(tuple(np.concatenate(c) for c in zip(*held)), layout, False) if held else None
         return pa.Table.from_batches([out]) if out is not None else empty_sent()
@@ -120,7 +120,7 @@ def duplicate_spans(docs: DataFrame, size: int = SIZE, core: int = CORE) -> Data
 
 
 def empty_sent() -> pa.Table:
-    return pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), *[(n, pa.binary()) for n in ("prints", "owners", "sources")]]).empty_table()
+    return pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), *[(n, pa.binary()) for n in PACK]]).empty_table()
 
 
 def digest(docs: DataFrame, size: int = SIZE) -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 # Byte classes. Both word patterns separate on ASCII bytes only, so UTF-8 can be read byte by byte.
 SPACED = np.ones(256, bool)  # [^\x20\x09-\x0D]+

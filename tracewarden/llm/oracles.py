@@ -107,7 +107,40 @@ SELECT d.doc_id, CAST(coalesce(sum(size), 0) AS BIGINT) AS n_lines,
 FROM d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
+# Every quotient of every source is ranked; the tables the driver compares have sources of one shard or a few.
+MIXING = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, m.source AS source, CAST(len(regexp_extract_all(coalesce(m.text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM (SELECT doc_id, max(struct_pack(text := text, source := source)) AS m FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id)),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+w AS (SELECT *, (place - 1) % 3 + 1 AS weight FROM s),
+total AS (SELECT CAST(sum(source_size) AS BIGINT) AS t FROM w),
+o AS (SELECT 3 * source_size / weight AS ratio, t, t - coalesce(sum(3 * source_size) OVER b, 0) AS rest, sum(weight) OVER a AS open
+  FROM w, total WINDOW b AS (ORDER BY 3 * source_size / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+  a AS (ORDER BY 3 * source_size / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+level AS (SELECT max(CAST(rest AS DOUBLE) / CAST(open AS DOUBLE)) AS l FROM (SELECT * FROM o WHERE rest / open <= ratio ORDER BY ratio LIMIT 1)),
+g AS (SELECT w.*, least(CAST(3 * source_size AS DOUBLE), coalesce(l, 0.0) * weight) AS target FROM w, level),
+q AS (SELECT place, target / (2 * j + 1) AS quotient
+  FROM (SELECT place, target, unnest(range(0, CAST(floor(t / 16.0 + 0.5) AS BIGINT))) AS j FROM g, total)),
+won AS (SELECT place, count(*) AS quota FROM (SELECT place, row_number() OVER (ORDER BY quotient DESC, place) AS r FROM q), total
+  WHERE r <= floor(t / 16.0 + 0.5) GROUP BY place),
+h AS (SELECT g.*, coalesce(quota, 0) AS quota, greatest(CAST(ceil(source_size / 2000000.0) AS BIGINT), 1) AS shards FROM g LEFT JOIN won USING (place)),
+x AS (SELECT d.doc_id, d.size, h.*, CAST('0x' || substr(md5('shard:' || d.doc_id), 1, 12) AS BIGINT) % shards AS shard
+  FROM d JOIN h ON h.source IS NOT DISTINCT FROM d.source),
+y AS (SELECT place, shard, CAST(sum(size) AS BIGINT) AS shard_size, any_value(quota) AS quota FROM x GROUP BY place, shard),
+z AS (SELECT place, shard, shard_size / (2 * j + 1) AS quotient, quota
+  FROM (SELECT place, shard, shard_size, quota, unnest(range(0, quota)) AS j FROM y)),
+v AS (SELECT place, shard, count(*) AS blocks FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY quotient DESC, shard) AS r FROM z)
+  WHERE r <= quota GROUP BY place, shard),
+a AS (SELECT x.*, y.shard_size, least(coalesce(blocks, 0) * 16, 3 * shard_size) AS allowed,
+  sum(x.size) OVER (PARTITION BY x.place, x.shard ORDER BY md5('mix:' || x.doc_id), x.doc_id) - x.size AS front
+  FROM x JOIN y ON y.place = x.place AND y.shard = x.shard LEFT JOIN v ON v.place = x.place AND v.shard = x.shard)
+SELECT doc_id, size, source_size, target,
+  CAST(CASE WHEN shard_size > 0 THEN (allowed // shard_size) * size + greatest(0, least(allowed % shard_size - front, size)) ELSE 0 END AS BIGINT) AS taken
+FROM a
+"""
+
 ORACLES = {
+    "op8_source_mixing": MIXING,
     "op2_line_dedup": LINES,
     "op5_benchmark_decontamination": DECONTAMINATION,
     "op6_substring_dedup": SUBSTRING,

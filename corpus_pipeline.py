@@ -3,18 +3,59 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewarden.llm.common import prepared, stored
+from tracewarden.llm import decontamination, line_dedup, mixing, ngram_join, quality
+from tracewarden.llm.common import prepared, stored, table
 
-STAGES: list = []
 
-# The quality stage fits a model, which SQL cannot express.
+def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject; it learns from all of ``docs`` and the labels."""
+    prepared(spark)
+    return quality.accepted(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the multi-line chunks that an earlier place has."""
+    prepared(spark)
+    return line_dedup.deduplicated(docs)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component, that of its smallest doc_id; documents without words all stay."""
+    prepared(spark)
+    kept = ngram_join.classes(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
+    return docs.join(stored(kept), F.col("doc_id") == F.col("_kept"), "left_semi")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    found = decontamination.digest(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
+    found = found.select(F.col("doc_id").alias("_found"))
+    return docs.join(stored(found), F.col("doc_id") == F.col("_found"), "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    prepared(spark)
+    return mixing.mixed(docs)
+
+
+STAGES = [
+    ("quality classifier", accept),
+    ("line dedup", drop_lines),
+    ("n-gram Jaccard join", one_of_each),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources", mix),
+]
+
+# The first stage fits a model, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages one after the other to documents, each on what its predecessor wrote."""
-    docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
     return docs

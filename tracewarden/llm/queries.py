@@ -1,10 +1,12 @@
 """One registered query per operator of this folder, over whole tables with production parameters."""
 
-from tracewarden.llm import decontamination, line_dedup, mixing, ngram_join, substring_dedup, suffix_dedup
+from tracewarden.llm import decontamination, line_dedup, mixing, ngram_join, quality, substring_dedup, suffix_dedup
 from tracewarden.llm.common import table
 from tracewarden.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES = {
+    "op9_quality_classifier": lambda spark, folder: quality.digest(
+        table(spark, folder, "documents"), table(spark, folder, "labels")),
     "op8_source_mixing": lambda spark, folder: mixing.digest(table(spark, folder, "documents")),
     "op2_line_dedup": lambda spark, folder: line_dedup.digest(table(spark, folder, "documents")),
     "op5_benchmark_decontamination": lambda spark, folder: decontamination.digest(

@@ -16,9 +16,10 @@ def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the multi-line chunks that an earlier place has."""
+    """All documents, without the multi-line chunks that an earlier place has; n_chars follows the text."""
     prepared(spark)
-    return line_dedup.deduplicated(docs)
+    rest = line_dedup.deduplicated(docs)
+    return rest.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else rest
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,13 +74,16 @@ def deduplicated(docs: DataFrame, every: int = EVERY) -> DataFrame:
     """The documents with repeated chunks taken out of ``text``; a text left without lines is empty."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rows = one_per_id(docs, "doc_id", "text", *others)
-    rows = rows.select("doc_id", "text", F.struct("*").alias("row")) if others else rows.withColumn("row", F.struct("doc_id", "text"))
+    # Names of their own, so that no column of the input meets one of ours.
+    held = {c: f"_held{i}" for i, c in enumerate(others)}
+    rows = rows.withColumnsRenamed(held)
     joined = rows.join(repeated(rows, every), "doc_id", "left")
-    same = joined.filter("gone IS NULL").select("row.*")
-    kept = F.transform(F.array_except("chunks", "gone"), _text)
-    changed = cut(joined.filter("gone IS NOT NULL"), every, "row", "gone")
-    changed = changed.select(F.col("row").withField("text", F.array_join(kept, "\n")).alias("row")).select("row.*")
-    return same.unionByName(changed).select(*docs.columns)
+    same = joined.filter("gone IS NULL").drop("gone")
+    kept = F.array_join(F.transform(F.array_except("chunks", "gone"), _text), "\n")
+    changed = cut(joined.filter("gone IS NOT NULL"), every, "doc_id", *held.values(), "gone")
+    changed = changed.select("doc_id", kept.alias("text"), *held.values())
+    whole = same.unionByName(changed).withColumnsRenamed({v: k for k, v in held.items()})
+    return whole.select(*docs.columns)
 
 
 def digest(docs: DataFrame, every: int = EVERY) -> DataFrame:

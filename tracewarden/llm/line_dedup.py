@@ -60,7 +60,7 @@ def repeated(docs: DataFrame, every: int = EVERY) -> DataFrame:
     several = F.filter("chunks", lambda c: _lines(c) > 1)
     keyed = F.transform(several, lambda c: F.struct(F.xxhash64(_text(c)).alias("key"), c.alias("chunk")))
     listed = stored(cut(docs, every, "doc_id").select("doc_id", F.inline(keyed)))
-    again = listed.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
+    again = stored(listed.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key"))
     wanted = listed.join(again, "key").groupBy("doc_id").agg(F.collect_list("chunk").alias("wanted"))
     held = cut(docs.select("doc_id", "text").join(wanted, "doc_id"), every, "doc_id", "wanted")
     compared = F.transform("wanted", lambda c: F.struct(c.alias("chunk"), _text(c).alias("bytes")))

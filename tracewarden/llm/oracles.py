@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries of this folder that SQL can express on whole tables."""
 
+from tracewarden.llm import licences
+
 # Rows of documents as the operators read them: one per id, nulls as no words.
 SPACED = r"regexp_extract_all(coalesce(max(text), ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(max(text), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -139,7 +141,42 @@ SELECT doc_id, size, source_size, target,
 FROM a
 """
 
+def _licences() -> str:
+    rows, idf, other = licences.weights()
+    known = ", ".join(f"('{n}', {i}, '{w}', {x})" for n, i, w, x in rows)
+    worth = ", ".join(f"('{w}', {x})" for w, x in idf.items())
+    return f"""
+WITH known(licence, template, word, weight) AS (SELECT a, b, c, CAST(d AS DOUBLE) FROM (VALUES {known}) t(a, b, c, d)),
+worth(word, idf) AS (SELECT a, CAST(b AS DOUBLE) FROM (VALUES {worth}) t(a, b)),
+docs AS (SELECT doc_id, m.text AS text, coalesce(m.lang, 'none') AS lang, coalesce(m.source, 'none') AS source
+  FROM (SELECT doc_id, max(struct_pack(text := text, lang := lang, source := source)) AS m FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id)),
+files AS (SELECT text, CASE WHEN coalesce(lower(string_split(text, chr(10))[1]) LIKE '%licen%', false)
+  THEN (CASE WHEN length(text) < 300 THEN source WHEN length(text) < 1000 THEN source || '/' || lang
+    ELSE source || '/' || lang || '/' || (doc_id // 100) END) || '/LICENSE.' || doc_id
+  ELSE source || '/' || lang || '/' || (doc_id // 100) || '/' || doc_id || '.txt' END AS path FROM docs),
+lines AS (SELECT DISTINCT path, line FROM (SELECT path, unnest(string_split(text, chr(10))) AS line FROM files WHERE text IS NOT NULL)),
+tf AS (SELECT line, word, count(*) AS tf FROM (SELECT line, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS word
+  FROM (SELECT DISTINCT line FROM lines)) GROUP BY ALL),
+valued AS (SELECT line, word, tf * coalesce(idf, {other}) AS value FROM tf LEFT JOIN worth USING (word)),
+norms AS (SELECT line, sqrt(sum(value * value)) AS norm FROM valued GROUP BY line),
+dots AS (SELECT line, licence, template, sum(value * weight) AS dot FROM valued JOIN known USING (word) GROUP BY ALL),
+scores AS (SELECT path, licence, round(dot / norm, 6) AS score FROM dots JOIN norms USING (line) JOIN lines USING (line)
+  WHERE round(dot / norm, 6) >= {licences.THRESHOLD}),
+own AS (SELECT path, licence, score FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, licence) AS r FROM scores) WHERE r = 1),
+speaking AS (SELECT * FROM (SELECT regexp_replace(path, '/?[^/]*$', '') AS folder, licence, score,
+  row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY score DESC, licence, path) AS r FROM own
+  WHERE regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{licences.LICENCE_FILE}')) WHERE r = 1),
+up AS (SELECT path, s.folder AS from_folder, s.licence, s.score, row_number() OVER (PARTITION BY path ORDER BY length(s.folder) DESC) AS r
+  FROM files JOIN speaking s ON starts_with(path, s.folder || '/'))
+SELECT files.path, coalesce(own.licence, up.licence) AS licence, coalesce(own.score, up.score) AS score,
+  CASE WHEN own.path IS NOT NULL THEN 'own' WHEN up.path IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
+  CASE WHEN own.path IS NULL THEN up.from_folder END AS from_folder
+FROM files LEFT JOIN own ON own.path = files.path LEFT JOIN up ON up.path = files.path AND up.r = 1
+"""
+
+
 ORACLES = {
+    "op4_license_scan": _licences(),
     "op8_source_mixing": MIXING,
     "op2_line_dedup": LINES,
     "op5_benchmark_decontamination": DECONTAMINATION,

@@ -1,10 +1,12 @@
 """One registered query per operator of this folder, over whole tables with production parameters."""
 
-from tracewarden.llm import ann_forest, decontamination, line_dedup, mixing, ngram_join, quality, substring_dedup, suffix_dedup
+from tracewarden.llm import ann_forest, decontamination, language_id, licences, line_dedup, mixing, ngram_join, quality, substring_dedup, suffix_dedup
 from tracewarden.llm.common import table
 from tracewarden.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES = {
+    "op3_language_id": lambda spark, folder: language_id.digest(table(spark, folder, "pages"), table(spark, folder, "documents")),
+    "op4_license_scan": lambda spark, folder: licences.digest(spark, folder),
     "op1_ann_forest": lambda spark, folder: ann_forest.digest(table(spark, folder, "embeddings")),
     "op9_quality_classifier": lambda spark, folder: quality.digest(
         table(spark, folder, "documents"), table(spark, folder, "labels")),

@@ -76,14 +76,14 @@ def deduplicated(docs: DataFrame, every: int = EVERY) -> DataFrame:
     rows = one_per_id(docs, "doc_id", "text", *others)
     # Names of their own, so that no column of the input meets one of ours.
     held = {c: f"_held{i}" for i, c in enumerate(others)}
-    rows = rows.withColumnsRenamed(held)
+    rows = rows.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in held.items()])
     joined = rows.join(repeated(rows, every), "doc_id", "left")
     same = joined.filter("gone IS NULL").drop("gone")
     kept = F.array_join(F.transform(F.array_except("chunks", "gone"), _text), "\n")
     changed = cut(joined.filter("gone IS NOT NULL"), every, "doc_id", *held.values(), "gone")
     changed = changed.select("doc_id", kept.alias("text"), *held.values())
-    whole = same.unionByName(changed).withColumnsRenamed({v: k for k, v in held.items()})
-    return whole.select(*docs.columns)
+    whole = same.unionByName(changed)
+    return whole.select(*[F.col(held.get(c, c)).alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame, every: int = EVERY) -> DataFrame:

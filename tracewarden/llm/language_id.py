@@ -120,7 +120,7 @@ def fused(pages: DataFrame, model: tuple[list[str], np.ndarray], hold: float = H
     total = [int(x or 0) for x in sums(None, "all", hosts).first()["all"]]
     places = hosts.withColumnRenamed("own", "by_host").join(sums("domain", "by_domain", hosts), "domain").join(sums("suffix", "by_suffix", hosts), "suffix")
     declared = stored(sums("declared", "by_declared"))
-    kinds = declared.count()
+    kinds = max(declared.count(), 1)
     joined = base.join(stored(places.drop("domain", "suffix")), "host").join(declared, "declared")
 
     def level(counts: Column, i: int, above: Column) -> Column:

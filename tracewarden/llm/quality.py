@@ -164,13 +164,13 @@ def fit(row: np.ndarray, feature: np.ndarray, soft: np.ndarray, prior: float) ->
     y = soft[row]
     pro, con = np.bincount(feature, weights=y, minlength=size), np.bincount(feature, weights=1 - y, minlength=size)
     n1, n0 = soft.sum(), (1 - soft).sum()
-    odds = np.log((pro + 0.5) / (n1 + 1)) - np.log((con + 0.5) / (n0 + 1))
-    error = np.sqrt(1 / (pro + 0.5) + 1 / (con + 0.5))
-    keep = (np.abs(odds) > 4 * error) & (pro + con >= 5)
+    # Two-proportion test; the tiny term is for features that every text has.
+    seen = pro + con
+    z = (pro * n0 - con * n1) / np.sqrt(seen * n1 * n0 * (1 - seen / (n1 + n0)) + 1e-9)
+    keep = (np.abs(z) > 3.5) & (seen >= 5)
     used = keep[feature]
     row, feature = row[used], feature[used]
     weights, bias = np.zeros(size), 0.0
-    seen = np.zeros(size)
     speed, memory, inertia = 0.5, 0.9, np.zeros(size + 1)
     square = np.zeros(size + 1)
     for step in range(150):

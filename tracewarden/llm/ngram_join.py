@@ -6,12 +6,15 @@ of a third of all documents is thus a map-side combined minimum. Between classes
 * Sets are ordered by hash. Two sets with J >= t and the smaller of size m have at least f(m) = 1 + m // 20 members in
   common among their first |X| - ceil(t|X|) + f(|X|) members (their prefixes), for any monotone f. Prefix members that
   no other document has are dropped (``exchange``); a class left with fewer than f needs no more work.
-* Similar classes form a group: those with the same lowest remaining member. The matrix has a row (token, group) for the
-  union of the prefixes of a group's classes, with the sizes that occur in it. A class is counted against the rows of its
-  own tokens, which bounds its overlap with every set of the group; only groups that reach f are opened.
-* Opening a group compares its queries with up to ``PIVOTS`` of its classes. Two classes that link to one pivot are in one
-  component whatever their own similarity, so only pairs without a common pivot are left, and those are compared all.
-  A group of copies by the thousand costs a few comparisons per copy, and no link between components is lost.
+* Similar classes form a group. Its key is the lowest prefix member that is about as frequent as the class's median member or more,
+  which copies of one text agree on: their edits are rarer, and a line that many texts share is only a few members.
+* The token-group matrix has a row (token, group) for the union of the prefixes of a group's classes, with how many have the
+  token and the sizes that occur. A class is counted against the rows of its own tokens, itself left out, which bounds its overlap
+  with every set of the group; only groups that reach f are opened, of two groups only the larger from the smaller.
+* Opening a group compares its queries with up to ``PIVOTS`` of its classes, in blocks of ``BLOCK`` queries. Two classes that
+  link to one pivot are in one component whatever their own similarity, so only pairs without a common pivot are left, and
+  those are counted all, block by block. A group of copies by the thousand costs a few comparisons per copy, and no link
+  between components is lost.
 
 Links are exact: sets of 64-bit hashes are intersected in full. Nulls, empty texts and texts without words link with
 nothing; shorter texts have their whole word sequence as the only member. Rows without doc_id are left out, and of
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewarden.llm.common import components, one_per_id, part_of, stored, text_bytes
@@ -33,6 +36,7 @@ SIZE = 5
 PERCENT = 80  # J >= PERCENT / 100
 SLACK = 20  # f(m) = 1 + m // SLACK
 PIVOTS = 4
+BLOCK = 500
 
 
 def required(n, percent: int = PERCENT):
@@ -107,71 +111,161 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, slack: in
 def links(docs: DataFrame, reps: DataFrame, size: int = SIZE, percent: int = PERCENT, slack: int = SLACK, pivots: int = PIVOTS) -> DataFrame:
     """(a, b): links between class representatives that connect the same components as all links do."""
     sets = stored(candidates(docs, reps, size, percent, slack))
-    members = sets.select("rep", "n", F.col("prefix")[0].alias("grp"))
-    tokens = sets.select("rep", "n", F.col("prefix")[0].alias("grp"), F.explode("prefix").alias("token"))
-    matrix = tokens.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    fits = (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
-    least = 1 + F.floor(F.ceil(percent * F.col("n") / 100) / slack)
-    opened = stored(
-        tokens.select("rep", "n", "token").join(matrix, "token").filter(fits)
-        .groupBy("rep", "n", F.col("grp")).agg(F.count("*").alias("bound")).filter(F.col("bound") >= least)
-        .select("rep", "n", "grp")
-    )
-    # Up to ``pivots`` classes of each group, spread by hash; a count per key that is combined before the shuffle.
-    rank = F.row_number().over(_by("grp").orderBy(F.xxhash64("rep"), "rep"))
-    chosen = stored(members.withColumn("slot", rank).filter(F.col("slot") <= pivots).select("grp", "slot", F.col("rep").alias("pivot"), F.col("n").alias("m")))
-    pairs = opened.join(chosen, "grp").filter(_sizes("n", "m", percent))
-    linked = stored(pairs.select("rep", "grp", "slot", "pivot").transform(lambda p: verified(p, sets, "rep", "pivot", percent)))
+    members = grouped(sets.select("rep", "n", "prefix"), percent, slack)
+    opened = stored(qualifying(members, percent, slack))
+    members = members.select("rep", "grp")
+    rank = F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("rep"), "rep"))
+    chosen = stored(members.withColumn("slot", rank).filter(F.col("slot") <= pivots).select("grp", "rep", "slot"))
+    linked = stored(compared(opened, chosen, sets.select("rep", "text"), size, percent))
     # Which pivots of a group a class links to, as bits; equal bits are one cell.
-    bits = linked.groupBy("rep", "grp").agg(F.sum(F.expr("shiftleft(1, slot - 1)")).alias("bits"))
-    queries = opened.join(bits, ["rep", "grp"], "left").select("rep", "n", "grp", F.coalesce("bits", F.lit(0)).alias("bits"))
-    # A group whose classes are all pivots is done.
-    large = members.groupBy("grp").agg(F.count("*").alias("k")).filter(F.col("k") > pivots).select("grp")
-    queries = queries.join(large, "grp", "left_semi")
-    held = members.join(bits, ["rep", "grp"], "left").select("rep", "n", "grp", F.coalesce("bits", F.lit(0)).alias("bits")).join(large, "grp", "left_semi")
-    cells = queries.groupBy("grp", "bits").agg(F.count("*").alias("c1")).join(
-        held.groupBy("grp", F.col("bits").alias("bits2")).agg(F.count("*").alias("c2")), "grp"
-    ).filter(F.col("bits").bitwiseAND(F.col("bits2")) == 0).select("grp", "bits", "bits2")
-    rest = (
-        queries.join(cells, ["grp", "bits"])
-        .join(held.select(F.col("rep").alias("other"), F.col("n").alias("m"), "grp", F.col("bits").alias("bits2")), ["grp", "bits2"])
-        .filter(F.col("rep") != F.col("other")).filter(_sizes("n", "m", percent))
-        .select(F.least("rep", "other").alias("rep"), F.greatest("rep", "other").alias("other")).distinct()
-    )
-    left = verified(likely(rest, sets, slack, percent), sets, "rep", "other", percent)
-    return linked.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).unionByName(
-        left.select(F.col("rep").alias("a"), F.col("other").alias("b")))
-
-
-def _by(key: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key)
-
-
-def _sizes(n: str, m: str, percent: int):
-    return (100 * F.col(n) >= percent * F.col(m)) & (100 * F.col(m) >= percent * F.col(n))
-
-
-def likely(pairs: DataFrame, sets: DataFrame, slack: int, percent: int) -> DataFrame:
-    """Pairs whose prefixes overlap enough."""
-    x = sets.select(F.col("rep"), F.col("n").alias("_n"), F.col("prefix").alias("_p"))
-    y = sets.select(F.col("rep").alias("other"), F.col("n").alias("_m"), F.col("prefix").alias("_q"))
-    need = 1 + F.floor(F.least("_n", "_m") / slack)
-    return pairs.join(x, "rep").join(y, "other").filter(F.size(F.array_intersect("_p", "_q")) >= need).select(*pairs.columns)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, a: str, b: str, percent: int) -> DataFrame:
-    """Pairs of different classes with J >= percent / 100, from their whole sets."""
-    x = sets.select(F.col("rep").alias(a), F.col("tokens").alias("_x"))
-    y = sets.select(F.col("rep").alias(b), F.col("tokens").alias("_y"))
-    both = F.size(F.array_intersect("_x", "_y"))
-    good = pairs.filter(F.col(a) != F.col(b)).join(x, a).join(y, b).withColumn("_both", both)
-    return good.filter(100 * F.col("_both") >= percent * (F.size("_x") + F.size("_y") - F.col("_both"))).select(*pairs.columns)
+    bits = stored(linked.groupBy("rep", "grp").agg(F.sum(F.expr("shiftleft(1, slot - 1)")).alias("bits")))
+    marked = lambda rows: rows.join(bits, ["rep", "grp"], "left").fillna(0, ["bits"])
+    queries = stored(marked(opened.select("rep", "grp").join(chosen, ["rep", "grp"], "left_anti")))
+    held = marked(members.join(chosen, ["rep", "grp"], "left_anti").join(stored(queries.select("grp").distinct()), "grp", "left_semi"))
+    open_ = stored(queries.select("rep", "grp", "bits").unionByName(held.select("rep", "grp", "bits")).distinct())
+    left = crossed(open_, sets.select("rep", "text"), size, percent)
+    return linked.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).unionByName(left)
+
+
+def crossed(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): edges that connect what links between cells of a group without a common pivot connect.
+
+    Cells are cut into blocks, and a task counts the overlaps of one pair of blocks as a matrix product over the tokens that both
+    have. It returns an edge per class, not its links, however many there are.
+    """
+    cells = stored(rows.groupBy("grp", "bits").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    pairs = cells.join(cells.select("grp", F.col("bits").alias("bits2"), F.col("blocks").alias("blocks2")), "grp")
+    pairs = stored(pairs.filter((F.col("bits") <= F.col("bits2")) & (F.col("bits").bitwiseAND(F.col("bits2")) == 0)))
+    here = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    same = F.col("bits") == F.col("bits2")
+    first = rows.join(pairs, ["grp", "bits"]).withColumn("i", here("blocks"))
+    first = first.withColumn("j", F.explode(F.sequence(F.when(same, F.col("i")).otherwise(0), F.col("blocks2") - 1)))
+    second = rows.withColumnRenamed("bits", "bits2").join(pairs, ["grp", "bits2"]).withColumn("j", here("blocks2"))
+    second = second.withColumn("i", F.explode(F.sequence(F.lit(0), F.when(same, F.col("j")).otherwise(F.col("blocks") - 1))))
+    second = second.filter(~(same & (F.col("i") == F.col("j"))))
+    keys = ["grp", "bits", "bits2", "i", "j"]
+    dealt = first.select("rep", *keys, F.lit(0).alias("side")).unionByName(second.select("rep", *keys, F.lit(1).alias("side")))
+
+    def run(table: pa.Table) -> pa.Table:
+        reps, side = table["rep"].to_numpy(), table["side"].to_numpy()
+        row, prints, n = whole_sets(table["text"], size)
+        x = np.flatnonzero(side == 0)
+        y = np.flatnonzero(side == 1) if (side == 1).any() or table["i"][0].as_py() != table["j"][0].as_py() or table["bits"][0].as_py() != table["bits2"][0].as_py() else x
+        both = overlaps(row, prints, x, y, len(reps))
+        link = 100 * both >= percent * (n[x][:, None] + n[y][None, :] - both)
+        link &= reps[x][:, None] != reps[y][None, :]
+        most = np.iinfo(np.int64).max
+        label = {int(r): int(r) for r in reps}
+        left, right = reps[x].copy(), reps[y].copy()
+        while link.any():  # lowest label along links, both ways, until it rests
+            a = np.minimum(left, np.where(link, right[None, :], most).min(1))
+            b = np.minimum(right, np.where(link, a[:, None], most).min(0))
+            for ids, new in ((reps[x], a), (reps[y], b)):
+                for r, v in zip(ids.tolist(), new.tolist()):
+                    label[r] = min(label[r], v)
+            a, b = (np.array([label[r] for r in ids.tolist()], np.int64) for ids in (reps[x], reps[y]))
+            if (a == left).all() and (b == right).all():
+                break
+            left, right = a, b
+        edges = sorted((r, v) for r, v in label.items() if r != v)
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+    return dealt.join(texts, "rep").groupBy(*keys).applyInArrow(run, "a bigint, b bigint")
+
+
+def overlaps(row: np.ndarray, prints: np.ndarray, x: np.ndarray, y: np.ndarray, count: int) -> np.ndarray:
+    """Sizes of the intersections of the sets ``x`` with the sets ``y``."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    at = [np.full(count, -1) for _ in range(2)]
+    at[0][x], at[1][y] = np.arange(len(x)), np.arange(len(y))
+    mine = [at[k][row] for k in range(2)]
+    common = np.intersect1d(prints[mine[0] >= 0], prints[mine[1] >= 0])
+    column = np.searchsorted(common, prints)
+    known = (column < len(common)) & (common[np.minimum(column, len(common) - 1)] == prints) if len(common) else np.zeros(len(prints), bool)
+    order = np.argsort(column[known], kind="stable")
+    column, mine = column[known][order], [m[known][order] for m in mine]
+    for start in range(0, len(common), 2048):
+        part = slice(*np.searchsorted(column, (start, start + 2048)))
+        halves = []
+        for m, size in zip(mine, out.shape):
+            dense, here = np.zeros((size, 2048), np.float32), m[part] >= 0
+            dense[m[part][here], column[part][here] - start] = 1
+            halves.append(dense)
+        out += halves[0] @ halves[1].T
+    return out.astype(np.int64)
+
+
+def grouped(sets: DataFrame, percent: int, slack: int) -> DataFrame:
+    """(rep, n, grp, k, prefix): the group of each class that still shares enough, with the size of the group."""
+    tokens = sets.select("rep", "n", F.explode("prefix").alias("token"))
+    often = stored(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"))
+    each = tokens.join(often, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    each = each.filter(F.size("t") >= _need(F.col("n"), percent, slack))
+    median = F.get("t", F.floor(F.size("t") / 2).cast("int"))["df"]
+    usual = F.filter("t", lambda x: 2 * x["df"] >= median)
+    key = F.array_min(F.transform(usual, lambda x: x["token"]))
+    rows = stored(each.select("rep", "n", key.alias("grp"), F.transform("t", lambda x: x["token"]).alias("prefix")))
+    return rows.join(stored(rows.groupBy("grp").agg(F.count("*").alias("k"))), "grp")
+
+
+def _need(n: Column, percent: int, slack: int) -> Column:
+    return 1 + F.floor(F.ceil(percent * n / 100) / slack)
+
+
+def qualifying(members: DataFrame, percent: int, slack: int) -> DataFrame:
+    """(rep, n, grp): the groups each class has to open."""
+    tokens = members.select("rep", "n", "grp", "k", F.explode("prefix").alias("token"))
+    matrix = stored(tokens.groupBy("token", "grp", "k").agg(
+        F.count("*").alias("holders"), F.min("n").alias("low"), F.max("n").alias("high")))
+    queries = tokens.select("rep", "n", "token", F.col("grp").alias("home"), F.col("k").alias("home_k"))
+    own = (F.col("grp") == F.col("home")) & (F.col("holders") > 1)
+    up = (F.col("grp") != F.col("home")) & (F.struct("home_k", "home") < F.struct("k", "grp"))
+    fits = (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
+    met = queries.join(matrix, "token").filter((own | up) & fits)
+    bound = met.groupBy("rep", "n", "grp").agg(F.count("*").alias("bound"))
+    return bound.filter(F.col("bound") >= _need(F.col("n"), percent, slack)).select("rep", "n", "grp")
+
+
+def compared(opened: DataFrame, chosen: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(rep, grp, slot, pivot): the pivots of opened groups that the queries link to, from their whole sets."""
+    blocks = stored(opened.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    asking = opened.join(chosen, ["rep", "grp"], "left_anti").select("rep", "grp").join(blocks, "grp")
+    asking = asking.select("rep", "grp", F.lit(0).alias("slot"), F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+    asked = chosen.join(blocks, "grp").select("rep", "grp", "slot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    rows = asking.unionByName(asked).join(texts, "rep")
+
+    def run(table: pa.Table) -> pa.Table:
+        reps, slots = table["rep"].to_numpy(), table["slot"].to_numpy()
+        first = int(table["block"][0].as_py()) == 0
+        row, prints, n = whole_sets(table["text"], size)
+        out = []
+        for p in np.flatnonzero(slots > 0):
+            mine = np.sort(prints[row == p])
+            spot = np.minimum(np.searchsorted(mine, prints), len(mine) - 1)
+            both = np.bincount(row[mine[spot] == prints], minlength=len(n))
+            good = (100 * both >= percent * (n + n[p] - both)) & (reps != reps[p]) & ((slots == 0) | first)
+            out += [(int(reps[q]), int(slots[p]), int(reps[p])) for q in np.flatnonzero(good)]
+        columns = list(zip(*out)) or [[]] * 3
+        grp = pa.array([table["grp"][0].as_py()] * len(out), pa.int64())
+        return pa.table({"rep": pa.array(columns[0], pa.int64()), "grp": grp, "slot": pa.array(columns[1], pa.int32()),
+                         "pivot": pa.array(columns[2], pa.int64())})
+
+    return rows.groupBy("grp", "block").applyInArrow(run, "rep bigint, grp bigint, slot int, pivot bigint")
+
+
+def whole_sets(texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash) of the sets of a text column, and their sizes."""
+    rows, prints = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for s in slices(texts, lower=True):
+        row, p = shingle_sets(s, size)
+        rows.append(row + s.rows.start)
+        prints.append(p)
+    row = np.concatenate(rows)
+    return row, np.concatenate(prints), np.bincount(row, minlength=len(texts))
 
 
 def candidates(docs: DataFrame, reps: DataFrame, size: int, percent: int, slack: int) -> DataFrame:
-    """(rep, n, prefix, tokens): classes that share enough of their prefix; ``prefix`` has only shared members."""
+    """(rep, n, prefix, text): classes that share enough of their prefix; ``prefix`` has only shared members."""
     layout = Layout.of(text_bytes(docs), 0.25)
 
     def prefixes(s):
@@ -212,17 +306,15 @@ def candidates(docs: DataFrame, reps: DataFrame, size: int, percent: int, slack:
                 answer = told.get(int(mine[r]))
                 if answer is None:
                     continue
-                whole = prints[cuts[r] : cuts[r + 1]]
-                lead = whole[: int(early[cuts[r] : cuts[r + 1]].sum())]
+                lead = prints[cuts[r] : cuts[r + 1]][early[cuts[r] : cuts[r + 1]]]
                 lead = lead[np.isin(short(lead), answer[0])]
                 if len(lead) >= least[r]:
-                    out.append((int(mine[r]), int(n[r]), lead.view(np.int64), whole.view(np.int64)))
+                    out.append((int(mine[r]), int(n[r]), lead.view(np.int64), texts[s.rows.start + int(r)].as_py()))
         columns = list(zip(*out)) or [[]] * 4
-        kind = pa.list_(pa.int64())
         return pa.table({"rep": pa.array(columns[0], pa.int64()), "n": pa.array(columns[1], pa.int64()),
-                         "prefix": pa.array(columns[2], kind), "tokens": pa.array(columns[3], kind)})
+                         "prefix": pa.array(columns[2], pa.list_(pa.int64())), "text": pa.array(columns[3], pa.string())})
 
-    return answered(docs, listed, layout, pick, "rep bigint, n bigint, prefix array<bigint>, tokens array<bigint>")
+    return answered(docs, listed, layout, pick, "rep bigint, n bigint, prefix array<bigint>, text string")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -53,11 +53,11 @@ def cases(log: DataFrame) -> DataFrame:
 
 
 def case_notes(log: DataFrame) -> DataFrame:
-    """Notes of each case, oldest first; written by people, so lists stay short."""
+    """Notes of each case, oldest first, equal times by content; written by people, so lists stay short."""
     note = F.struct(
-        F.col("at").alias("timestamp"),
+        F.col("at").alias("timestamp"), "content",
         F.sha2(F.concat_ws("\u0001", "investigation_id", F.col("at").cast("string"), "content"), 256).alias("id"),
-        "content", "author", "note_type",
+        "author", "note_type",
     )
     return log.filter("action = 'note'").groupBy("investigation_id").agg(F.array_sort(F.collect_list(note)).alias("notes"))
 

@@ -107,16 +107,20 @@ def why(text: Column, description: Column, meta: Column, technique: Column, tact
     )
 
 
-def how(commands: Column, steps: Column, actor: Column, source_host: Column, target: Column, meta: Column) -> Column:
+def filled(text: Column, actor: Column, source_host: Column, target: Column, meta: Column) -> Column:
+    """A template text with its placeholders replaced, from the alert and then from its metadata."""
     ip = F.element_at(F.split(actor, "@"), -1)
+    for name, value in (("actor", actor), ("source_host", source_host), ("source_ip", ip), ("target", target)):
+        text = F.replace(text, F.lit("{" + name + "}"), F.coalesce(value, F.lit("unknown")))
+    return F.aggregate(
+        F.map_entries(F.coalesce(meta, F.create_map().cast("map<string,string>"))), text,
+        lambda acc, e: F.replace(acc, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"]),
+    )
 
+
+def how(commands: Column, steps: Column, actor: Column, source_host: Column, target: Column, meta: Column) -> Column:
     def fill(text: Column) -> Column:
-        for name, value in (("actor", actor), ("source_host", source_host), ("source_ip", ip), ("target", target)):
-            text = F.replace(text, F.lit("{" + name + "}"), F.coalesce(value, F.lit("unknown")))
-        return F.aggregate(
-            F.map_entries(F.coalesce(meta, F.create_map().cast("map<string,string>"))), text,
-            lambda acc, e: F.replace(acc, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"]),
-        )
+        return filled(text, actor, source_host, target, meta)
 
     def numbered(step: Column, i: Column) -> Column:
         return F.concat((i + 1).cast("string"), F.lit(". "), step)
@@ -148,14 +152,15 @@ def five_w(alerts: DataFrame, as_of, texts: DataFrame | None = None) -> DataFram
     joined = alerts.join(F.broadcast(own), "alert_type", "left").withColumn("template", F.coalesce("_own", F.lit("default")))
     joined = joined.join(F.broadcast(texts), "template", "left")
     target, meta = or_unknown(F.col("target")), F.col("metadata")
+    parts = (F.col("actor"), F.col("source_host"), target, meta)
     hosts = F.col("distinct_hosts") if "distinct_hosts" in alerts.columns else F.lit(None).cast("array<string>")
     span = F.element_at(meta, F.lit("span_seconds")).try_cast("long")
     return joined.withColumn("five_w", F.struct(
         who(F.col("actor"), target).alias("who"),
-        F.col("what"),
+        filled(F.col("what"), *parts).alias("what"),
         where(F.col("source_host"), target, hosts).alias("where"),
         when(F.col("timestamp"), span, as_of).alias("when"),
-        why(F.col("why"), F.col("description"), meta, F.col("mitre_technique"), F.col("mitre_tactic"),
+        why(filled(F.col("why"), *parts), F.col("description"), meta, F.col("mitre_technique"), F.col("mitre_tactic"),
             F.col("sigma_rule_id")).alias("why"),
         how(F.col("commands"), F.col("remediation"), F.col("actor"),
             F.col("source_host"), target, meta).alias("how"),

@@ -15,7 +15,7 @@ from tracewarden.functions import fixed, predicates as p, text, times
 from tracewarden.operators import cases, correlate, entities, narrative, normalize, reports, search, sigma, validate
 from tracewarden.plans import detection
 from tracewarden.plans.adapter import load, load_events
-from tracewarden.plans.oracles import SIGMA, entity_type, risk_label, with_ctes
+from tracewarden.plans.oracles import NARRATIVE_ROWS, SIGMA, entity_type, risk_label, with_ctes
 from tracewarden.session import reliable
 from tracewarden.sources import files, tables
 
@@ -259,9 +259,9 @@ _OPTIONS = {"window_s": W, "hosts": 2, "cooldown_s": 7200, "brute_force_threshol
 
 @events_query("detect_alerts", with_ctes(
     f"""SELECT {_KEPT}, severity, severity_score, title, description, array_to_string(event_ids, ',') AS event_ids,
-    mitre_technique, mitre_tactic, 'open' AS status FROM kept WHERE stage < 10000 OR stage >= 20000""", "kept"))
+    mitre_technique, mitre_tactic, 'open' AS status FROM kept""", "kept"))
 def _(ev):
-    return detection.detect(ev, **_OPTIONS).filter("stage < 10000 OR stage >= 20000").select(
+    return detection.detect(ev, **_OPTIONS).select(
         *_KEPT.split(", "), "severity", "severity_score", "title", "description", "event_ids", "mitre_technique",
         "mitre_tactic", "status")
 
@@ -271,12 +271,12 @@ def _(ev):
     CASE WHEN regexp_matches(actor, '[0-9]') AND contains(actor, '.') THEN concat('Ip Address: ', actor) ELSE concat('User Account: ', actor) END AS who,
     hour(timestamp) >= 18 OR hour(timestamp) < 7 AS is_after_hours,
     concat(strftime(timestamp, '%Y-%m-%d %H:%M:%S'), ' UTC') AS at,
-    concat(epoch_us(TIMESTAMP '{AS_OF}' - timestamp) // 86400000000, ' days ago') AS relative,
+    CASE WHEN s < 60 THEN concat(s, ' seconds ago') WHEN s < 3600 THEN concat(s // 60, ' minutes ago') WHEN s < 86400 THEN concat(s // 3600, ' hours ago')
+      ELSE concat(s // 86400, ' days ago') END AS relative,
     CASE WHEN mitre_technique = '' THEN NULL ELSE concat('https://attack.mitre.org/techniques/', replace(mitre_technique, '.', '/'), '/') END AS url
-    FROM kept WHERE epoch_us(TIMESTAMP '{AS_OF}' - timestamp) >= 86400000000""", "kept"))
+    FROM (SELECT *, epoch_us(TIMESTAMP '{AS_OF}' - timestamp) // 1000000 AS s FROM kept)""", "kept"))
 def _(ev):
-    told = detection.investigate(ev, AS_OF, **_OPTIONS)
-    return told.filter(F.col("timestamp") <= F.lit(AS_OF).cast("timestamp") - F.expr("INTERVAL 1 DAY")).select(
+    return detection.investigate(ev, AS_OF, **_OPTIONS).select(
         *_KEPT.split(", "), F.col("five_w.who.summary").alias("who"), "five_w.when.is_after_hours",
         F.col("five_w.when.utc_formatted").alias("at"), "five_w.when.relative", F.col("five_w.why.mitre_url").alias("url"))
 
@@ -284,10 +284,9 @@ def _(ev):
 # ---- Rule packs ----
 
 @events_query("sigma_builtin", with_ctes(
-    f"SELECT sigma_rule_id, stage, {_RULE_SQL.replace('title, ', '')} FROM sig", "sig"))
+    f"SELECT sigma_rule_id, stage, description, {_RULE_SQL} FROM sig", "sig"))
 def _(ev):
-    columns = [c for c in _RULE_COLUMNS if c != "title"]
-    return sigma.sigma_match(ev, sigma.RulePack.builtin()).select("sigma_rule_id", "stage", *columns)
+    return sigma.sigma_match(ev, sigma.RulePack.builtin()).select("sigma_rule_id", "stage", "description", *_RULE_COLUMNS)
 
 
 # Modifiers, lists, wildcards, null, quantifiers and nesting, over the adapter events: (id, YAML body, WHERE).
@@ -472,12 +471,13 @@ def _(ev):
 
 
 @events_query("risk_decay", with_ctes(
-    f"""SELECT *, {risk_label('risk_score')} AS risk_label FROM (SELECT entity_id, last_risk_update < TIMESTAMP '2024-02-03' AS known,
+    f"""SELECT *, {risk_label('risk_score')} AS risk_label FROM (SELECT entity_id,
+    CASE WHEN h >= 24 AND greatest(0, risk_score - 2 * h) < risk_score THEN TIMESTAMP '2024-02-03' ELSE last_risk_update END AS last_risk_update,
     round(CASE WHEN h >= 24 THEN greatest(0, risk_score - 2 * h) ELSE risk_score END, 2) AS risk_score
     FROM (SELECT *, epoch_us(TIMESTAMP '2024-02-03' - last_risk_update) / 3600000000.0 AS h FROM snap))""", "snap"))
 def _(ev):
     low = entities.decay(_snapshot(ev), "2024-02-03")
-    return low.select("entity_id", F.lit(True).alias("known"), "risk_score", "risk_label")
+    return low.select("entity_id", "last_risk_update", "risk_score", "risk_label")
 
 
 @events_query("mark_stale", with_ctes(
@@ -537,10 +537,10 @@ def _stored_alerts(ev) -> DataFrame:
 _LOG_SQL = """SELECT alert_id, timestamp + INTERVAL 1 HOUR AS moment, CASE right(event_id, 1) WHEN '1' THEN 'acknowledged' WHEN '2' THEN 'resolved'
   WHEN '3' THEN 'acknowledged' ELSE 'false_positive' END AS status, 'ann' AS "by" FROM alerts WHERE right(event_id, 1) IN ('1','2','3','4')
  UNION ALL SELECT alert_id, timestamp + INTERVAL 2 HOUR, 'resolved', 'bob' FROM alerts WHERE right(event_id, 1) = '3'"""
-_STATE_SQL = """SELECT a.* EXCLUDE (status), coalesce((SELECT max_by(status, moment) FROM log WHERE log.alert_id = a.alert_id), a.status) AS status,
- (SELECT max_by("by", moment) FROM log WHERE log.alert_id = a.alert_id AND log.status = 'acknowledged') AS acknowledged_by,
- (SELECT max(moment) FROM log WHERE log.alert_id = a.alert_id AND log.status = 'acknowledged') AS acknowledged_at,
- (SELECT max(moment) FROM log WHERE log.alert_id = a.alert_id AND log.status = 'resolved') AS resolved_at FROM alerts a"""
+_STATE_SQL = """SELECT a.* EXCLUDE (status), coalesce(g.status, a.status) AS status, acknowledged_by, acknowledged_at, resolved_at
+ FROM alerts a LEFT JOIN (SELECT alert_id, max_by(status, moment) AS status, max_by("by", moment) FILTER (status = 'acknowledged') AS acknowledged_by,
+  max(moment) FILTER (status = 'acknowledged') AS acknowledged_at, max(moment) FILTER (status = 'resolved') AS resolved_at
+  FROM log GROUP BY alert_id) g ON g.alert_id = a.alert_id"""
 
 
 def _status_log(alerts: DataFrame) -> DataFrame:
@@ -608,6 +608,11 @@ def _(ev):
 
 # ---- Narratives ----
 
+# Placeholders of a narrative text, filled as the operator fills them.
+_FILL = ("replace(replace(replace(replace({}, '{{actor}}', actor), '{{source_host}}', source_host), "
+         "'{{source_ip}}', list_last(string_split(actor, '@'))), '{{target}}', CASE WHEN coalesce(target, '') = '' THEN 'unknown' ELSE target END)")
+
+
 @events_query("narrative_sections", with_ctes(
     f"""SELECT alert_id,
     CASE WHEN regexp_matches(actor, '[0-9]') AND contains(actor, '.') THEN 'IP address' ELSE 'user account' END AS actor_type,
@@ -615,24 +620,25 @@ def _(ev):
     CASE WHEN s < 60 THEN concat(s, ' seconds ago') WHEN s < 3600 THEN concat(s // 60, ' minutes ago') WHEN s < 86400 THEN concat(s // 3600, ' hours ago')
       ELSE concat(s // 86400, ' days ago') END AS relative,
     CASE WHEN sigma_rule_id IS NOT NULL THEN concat('Rule: ', sigma_rule_id) ELSE concat('MITRE ', mitre_technique) END AS reason,
-    starts_with(alert_type, 'sigma:') AS generic
-    FROM (SELECT *, epoch_us(TIMESTAMP '{AS_OF}' - timestamp) // 1000000 AS s FROM alerts)""", "alerts"))
+    {_FILL.format("what")} AS what, {_FILL.format("why")} AS why
+    FROM (SELECT *, epoch_us(TIMESTAMP '{AS_OF}' - timestamp) // 1000000 AS s FROM alerts) a
+    JOIN texts ON template = CASE WHEN starts_with(alert_type, 'sigma:') THEN 'default' ELSE alert_type END""", "alerts", texts=NARRATIVE_ROWS))
 def _(ev):
     told = narrative.five_w(_alerts(ev), AS_OF)
-    default = "An event matched a known suspicious pattern. Its details tell what and how far."
     return told.select(
         "alert_id", "five_w.who.actor_type", F.col("five_w.where.summary").alias("place"), "five_w.when.hour",
-        "five_w.when.relative", F.col("five_w.why.summary").alias("reason"), (F.col("five_w.what") == default).alias("generic"))
+        "five_w.when.relative", F.col("five_w.why.summary").alias("reason"), "five_w.what", F.col("five_w.why.explanation").alias("why"))
 
 
 @events_query("narrative_how", with_ctes(
-    """SELECT alert_id, CASE WHEN alert_type = 'brute_force' THEN 4 ELSE 3 END AS command_count,
-    concat('net user ', actor, ' /domain') AS account_command FROM alerts WHERE alert_type IN ('credential_stuffing')""", "alerts"))
+    f"""SELECT alert_id, {_FILL.format("commands")} AS commands, {_FILL.format("steps")} AS steps, runnable AS command_count
+    FROM alerts JOIN texts ON template = CASE WHEN starts_with(alert_type, 'sigma:') THEN 'default' ELSE alert_type END""",
+    "alerts", texts=NARRATIVE_ROWS))
 def _(ev):
-    told = narrative.five_w(_alerts(ev).filter("alert_type = 'credential_stuffing'"), AS_OF)
+    told = narrative.five_w(_alerts(ev), AS_OF)
     return told.select(
-        "alert_id", "five_w.how.command_count",
-        F.get(F.filter("five_w.how.windows_commands", lambda c: c.startswith("net user")), F.lit(0)).alias("account_command"))
+        "alert_id", F.array_join("five_w.how.investigation_commands", "\n").alias("commands"),
+        F.array_join("five_w.how.remediation_steps", "\n").alias("steps"), "five_w.how.command_count")
 
 
 # ---- Cases: a log made from the alerts, one case per actor ----
@@ -690,10 +696,9 @@ def _(ev):
 
 @events_query("case_notes", with_ctes(
     """SELECT actor AS investigation_id, count(*) AS notes, string_agg(alert_type, ',' ORDER BY timestamp, alert_type) AS contents
-    FROM alerts WHERE stage >= 20000 AND alert_type IN ('brute_force', 'credential_stuffing') GROUP BY 1""", "alerts"))
+    FROM alerts WHERE stage >= 20000 GROUP BY 1""", "alerts"))
 def _(ev):
-    log = _case_log(_stored_alerts(ev).filter(F.col("alert_type").isin("brute_force", "credential_stuffing")))
-    return cases.case_notes(log).select(
+    return cases.case_notes(_case_log(_stored_alerts(ev))).select(
         "investigation_id", F.size("notes").cast("long").alias("notes"), F.array_join("notes.content", ",").alias("contents"))
 
 

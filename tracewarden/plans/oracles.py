@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import yaml
+
 W = "INTERVAL 86400 SECONDS"
 
 CTES: dict[str, str] = {}
@@ -97,6 +101,22 @@ RULES = {
 }
 CTES["corr"] = " UNION ALL ".join(RULES.values())
 
+
+
+def sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+# The texts of rules and narratives are configuration, not results.
+_RESOURCES = Path(__file__).parent.parent / "resources"
+RULE_TEXTS = {r["id"]: r for r in yaml.safe_load((_RESOURCES / "builtin_rules.yml").read_text())}
+NARRATIVES = yaml.safe_load((_RESOURCES / "narratives.yml").read_text())
+NARRATIVE_ROWS = "SELECT * FROM (VALUES " + ", ".join(
+    f"({sql_text(k)}, {sql_text(t['what'])}, {sql_text(t['why'])}, {sql_text(chr(10).join(t['commands']))}, "
+    f"{sql_text(chr(10).join(f'{i + 1}. {x}' for i, x in enumerate(t['remediation'])))}, "
+    f"{sum(1 for c in t['commands'] if c.strip() and not c.startswith('#'))})"
+    for k, t in NARRATIVES.items()) + ") t(template, what, why, commands, steps, runnable)"
+
 # Built-in rules on the adapter events: (rule number, id, title, description, severity, score, technique, tactic, where).
 SIGMA = [
     (0, "builtin-001", "CRITICAL", 10, "T1070.001", "defense-evasion", "platform='windows' AND raw_event_id=1102"),
@@ -113,7 +133,8 @@ SIGMA = [
 ]
 CTES["sig"] = " UNION ALL ".join(
     f"""SELECT {10000 + i} AS stage, 'sigma:{rid}' AS alert_type, '{sev}' AS severity, {score} AS severity_score,
- {_CAND}, '{rid}' AS sigma_rule_id, '{tech}' AS mitre_technique, '{tac}' AS mitre_tactic, [event_id] AS event_ids
+ {_CAND}, '{rid}' AS sigma_rule_id, '{tech}' AS mitre_technique, '{tac}' AS mitre_tactic, [event_id] AS event_ids,
+ {sql_text(RULE_TEXTS[rid]["title"])} AS title, {sql_text(RULE_TEXTS[rid]["description"])} AS description
  FROM f WHERE {where}""" for i, rid, sev, score, tech, tac, where in SIGMA)
 
 # The alert table of the search, report, case and narrative queries: rule packs and window rules, before cooldown.
@@ -226,7 +247,7 @@ UNION ALL SELECT 0, flag, severity, severity_score, concat(
 UNION ALL SELECT 30000, 'lateral_movement', 'CRITICAL', 10, t, t, actor, target, source, timestamp, event_id, [event_id], '', '' FROM (
    SELECT *, concat(actor, ' authenticated to ', len(hosts), ' distinct hosts within 1440 minutes: ', array_to_string(hosts[:5], ', ')) AS t
    FROM lat WHERE len(hosts) >= 2)
-UNION ALL SELECT stage, alert_type, severity, severity_score, NULL, NULL, actor, target, source_host, timestamp, event_id, event_ids, mitre_technique, mitre_tactic FROM sig"""
+UNION ALL SELECT stage, alert_type, severity, severity_score, title, description, actor, target, source_host, timestamp, event_id, event_ids, mitre_technique, mitre_tactic FROM sig"""
 CTES["firsts"] = """
 SELECT *, row_number() OVER (PARTITION BY alert_type, actor, source_host ORDER BY timestamp) AS rn FROM (
  SELECT *, row_number() OVER (PARTITION BY alert_type, actor, source_host, timestamp ORDER BY event_id, stage) AS one FROM cand) WHERE one = 1"""

@@ -104,3 +104,69 @@ def test_detectors_hot_equal_plain(events):
         plain, split = fn(4_000_000), fn(45)
         pick = [x for x in plain.columns if x not in ("metadata", "proof")]
         assert rows_of(plain.select(*pick)) == rows_of(split.select(*pick))
+
+
+def with_nulls(spark):
+    rows, _ = skewed(spark, 400)
+    rows += [(None, "a", i * 1_000_000, f"n{i}") for i in range(120)] + [("hot", "b", None, f"t{i}") for i in range(60)]
+    rows += [(None, None, None, f"z{i}") for i in range(50)] + rows[:30]
+    return rows, spark.createDataFrame(rows, "actor string, source string, _us long, event_id string")
+
+
+def test_nulls_and_copies_on_both_paths(spark):
+    rows, df = with_nulls(spark)
+    args = (["actor"], ["_us"], {"n": F.lit(1)}, {"m": F.col("_us")}, True)
+    plain = running_totals(df, *args)
+    assert plain.count() == len(rows)
+    for hot in (20, 100):
+        assert rows_of(plain) == rows_of(running_totals(df, *args, hot_rows=hot).select(*plain.columns))
+
+
+def test_spacing_keeps_null_keys(spark):
+    rows, df = with_nulls(spark)
+    df = df.filter("_us IS NOT NULL")
+    gap = 90_000_000
+    want = set()
+    for actor in {r[0] for r in rows}:
+        last = None
+        for us in sorted(r[2] for r in rows if r[0] == actor and r[2] is not None):
+            if last is None or us - last >= gap:
+                want.add((actor, us))
+                last = us
+    for hot in (25, 4_000_000):
+        assert {tuple(r) for r in greedy_spacing(df.select("actor", "_us"), ["actor"], "_us", gap, hot_rows=hot).collect()} == want
+
+
+def test_cooldown_keeps_null_keys(spark, make):
+    events = make([(i * 400, None if i % 2 else "bob", None, 1102) for i in range(8)])
+    found = c.audit_log_cleared(events)
+    kept = c.cooldown(found, 300).collect()
+    assert len(kept) == 8 and sum(r["actor"] is None for r in kept) == 4
+
+
+def test_copies_of_events_change_nothing(spark, make):
+    from tracewarden.plans.detection import detect
+
+    events = make([(i * 20, "bob", f"h{i % 4}", 4625 if i % 3 else 4624) for i in range(60)])
+    later = events.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 5 SECONDS"))
+    options = {"window_s": 600, "hosts": 2, "brute_force_threshold": 5}
+    once = detect(events, **options).select("alert_id", "timestamp", "description", "event_ids")
+    thrice = detect(events.unionByName(events).unionByName(later), **options).select("alert_id", "timestamp", "description", "event_ids")
+    assert rows_of(once) == rows_of(thrice)
+    risk = e.risk_scores(events.unionByName(events), window_s=600, hosts=2)
+    assert rows_of(risk) == rows_of(e.risk_scores(events, window_s=600, hosts=2))
+
+
+def test_known_sources_are_the_first_by_name(spark, make):
+    from tracewarden.plans.detection import detect
+
+    rows = [(i, "bob", f"s{99 - i:02d}", 4624) for i in range(30)] + [(40, "bob", "new", 4624), (700, "bob", "next", 4624)]
+    alerts = {r["source_host"]: r for r in c.finalise(
+        c.new_source_auth(make(rows), 600, 5).filter("source_host IN ('new', 'next')"), make(rows), 600).collect()}
+    names = [f"s{k}" for k in range(70, 100)]
+    assert alerts["new"]["metadata"]["known_sources"] == ",".join(names[:10])
+    assert "s70, s71, s72" in alerts["new"]["description"]
+    assert "next" not in alerts or alerts["next"]["metadata"]["known_sources"].startswith("new")
+    busy = make([(i, "ann", f"h{i:03d}", 4624) for i in range(130)])
+    lateral = detect(busy, window_s=600, cooldown_s=1, hosts=120).filter("alert_type = 'lateral_movement'").collect()
+    assert lateral and all(len(r["distinct_hosts"]) <= 100 and int(r["metadata"]["host_count"]) >= 120 for r in lateral if r["stage"] < 30_000)

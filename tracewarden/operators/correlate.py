@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from tracewarden.functions.times import micros
 from tracewarden.operators.running import HOT_ROWS, running_totals
 from tracewarden.operators.sliding import SECOND, presence, sliding_counts, spans
 from tracewarden.operators.spacing import greedy_spacing
+from tracewarden.session import join_null_safe, reliable
 
 CANDIDATE = [
     "stage", "alert_type", "severity", "severity_score", "title", "description", "actor", "target", "source_host",
@@ -296,7 +298,7 @@ def cooldown(alerts: DataFrame, seconds: int = 300, hot_rows: int = HOT_ROWS) ->
     kept = greedy_spacing(alerts.select(*COOLDOWN_KEYS, "_us"), COOLDOWN_KEYS, "_us", seconds * SECOND,
                           hot_rows=hot_rows)
     order = [c for c in alerts.columns if c != "_us"]
-    return first.join(kept, [*COOLDOWN_KEYS, "_us"]).select(*COOLDOWN_KEYS, "_first.*").select(*order)
+    return join_null_safe(first, kept, [*COOLDOWN_KEYS, "_us"]).select(*COOLDOWN_KEYS, "_first.*").select(*order)
 
 
 # ---- Evidence ----
@@ -338,7 +340,7 @@ def alert_evidence(alerts: DataFrame, events: DataFrame, hot_rows: int = HOT_ROW
         last.alias("_last"),
         F.explode(F.array_distinct(F.concat(F.array(first), F.sequence(last, pr["upto"])))).alias("number"),
     )
-    found = wanted.join(numbered_events(events, hot_rows), ["kind", "key", "number"])
+    found = join_null_safe(wanted, numbered_events(events, hot_rows), ["kind", "key", "number"])
     # At most take + 1 rows meet in one group.
     return found.groupBy("alert_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("number") >= F.col("_last"), F.struct("number", "event_id"))))
@@ -383,39 +385,82 @@ def recent_hosts(
 
 
 def known_sources(alerts: DataFrame, events: DataFrame, window_s: int, keep: int = 10) -> DataFrame:
-    """(alert_id, known_sources): up to ``keep`` other sources of the actor in the window of a new-source alert.
+    """(alert_id, known_sources): the first ``keep`` other sources by name of the actor in the window of a new-source alert.
 
-    Per (actor, slice of window width) it is enough to look at the ``keep``+1 sources seen first and the ``keep``+1
-    seen last: any source that qualifies beyond those is preceded by enough others. Nothing else is joined.
+    Time is cut into slices of window width. In the alert's own slice a source counts from the moment it is seen, in the slice
+    before up to the moment it is last seen. A source of which ``keep`` + 1 smaller names count whenever it counts can
+    never be among the first, so those are dropped per (actor, slice) in one pass; about keep * log(sources) are left to be joined.
     """
     width = F.lit(window_s * SECOND)
     seen = traced(events).filter("source != 'unknown'").withColumn(
         "_slice", F.call_function("div", F.col("_us"), width)
     ).groupBy("actor", "source", "_slice").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"))
-    w = Window.partitionBy("actor", "_slice")
-    early = (
-        seen.withColumn("_n", F.row_number().over(w.orderBy("_first", "source"))).filter(F.col("_n") <= keep + 1)
-        .select("actor", "_slice", "source", "_first", F.lit(None).cast("long").alias("_last"))
-    )
-    late = (
-        seen.withColumn("_n", F.row_number().over(w.orderBy(F.desc("_last"), "source"))).filter(F.col("_n") <= keep + 1)
-        .select("actor", (F.col("_slice") + 1).alias("_slice"), "source", F.lit(None).cast("long").alias("_first"), "_last")
-    )
-    at = alerts.select("alert_id", "actor", "source_host", micros(F.col("timestamp")).alias("_at"))
-    at = at.withColumn("_slice", F.call_function("div", F.col("_at"), width))
-    met = at.join(early.unionByName(late), ["actor", "_slice"]).filter(
+    schema = "actor string, source string, _slice bigint, _at bigint"
+
+    def smallest(column: str, sign: int):
+        def run(table):
+            import bisect
+
+            names, out = [], []
+            rows = sorted(zip(table["source"].to_pylist(), table[column].to_pylist()), key=lambda r: (sign * r[1], r[0]))
+            for name, at in rows:
+                if len(names) <= keep or name < names[keep]:
+                    bisect.insort(names, name)
+                    del names[keep + 1 :]
+                    out.append((name, at))
+            first = table.slice(0, 1).to_pylist()[0]
+            return pa.Table.from_pylist(
+                [{"actor": first["actor"], "source": n, "_slice": first["_slice"], "_at": at} for n, at in out],
+                pa.schema([("actor", pa.string()), ("source", pa.string()), ("_slice", pa.int64()), ("_at", pa.int64())]))
+
+        return seen.groupBy("actor", "_slice").applyInArrow(run, schema)
+
+    early = smallest("_first", 1).select("actor", "_slice", "source", F.col("_at").alias("_first"), F.lit(None).cast("long").alias("_last"))
+    late = smallest("_last", -1).select(
+        "actor", (F.col("_slice") + 1).alias("_slice"), "source", F.lit(None).cast("long").alias("_first"), F.col("_at").alias("_last"))
+    at = alerts.select("alert_id", "actor", "source_host", micros(F.col("timestamp")).alias("_when"))
+    at = at.withColumn("_slice", F.call_function("div", F.col("_when"), width))
+    met = join_null_safe(at, early.unionByName(late), ["actor", "_slice"]).filter(
         (F.col("source") != F.col("source_host"))
-        & ((F.col("_first") <= F.col("_at")) | (F.col("_last") >= F.col("_at") - width))
+        & ((F.col("_first") <= F.col("_when")) | (F.col("_last") >= F.col("_when") - width))
     )
-    return met.groupBy("alert_id").agg(F.slice(F.array_sort(F.collect_set("source")), 1, keep).alias("known_sources"))
+    return first_names(met.select("alert_id", F.col("source").alias("name")), "known_sources", keep)
+
+
+def first_names(names: DataFrame, column: str, keep: int) -> DataFrame:
+    """(alert_id, column): the first ``keep`` distinct names of each alert; no more are gathered."""
+    rank = F.row_number().over(Window.partitionBy("alert_id").orderBy("name"))
+    few = names.distinct().withColumn("_n", rank).filter(F.col("_n") <= keep)
+    return few.groupBy("alert_id").agg(F.array_sort(F.collect_list("name")).alias(column))
+
+
+def unique_events(events: DataFrame) -> DataFrame:
+    """Events with one row per event_id: the earliest, ties by payload. Rows without an id stay.
+
+    Ids are counted first, without the events; only repeated ones are shuffled.
+    """
+    again = reliable(events.groupBy("event_id").agg(F.count("*").alias("_n")).filter("_n > 1 AND event_id IS NOT NULL").select("event_id"))
+    if again.isEmpty():
+        return events
+    rest = [c for c in events.columns if c != "event_id"]
+    lead = [c for c in ("timestamp", "raw_payload") if c in rest]
+    row = F.struct(*lead, *[c for c in rest if c not in lead])
+    best = events.join(again, "event_id", "left_semi").groupBy("event_id").agg(F.min(row).alias("_e"))
+    return events.join(again, "event_id", "left_anti").unionByName(best.select("event_id", "_e.*").select(*events.columns))
 
 
 def alert_key(*cols: str) -> Column:
     return F.sha2(F.concat_ws("\u0001", *cols), 256)
 
 
-def finalise(alerts: DataFrame, events: DataFrame, window_s: int = 600, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Give each surviving alert its id, status, evidence and complete texts."""
+def finalise(
+    alerts: DataFrame, events: DataFrame, window_s: int = 600, hot_rows: int = HOT_ROWS, shown_hosts: int = 100
+) -> DataFrame:
+    """Give each surviving alert its id, status, evidence and complete texts.
+
+    ``distinct_hosts`` has the first ``shown_hosts`` names, beside the exact number in the metadata; ``alert_hosts`` and
+    ``recent_hosts`` give all as a table.
+    """
     alerts = alerts.withColumn("alert_id", alert_key("alert_type", "actor", "source_host", "event_id"))
     trace = traced(events)
     proofs = alert_evidence(alerts, events, hot_rows)
@@ -425,7 +470,7 @@ def finalise(alerts: DataFrame, events: DataFrame, window_s: int = 600, hot_rows
     hosts = alert_hosts(lateral, spans(rows, "actor", "source"), window_s)
     recent = alerts.filter("stage = %d" % STAGE["entity_lateral"])
     hosts = hosts.unionByName(recent_hosts(recent, events, window_s, hot_rows=hot_rows))
-    hosts = hosts.groupBy("alert_id").agg(F.array_sort(F.collect_set("host")).alias("distinct_hosts"))
+    hosts = first_names(hosts.withColumnRenamed("host", "name"), "distinct_hosts", shown_hosts)
     known = known_sources(alerts.filter("stage = %d" % STAGE["new_source_auth"]), events, window_s)
 
     full = alerts.join(proofs, "alert_id", "left").join(hosts, "alert_id", "left").join(known, "alert_id", "left")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewarden.functions import fixed, predicates as p
 from tracewarden.functions.text import entity_type, risk_label
 from tracewarden.functions.times import instant, micros
-from tracewarden.operators.correlate import alert_struct, emit, metadata, proof
+from tracewarden.operators.correlate import alert_struct, emit, metadata, proof, unique_events
 from tracewarden.operators.running import HOT_ROWS, running_totals
 from tracewarden.operators.sliding import SECOND, recent_presence
 from tracewarden.operators.spacing import greedy_spacing
@@ -192,13 +192,14 @@ def entity_lateral(
 
 
 def risk_added(
-    events: DataFrame, window_s: int = 600, hosts: int = 3, hot_rows: int = HOT_ROWS, seen: DataFrame | None = None, **hours
+    events: DataFrame, window_s: int = 600, hosts: int = 3, hot_rows: int = HOT_ROWS, seen: DataFrame | None = None,
+    last: int = 100, **hours,
 ) -> DataFrame:
     """(actor, event_id, _us, timestamp, risk_added) per tracked event, lateral movement included."""
     seen = observations(events, hot_rows=hot_rows, **hours) if seen is None else seen
     base = seen.select("actor", "event_id", "_us", "timestamp", "risk_added")
     rows = events.filter("actor != 'unknown'").select("event_id", "actor", "source", micros(F.col("timestamp")).alias("_us"))
-    counted = recent_presence(rows, "actor", "source", window_s, 100, hot_rows)
+    counted = recent_presence(rows, "actor", "source", window_s, last, hot_rows)
     moved = counted.filter(F.col("n_hosts") >= hosts).select(
         "actor", "event_id", "_us", F.lit(fixed.RISK["lateral_movement"]).alias("_more"))
     return base.join(moved, ["actor", "event_id", "_us"], "left").withColumn(
@@ -208,7 +209,7 @@ def risk_added(
 
 def risk_scores(events: DataFrame, hot_rows: int = HOT_ROWS, **options) -> DataFrame:
     """Risk of the actor after each of its events. Risk only grows here, so the ceiling is applied to the total."""
-    rows = risk_added(events, hot_rows=hot_rows, **options)
+    rows = risk_added(unique_events(events), hot_rows=hot_rows, **options)
     rows = running_totals(rows, ["actor"], ["_us", "event_id"], {"_sum": F.col("risk_added")}, hot_rows=hot_rows)
     score = F.round(F.least(F.lit(fixed.RISK_CEILING), F.col("_sum")), 2)
     return rows.select("actor", "event_id", "timestamp", "risk_added", score.alias("risk_score"),
@@ -224,6 +225,7 @@ def entity_snapshot(
     Sets stay small by construction (hours, types, flags); hosts are cut to ``shown_hosts`` names before they are
     gathered, next to their exact number.
     """
+    events = unique_events(events)
     seen = reliable(observations(events, hot_rows=hot_rows, **hours))  # read six times below
     risk = reliable(risk_added(events, window_s, hosts, hot_rows, seen=seen))
     lateral = F.col("risk_added") >= fixed.RISK["lateral_movement"]

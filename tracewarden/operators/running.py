@@ -17,20 +17,17 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewarden.session import broadcast_if_small, estimated_bytes, reliable
+from tracewarden.session import broadcast_if_small, join_null_safe, reliable
 
 HOT_ROWS = 4_000_000
-# Below this plan size no key can be large enough to matter, so the counting pass is skipped.
-HOT_CHECK_BYTES = 512 * 1024 * 1024
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int, check_bytes: int = HOT_CHECK_BYTES):
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int):
     """Keys with more than ``hot_rows`` rows as (DataFrame, key count, row count), or None when there are none.
 
-    The count is combined map-side, and at most total/hot_rows keys can qualify.
+    The count is combined map-side, reads the key columns only, and at most total/hot_rows keys can qualify. A null key
+    counts like any other.
     """
-    if hot_rows >= HOT_ROWS and estimated_bytes(df) < check_bytes:
-        return None
     hot = reliable(df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows))
     size = hot.agg(F.count("*").alias("keys"), F.sum("_n").alias("rows")).first()
     if not size["keys"]:
@@ -51,7 +48,8 @@ def running_totals(
 
     With one order column, rows of equal order are peers and share totals that include all of them. With more, the
     order must be unique within a key. ``before`` adds ``<name>_before``: the same over strictly earlier rows.
-    Null inputs count as zero for sums and are ignored by peaks.
+    Null inputs count as zero for sums and are ignored by peaks. A null key is a key; rows of null order come first, see
+    one another, and have nothing before them.
     """
     sums, peaks = dict(sums or {}), dict(peaks or {})
     hot = hot_keys(df, keys, hot_rows)
@@ -59,9 +57,9 @@ def running_totals(
         return _scan_by_key(df, keys, order, sums, peaks, before)
     big, key_count, row_count = hot
     big = broadcast_if_small(big, key_count)
-    cold = _scan_by_key(df.join(big, list(keys), "left_anti"), keys, order, sums, peaks, before)
+    cold = _scan_by_key(join_null_safe(df, big, keys, "left_anti"), keys, order, sums, peaks, before)
     pieces = max(2, math.ceil(2 * row_count / hot_rows))
-    split = _scan_in_pieces(df.join(big, list(keys), "left_semi"), keys, order, sums, peaks, before, pieces)
+    split = _scan_in_pieces(join_null_safe(df, big, keys, "left_semi"), keys, order, sums, peaks, before, pieces)
     return cold.unionByName(split)
 
 
@@ -73,15 +71,17 @@ def _scan_by_key(df, keys, order, sums, peaks, before):
         if len(order) == 1
         else w.rowsBetween(Window.unboundedPreceding, -1)
     )
+    # A range frame of a null order holds its peers, which are not earlier.
+    timed = F.col(order[0]).isNotNull() if len(order) == 1 else F.lit(True)
     out = {}
     for name, value in sums.items():
         out[name] = F.coalesce(F.sum(value).over(upto), F.lit(0))
         if before:
-            out[f"{name}_before"] = F.coalesce(F.sum(value).over(prior), F.lit(0))
+            out[f"{name}_before"] = F.coalesce(F.when(timed, F.sum(value).over(prior)), F.lit(0))
     for name, value in peaks.items():
         out[name] = F.max(value).over(upto)
         if before:
-            out[f"{name}_before"] = F.max(value).over(prior)
+            out[f"{name}_before"] = F.when(timed, F.max(value).over(prior))
     return df.withColumns(out)
 
 
@@ -109,7 +109,7 @@ def _scan_in_pieces(df, keys, order, sums, peaks, before, pieces):
     inside = Window.partitionBy("_piece", *keys).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prior = inside.rowsBetween(Window.unboundedPreceding, -1)
-    carried = ranged.join(broadcast_if_small(carry, pieces), [*keys, "_piece"], "left")
+    carried = join_null_safe(ranged, broadcast_if_small(carry, pieces), [*keys, "_piece"], "left")
     out = [F.col(c) for c in spot]
     for n in sums:
         zero = F.lit(0)
@@ -121,4 +121,4 @@ def _scan_in_pieces(df, keys, order, sums, peaks, before, pieces):
         out.append(F.greatest(f"_carry_{n}", F.max(n).over(upto)).alias(n))
         if before:
             out.append(F.greatest(f"_carry_{n}", F.max(n).over(prior)).alias(f"{n}_before"))
-    return df.join(carried.select(*out), spot)
+    return join_null_safe(df, carried.select(*out), spot)

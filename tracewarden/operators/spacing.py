@@ -12,12 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.operators.running import HOT_ROWS, hot_keys, running_totals
-from tracewarden.session import broadcast_if_small, reliable
+from tracewarden.session import broadcast_if_small, join_null_safe, reliable
 
 
 def greedy_spacing(
@@ -38,8 +38,8 @@ def greedy_spacing(
     else:
         big, key_count, _ = hot
         big = broadcast_if_small(big, key_count)
-        kept = _streamed(nodes.join(big, list(keys), "left_anti"), keys, gap).unionByName(
-            _doubled(nodes.join(big, list(keys), "left_semi"), keys, gap, hot_rows)
+        kept = _streamed(join_null_safe(nodes, big, keys, "left_anti"), keys, gap).unionByName(
+            _doubled(join_null_safe(nodes, big, keys, "left_semi"), keys, gap, hot_rows)
         )
     return kept.withColumnRenamed("_v", value)
 
@@ -50,15 +50,24 @@ def _streamed(nodes: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
     def keep(batches):
         last_key, last = None, 0
         for batch in batches:
-            flags = []
-            for row in zip(*[batch[k] for k in keys], batch["_v"]):
-                key, v = row[:-1], row[-1]
-                if key != last_key or v - last >= gap:
-                    last_key, last = key, v
-                    flags.append(True)
-                else:
-                    flags.append(False)
-            yield batch[pd.Series(flags, index=batch.index, dtype=bool)]
+            if not len(batch):
+                continue
+            values = batch["_v"].to_numpy()
+            turn = np.zeros(len(batch), bool)
+            for k in keys:
+                column = batch[k]
+                turn[1:] |= ~((column.values[1:] == column.values[:-1]) | (column.isna().values[1:] & column.isna().values[:-1]))
+            starts = np.flatnonzero(turn | (np.arange(len(batch)) == 0))
+            picked = np.zeros(len(batch), bool)
+            for a, b in zip(starts, [*starts[1:], len(batch)]):  # one key; a step per kept value
+                key = tuple(None if x is None or x != x else x for x in batch.iloc[a][keys])
+                at = a if key != last_key else a + int(np.searchsorted(values[a:b], last + gap))
+                while at < b:
+                    picked[at] = True
+                    last = int(values[at])
+                    at = a + int(np.searchsorted(values[a:b], last + gap))
+                last_key = key
+            yield batch[picked]
 
     ordered = nodes.repartition(*keys).sortWithinPartitions(*keys, "_v")
     return ordered.mapInPandas(keep, nodes.schema)
@@ -74,18 +83,18 @@ def _doubled(nodes: DataFrame, keys: Sequence[str], gap: int, hot_rows: int) ->
     ranked = reliable(ranked)
     links = (
         ranked.filter("_real = 1").select(*keys, "_v", F.col("_r").alias("_here"))
-        .join(ranked.filter("_real = 0").select(*keys, "_v", (F.col("_r") + 1).alias("_next")), [*keys, "_v"])
     )
-    links = reliable(links)
+    nexts = ranked.filter("_real = 0").select(*keys, "_v", (F.col("_r") + 1).alias("_next"))
+    links = reliable(join_null_safe(links, nexts, [*keys, "_v"]))
     jumps = links.select(*keys, "_here", "_next")
     kept = links.filter("_here = 1").select(*keys, "_here")
     while True:
-        step = kept.join(jumps, [*keys, "_here"]).select(*keys, F.col("_next").alias("_here"))
-        step = step.join(links.select(*keys, "_here"), [*keys, "_here"], "left_semi")
+        step = join_null_safe(kept, jumps, [*keys, "_here"]).select(*keys, F.col("_next").alias("_here"))
+        step = join_null_safe(step, links.select(*keys, "_here"), [*keys, "_here"], "left_semi")
         wider = reliable(kept.unionByName(step).distinct())
         if wider.count() == kept.count():
             break
         far = jumps.select(*keys, F.col("_here").alias("_next"), F.col("_next").alias("_far"))
-        jumps = reliable(jumps.join(far, [*keys, "_next"]).select(*keys, "_here", F.col("_far").alias("_next")))
+        jumps = reliable(join_null_safe(jumps, far, [*keys, "_next"]).select(*keys, "_here", F.col("_far").alias("_next")))
         kept = wider
-    return links.join(kept, [*keys, "_here"]).select(*keys, "_v")
+    return join_null_safe(links, kept, [*keys, "_here"]).select(*keys, "_v")

@@ -266,6 +266,13 @@ def _(ev):
         "mitre_tactic", "status")
 
 
+@events_query("detect_copies", with_ctes(f"SELECT {_KEPT}, description, array_to_string(event_ids, ',') AS event_ids FROM kept", "kept"))
+def _(ev):
+    # Every event arrives again, and every third a third time a minute late: the first arrival in event time counts.
+    late = ev.filter("raw_event_id % 3 = 0").withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 1 MINUTE"))
+    return detection.detect(ev.unionByName(ev).unionByName(late), **_OPTIONS).select(*_KEPT.split(", "), "description", "event_ids")
+
+
 @events_query("investigate_alerts", with_ctes(
     f"""SELECT alert_type, stage, actor, source_host, timestamp, event_id,
     CASE WHEN regexp_matches(actor, '[0-9]') AND contains(actor, '.') THEN concat('Ip Address: ', actor) ELSE concat('User Account: ', actor) END AS who,

@@ -33,7 +33,11 @@ def detect(
     events: DataFrame, pack: RulePack | None = None, window_s: int = 600, cooldown_s: int = 300, hosts: int = 3,
     entity: dict | None = None, hot_rows: int = HOT_ROWS, **rules,
 ) -> DataFrame:
-    """Final alerts. Candidates and survivors are checkpointed: both feed several later steps."""
+    """Final alerts. Candidates and survivors are checkpointed: both feed several later steps.
+
+    Repeated event ids count once. What the detectors read is written once, so the input is parsed once.
+    """
+    events = reliable(c.unique_events(events))
     found = reliable(candidates(events, pack, window_s, hosts, entity, hot_rows, **rules))
     kept = reliable(c.cooldown(found, cooldown_s, hot_rows))
     return c.finalise(kept, events, window_s, hot_rows)

@@ -16,7 +16,7 @@ from tracewarden.operators import cases, correlate, entities, narrative, normali
 from tracewarden.plans import detection
 from tracewarden.plans.adapter import load, load_events
 from tracewarden.plans.oracles import NARRATIVE_ROWS, SIGMA, entity_type, risk_label, with_ctes
-from tracewarden.session import reliable
+from tracewarden.session import reliable, scratch_folder
 from tracewarden.sources import files, tables
 
 W = 86_400
@@ -1011,3 +1011,63 @@ def _(ev):
 
 
 ORACLES["incremental_pull"] = ORACLES["incremental_pull"].replace("sum(n) AS fresh", "CAST(sum(n) AS BIGINT) AS fresh")
+
+
+# ---- Tables written and read back ----
+
+@events_query("stored_events", with_ctes(
+    f"SELECT {EV} FROM u WHERE timestamp BETWEEN TIMESTAMP '2024-01-05 06:00:00' AND TIMESTAMP '2024-01-20 18:00:00'", "u"))
+def _(ev):
+    path = scratch_folder(ev.sparkSession)
+    tables.append_events(ev.filter("raw_event_id % 2 = 0 OR severity > 6"), path)
+    tables.append_events(ev, path)  # what is stored already stays as it is
+    return tables.scan_archive(ev.sparkSession, path, "2024-01-05 06:00:00", "2024-01-20 18:00:00").select(*EV_LIST)
+
+
+@events_query("stored_alerts", with_ctes(f"SELECT {_ALERT_SQL} FROM alerts", "alerts"))
+def _(ev):
+    path, alerts = scratch_folder(ev.sparkSession), _stored_alerts(ev)
+    tables.append_alerts(alerts.filter("severity_score >= 7"), path)
+    tables.append_alerts(alerts, path)
+    return ev.sparkSession.read.parquet(path).select(*_ALERT)
+
+
+@events_query("stored_snapshot", with_ctes("SELECT entity_id, risk_score, last_seen FROM snap", "snap"))
+def _(ev):
+    path = scratch_folder(ev.sparkSession)
+    snapshot = reliable(_snapshot(ev))
+    tables.save_snapshot(snapshot.withColumn("risk_score", F.lit(1.5)), path, "2024-02-01")
+    tables.save_snapshot(snapshot, path, "2024-02-02")
+    return tables.load_snapshot(ev.sparkSession, path).select("entity_id", "risk_score", "last_seen")
+
+
+@events_query("stored_timeline", with_ctes(
+    """SELECT actor AS entity_id, timestamp, event_id, severity FROM d
+    WHERE severity >= 6 OR len(flags) > 0 OR event_id IN (SELECT event_id FROM runs WHERE run > 0)""", "d", "runs"))
+def _(ev):
+    path = scratch_folder(ev.sparkSession)
+    tables.append_timeline(entities.entity_timeline(ev, 6, 2, stale_days=STALE_DAYS), path)
+    return ev.sparkSession.read.parquet(path).select("entity_id", "timestamp", "event_id", "severity")
+
+
+@events_query("content_ids", with_ctes(
+    "SELECT event_id, sha256(concat_ws(chr(1), event_id, actor, source, raw_payload)) AS content_id FROM u", "u"))
+def _(ev):
+    return ev.select("event_id", text.content_id(F.col("event_id"), F.col("actor"), F.col("source"), F.col("raw_payload")).alias("content_id"))
+
+
+_MARKERS = "CASE raw_event_id % 6 WHEN 0 THEN '-' WHEN 1 THEN ' N/A ' WHEN 2 THEN 'NULL' WHEN 3 THEN concat('  ', source, ' ') WHEN 4 THEN NULL ELSE actor END"
+
+
+@events_query("value_markers", with_ctes(
+    f"""SELECT event_id, CASE WHEN trim(coalesce(v, '')) IN ('', '-', 'N/A', 'NULL') THEN '' ELSE trim(v) END AS value
+    FROM (SELECT event_id, {_MARKERS} AS v FROM u)""", "u"))
+def _(ev):
+    return ev.select("event_id", text.clean_value(F.expr(_MARKERS)).alias("value"))
+
+
+@events_query("sigma_without", with_ctes(
+    "SELECT sigma_rule_id, count(*) AS matches FROM sig WHERE sigma_rule_id NOT IN ('builtin-004', 'builtin-010') GROUP BY 1", "sig"))
+def _(ev):
+    pack = sigma.RulePack.builtin().without("builtin-004").without("builtin-010")
+    return sigma.sigma_match(ev, pack).groupBy("sigma_rule_id").agg(F.count("*").alias("matches"))

@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 QUICK = [
     "event_search", "event_dashboard", "timeline_hour", "brute_force", "lateral_movement", "new_source_auth", "sigma_builtin",
     "sigma_modifiers", "entity_classify", "entity_observations", "success_after_failures", "json_events", "json_rejects",
-    "validate_repairs", "windows_xml", "linux_lines", "syslog_messages", "network_events", "dedup_events", "incremental_pull",
+    "validate_repairs", "windows_xml", "linux_lines", "syslog_messages", "network_events", "dedup_events", "incremental_pull", "stored_events", "stored_alerts", "content_ids", "value_markers", "alert_status", "narrative_how",
 ]
 
 

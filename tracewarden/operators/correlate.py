@@ -177,7 +177,7 @@ def actor_windows(trace: DataFrame, window_s: int, hot_rows: int = HOT_ROWS) ->
     """Every count the per-actor rules need, in two scans: per (actor, source), then per actor."""
     rows = presence(trace, "actor", "source", window_s, F.col("auth"), hot_rows)
     counts = {"fail": F.col("fail"), "logon": F.col("logon"), "auth": F.col("auth"), "all": F.lit(True)}
-    return sliding_counts(rows, ["actor"], counts, window_s, hot_rows=hot_rows)
+    return sliding_counts(rows, ["actor"], counts, window_s, hot_rows=hot_rows, base=trace)
 
 
 def host_windows(trace: DataFrame, window_s: int, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -203,8 +203,9 @@ def credential_stuffing(
 
 
 def lateral_movement(events: DataFrame, window_s: int = 600, hosts: int = 3, hot_rows: int = HOT_ROWS) -> DataFrame:
-    rows = presence(traced(events).filter("auth"), "actor", "source", window_s, F.col("auth"), hot_rows)
-    rows = sliding_counts(rows, ["actor"], {"auth": F.col("auth")}, window_s, hot_rows=hot_rows)
+    used = traced(events).filter("auth")
+    rows = presence(used, "actor", "source", window_s, F.col("auth"), hot_rows)
+    rows = sliding_counts(rows, ["actor"], {"auth": F.col("auth")}, window_s, hot_rows=hot_rows, base=used)
     return emit(rows, _lateral_movement(hosts))
 
 
@@ -233,7 +234,7 @@ def new_source_auth(events: DataFrame, window_s: int = 600, history: int = 5, ho
     rows = sliding_counts(
         traced(events), ["actor", "source"], {"pair": F.lit(True)}, window_s, hot_rows=hot_rows
     ).drop("upto_pair")
-    rows = sliding_counts(rows, ["actor"], {"all": F.lit(True)}, window_s, hot_rows=hot_rows)
+    rows = sliding_counts(rows, ["actor"], {"all": F.lit(True)}, window_s, hot_rows=hot_rows, base=traced(events))
     return emit(rows, _new_source_auth(history))
 
 

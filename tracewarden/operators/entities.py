@@ -66,7 +66,7 @@ def observations(
     rows = running_totals(
         rows, ["actor"], order,
         {"event_number": F.lit(1), "failures": F.when(F.col("branch") == "auth_failure", 1)},
-        {"_last": F.col("_us")}, before=True, hot_rows=hot_rows,
+        {"_last": F.col("_us")}, before=True, hot_rows=hot_rows, base=tracked(events),
     )
     if past is not None:
         earlier = past.select("actor", F.col("events").alias("_p_events"), F.col("failures").alias("_p_failures"),

@@ -22,17 +22,23 @@ from tracewarden.session import broadcast_if_small, join_null_safe, reliable
 HOT_ROWS = 4_000_000
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int):
+# Rows that sliding windows make of one event at most: as it happens and as it leaves, and an edge at each.
+SPREAD = 4
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int, base: DataFrame | None = None):
     """Keys with more than ``hot_rows`` rows as (DataFrame, key count, row count), or None when there are none.
 
     The count is combined map-side, reads the key columns only, and at most total/hot_rows keys can qualify. A null key
-    counts like any other.
+    counts like any other. ``base`` is what ``df`` was made of, at most ``SPREAD`` rows for one: counting it is cheaper.
     """
-    hot = reliable(df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows))
+    if base is not None:
+        df, hot_rows = base, max(1, hot_rows // SPREAD)
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
     size = hot.agg(F.count("*").alias("keys"), F.sum("_n").alias("rows")).first()
     if not size["keys"]:
         return None
-    return hot.select(*keys), size["keys"], size["rows"]
+    return reliable(hot.select(*keys)), size["keys"], size["rows"] * (1 if base is None else SPREAD)
 
 
 def running_totals(
@@ -43,6 +49,7 @@ def running_totals(
     peaks: Mapping[str, Column] | None = None,
     before: bool = False,
     hot_rows: int = HOT_ROWS,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Add per row the running sum (``sums``) or maximum (``peaks``) of each expression within its key.
 
@@ -52,7 +59,7 @@ def running_totals(
     one another, and have nothing before them.
     """
     sums, peaks = dict(sums or {}), dict(peaks or {})
-    hot = hot_keys(df, keys, hot_rows)
+    hot = hot_keys(df, keys, hot_rows, base)
     if hot is None:
         return _scan_by_key(df, keys, order, sums, peaks, before)
     big, key_count, row_count = hot

@@ -40,19 +40,21 @@ def _moves(df: DataFrame, keys: Sequence[str], flags: Mapping[str, Column], wind
 
 
 def sliding_counts(
-    df: DataFrame, keys: Sequence[str], counts: Mapping[str, Column], window_s: int, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], counts: Mapping[str, Column], window_s: int, hot_rows: int = HOT_ROWS,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Per row: ``n_<name>`` rows of its key in the window, and ``upto_<name>`` rows of its key so far.
 
     ``df`` has the event time in ``_us`` (microseconds). Rows of equal time see each other. Over the output of
-    presence, ``n_hosts`` counts the distinct items in the window as well.
+    presence, ``n_hosts`` counts the distinct items in the window as well. ``base``: the events that presence was given.
     """
     flags = {f"_f_{n}": c for n, c in counts.items()}
     sums = {f"n_{n}": F.col(f"_f_{n}") for n in counts}
     sums |= {f"upto_{n}": F.when(F.col("_live"), F.col(f"_f_{n}")) for n in counts}
     if "_edge" in df.columns:
         sums["n_hosts"] = F.col("_edge")
-    run = running_totals(_moves(df, keys, flags, window_s), keys, ["_us"], sums, hot_rows=hot_rows)
+    run = running_totals(_moves(df, keys, flags, window_s), keys, ["_us"], sums, hot_rows=hot_rows,
+                         base=df if base is None else base)
     return run.filter("_live").drop("_live", "_edge", "_tie", *flags)
 
 
@@ -68,7 +70,7 @@ def presence(
     place = F.struct("_us", "_live", "_tie")
     run = running_totals(
         _moves(df, [key, item], flags, window_s), [key, item], ["_us"],
-        {"n_pair": F.col("_f_pair"), "_n": F.col("_f_counted")}, {"_top": place}, before=True, hot_rows=hot_rows,
+        {"n_pair": F.col("_f_pair"), "_n": F.col("_f_counted")}, {"_top": place}, before=True, hot_rows=hot_rows, base=df,
     )
     # Peers see the same totals; the last of them speaks for all, so an edge is emitted once.
     turned = ((F.col("_n") > 0) != (F.col("_n_before") > 0)) & (place == F.col("_top")) & (F.col(item) != "unknown")
@@ -117,7 +119,8 @@ def recent_presence(
     A row stops counting at the earlier of two places: where its window ends, or at the row ``rows`` places later.
     Places order by time, then row id; at one place leaving (0) comes before entering (1) before the row itself (2).
     """
-    df = nth_following(df.select(key, item, "_us", "event_id"), key, rows, hot_rows)
+    base = df.select(key, item, "_us", "event_id")
+    df = nth_following(base, key, rows, hot_rows)
     over = F.struct((F.col("_us") + window_s * SECOND + 1).alias("us"), F.lit("").alias("id"))
     ends = F.least("_nth", over)
 
@@ -126,7 +129,7 @@ def recent_presence(
 
     both = F.array(move(F.col("_us"), F.col("event_id"), 2, 1), move(ends["us"], ends["id"], 0, -1))
     moves = df.select(key, item, F.col("event_id").alias("_tie"), F.explode(both).alias("_m")).select(key, item, "_tie", "_m.*")
-    run = running_totals(moves, [key, item], POSITION, {"_n": F.col("_v")}, before=True, hot_rows=hot_rows)
+    run = running_totals(moves, [key, item], POSITION, {"_n": F.col("_v")}, before=True, hot_rows=hot_rows, base=base)
 
     def step(kind: int, change: int) -> Column:
         return F.struct(F.lit(kind).alias("_kind"), F.lit(change).alias("_edge"))
@@ -138,5 +141,5 @@ def recent_presence(
         F.when(entered, F.array(step(1, 1))).when(left, F.array(step(0, -1))).otherwise(none),
     )
     marks = run.select(key, item, "_us", "_id", "_tie", F.explode(steps).alias("_s")).select(key, item, "_us", "_id", "_tie", "_s.*")
-    total = running_totals(marks, [key], POSITION, {"n_hosts": F.col("_edge")}, hot_rows=hot_rows)
+    total = running_totals(marks, [key], POSITION, {"n_hosts": F.col("_edge")}, hot_rows=hot_rows, base=base)
     return total.filter("_kind = 2").select(key, item, "_us", F.col("_id").alias("event_id"), "n_hosts")

@@ -170,3 +170,27 @@ def test_known_sources_are_the_first_by_name(spark, make):
     busy = make([(i, "ann", f"h{i:03d}", 4624) for i in range(130)])
     lateral = detect(busy, window_s=600, cooldown_s=1, hosts=120).filter("alert_type = 'lateral_movement'").collect()
     assert lateral and all(len(r["distinct_hosts"]) <= 100 and int(r["metadata"]["host_count"]) >= 120 for r in lateral if r["stage"] < 30_000)
+
+
+def test_known_sources_of_a_wide_slice_in_pieces(spark, make):
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(1200), rnd.choice(["bob", "bob", "ann"]), f"s{rnd.randrange(400):03d}", 4624) for _ in range(900)]
+    rows += [(1150, "bob", "new", 4624), (5, "carl", "s001", 4624), (6, None, "s002", 4624)]
+    events = make(rows)
+    alerts = events.withColumn("alert_id", F.col("event_id")).withColumn("source_host", F.col("source"))
+    want = {}
+    for i, (at, actor, host, _) in enumerate(rows):
+        names = sorted({s for t, a, s, _ in rows if a == actor and s != host and at - 600 <= t <= at})
+        want[f"e{i:04d}"] = names[:10]
+    for piece in (50_000, 20, 3):
+        got = {r.alert_id: r.known_sources for r in c.known_sources(alerts, events, 600, piece_rows=piece).collect()}
+        assert got == {i: n for i, n in want.items() if n}
+
+
+def test_known_sources_ignore_events_without_a_time(spark, make):
+    events = make([(i, "bob", f"s{i}", 4624) for i in range(4)])
+    untimed = make([(9, "bob", "s0x", 4624)]).withColumns({"timestamp": F.lit(None).cast("timestamp"), "event_id": F.lit("n")})
+    events = events.unionByName(untimed)
+    alerts = events.withColumn("alert_id", F.col("event_id")).withColumn("source_host", F.col("source"))
+    got = {r.alert_id: r.known_sources for r in c.known_sources(alerts, events, 600).collect()}
+    assert got == {"e0001": ["s0"], "e0002": ["s0", "s1"], "e0003": ["s0", "s1", "s2"]}

@@ -24,6 +24,8 @@ CANDIDATE = [
     "stage", "alert_type", "severity", "severity_score", "title", "description", "actor", "target", "source_host",
     "timestamp", "event_id", "sigma_rule_id", "mitre_technique", "mitre_tactic", "metadata", "proof",
 ]
+# Sources of one actor and time slice that are pruned in one task.
+PIECE_ROWS = 50_000
 # Order in which the detectors of one event are asked; the first of a kind wins the cooldown.
 STAGE = {
     "entity": 0, "sigma": 10_000, "brute_force": 20_001, "credential_stuffing": 20_002, "lateral_movement": 20_003,
@@ -385,42 +387,30 @@ def recent_hosts(
     return met.filter(F.col("_us") >= F.col("_at") - window_s * SECOND).select("alert_id", F.col("source").alias("host")).distinct()
 
 
-def known_sources(alerts: DataFrame, events: DataFrame, window_s: int, keep: int = 10) -> DataFrame:
+def known_sources(
+    alerts: DataFrame, events: DataFrame, window_s: int, keep: int = 10, piece_rows: int = PIECE_ROWS
+) -> DataFrame:
     """(alert_id, known_sources): the first ``keep`` other sources by name of the actor in the window of a new-source alert.
 
     Time is cut into slices of window width. In the alert's own slice a source counts from the moment it is seen, in the slice
     before up to the moment it is last seen. A source of which ``keep`` + 1 smaller names count whenever it counts can
-    never be among the first, so those are dropped per (actor, slice) in one pass; about keep * log(sources) are left to be joined.
+    never be among the first, so those are dropped (``_pruned``); about keep * log(sources) per (actor, slice) are left to be
+    joined. Only slices that an alert looks at are read; events and alerts without a time are in no window.
     """
     width = F.lit(window_s * SECOND)
-    seen = traced(events).filter("source != 'unknown'").withColumn(
+    at = alerts.select("alert_id", "actor", "source_host", micros(F.col("timestamp")).alias("_when"))
+    at = at.filter("_when IS NOT NULL").withColumn("_slice", F.call_function("div", F.col("_when"), width))
+    looked_at = at.select("actor", F.explode(F.array(F.col("_slice"), F.col("_slice") - 1)).alias("_slice")).distinct()
+    seen = traced(events).filter("source != 'unknown' AND _us IS NOT NULL").withColumn(
         "_slice", F.call_function("div", F.col("_us"), width)
-    ).groupBy("actor", "source", "_slice").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"))
-    schema = "actor string, source string, _slice bigint, _at bigint"
-
-    def smallest(column: str, sign: int):
-        def run(table):
-            import bisect
-
-            names, out = [], []
-            rows = sorted(zip(table["source"].to_pylist(), table[column].to_pylist()), key=lambda r: (sign * r[1], r[0]))
-            for name, at in rows:
-                if len(names) <= keep or name < names[keep]:
-                    bisect.insort(names, name)
-                    del names[keep + 1 :]
-                    out.append((name, at))
-            first = table.slice(0, 1).to_pylist()[0]
-            return pa.Table.from_pylist(
-                [{"actor": first["actor"], "source": n, "_slice": first["_slice"], "_at": at} for n, at in out],
-                pa.schema([("actor", pa.string()), ("source", pa.string()), ("_slice", pa.int64()), ("_at", pa.int64())]))
-
-        return seen.groupBy("actor", "_slice").applyInArrow(run, schema)
-
-    early = smallest("_first", 1).select("actor", "_slice", "source", F.col("_at").alias("_first"), F.lit(None).cast("long").alias("_last"))
-    late = smallest("_last", -1).select(
+    )
+    seen = join_null_safe(seen.select("actor", "source", "_slice", "_us"), looked_at, ["actor", "_slice"], "left_semi")
+    seen = reliable(seen.groupBy("actor", "source", "_slice").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last")))
+
+    early = _pruned(seen.withColumn("_at", F.col("_first")), 1, keep, piece_rows).select(
+        "actor", "_slice", "source", F.col("_at").alias("_first"), F.lit(None).cast("long").alias("_last"))
+    late = _pruned(seen.withColumn("_at", F.col("_last")), -1, keep, piece_rows).select(
         "actor", (F.col("_slice") + 1).alias("_slice"), "source", F.lit(None).cast("long").alias("_first"), F.col("_at").alias("_last"))
-    at = alerts.select("alert_id", "actor", "source_host", micros(F.col("timestamp")).alias("_when"))
-    at = at.withColumn("_slice", F.call_function("div", F.col("_when"), width))
     met = join_null_safe(at, early.unionByName(late), ["actor", "_slice"]).filter(
         (F.col("source") != F.col("source_host"))
         & ((F.col("_first") <= F.col("_when")) | (F.col("_last") >= F.col("_when") - width))
@@ -428,6 +418,50 @@ def known_sources(alerts: DataFrame, events: DataFrame, window_s: int, keep: int
     return first_names(met.select("alert_id", F.col("source").alias("name")), "known_sources", keep)
 
 
+def _pruned(seen: DataFrame, sign: int, keep: int, piece_rows: int) -> DataFrame:
+    """(actor, source, _slice, _at) of ``seen`` without sources that ``keep`` + 1 smaller names of their (actor, slice) precede.
+
+    A source precedes another if its ``sign`` * _at is not larger. An (actor, slice) of more than ``piece_rows`` rows is cut by a hash
+    of the source into pieces of about that size, each of which keeps its own candidates; what is left is cut and pruned
+    again until it fits one piece, or until a round drops less than half of the rows of the wide slices.
+    """
+    key = ["actor", "_slice"]
+    rows = seen.select("actor", "source", "_slice", "_at")
+    before = None
+    while True:
+        sizes = rows.groupBy(*key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > piece_rows)
+        # At most one row per piece_rows rows.
+        wide = reliable(sizes.select(*key, F.ceil(F.col("_rows") / piece_rows).alias("_pieces"), "_rows"))
+        left = wide.agg(F.sum("_rows")).first()[0]
+        if left is None:
+            return _candidates(rows.withColumn("_piece", F.lit(0).cast("long")), sign, keep)
+        if before is not None and 2 * left > before:
+            return rows
+        salt = F.coalesce(F.pmod(F.xxhash64("source"), F.col("_pieces")), F.lit(0).cast("long"))
+        cut = join_null_safe(rows, wide.drop("_rows"), key, "left").withColumn("_piece", salt).drop("_pieces")
+        rows, before = reliable(_candidates(cut, sign, keep)), left
+
+
+def _candidates(cut: DataFrame, sign: int, keep: int) -> DataFrame:
+    """What is left of each (actor, slice, piece) when sources that ``keep`` + 1 smaller names of the piece precede are dropped."""
+
+    def run(table):
+        import bisect
+
+        names, out = [], []
+        for name, at in sorted(zip(table["source"].to_pylist(), table["_at"].to_pylist()), key=lambda r: (sign * r[1], r[0])):
+            if len(names) <= keep or name < names[keep]:
+                bisect.insort(names, name)
+                del names[keep + 1 :]
+                out.append((name, at))
+        first = table.slice(0, 1).to_pylist()[0]
+        return pa.Table.from_pylist(
+            [{"actor": first["actor"], "source": n, "_slice": first["_slice"], "_at": at} for n, at in out],
+            pa.schema([("actor", pa.string()), ("source", pa.string()), ("_slice", pa.int64()), ("_at", pa.int64())]))
+
+    return cut.groupBy("actor", "_slice", "_piece").applyInArrow(run, "actor string, source string, _slice bigint, _at bigint")
+
+
 def first_names(names: DataFrame, column: str, keep: int) -> DataFrame:
     """(alert_id, column): the first ``keep`` distinct names of each alert; no more are gathered."""
     rank = F.row_number().over(Window.partitionBy("alert_id").orderBy("name"))

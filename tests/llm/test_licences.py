@@ -56,3 +56,25 @@ def test_nothing(spark):
 def test_odd_documents(odd, kept_texts):
     out = licences.scanned(licences.as_files(odd))
     assert out.count() == len(kept_texts)
+
+
+def test_wrapped_and_embedded_notices(spark):
+    free = ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU %sGeneral Public License as published by\n"
+            "the Free Software Foundation, either version %d of the License, or\n(at your option) any later version.\n\nThis program is distributed")
+    texts = {
+        "bsd.c": ("BSD-3-Clause", "/*\n * Copyright (c) Somebody.\n * Redistribution and use in source and binary forms, with or without\n * modification, are "
+                  "permitted provided that the following conditions\n * are met:\n */\nint x;"),
+        "mit.js": ("MIT", "x\n" + licences.TEMPLATES["MIT"][2] + ' (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy'),
+        "see.py": ("MIT", "# Copyright 2020 Some One and contributors. Released under the MIT License. See the file next to this one for the details of it."),
+        "long.py": ("Apache-2.0", "All of the code in this folder and below is ours and it is Licensed under the Apache License, Version 2.0. Ask before you copy pictures."),
+        "gpl3.c": ("GPL-3.0", free % ("", 3)), "gpl2.c": ("GPL-2.0", free % ("", 2)), "agpl.c": ("AGPL-3.0", free.replace("\n", "\n# ") % ("Affero ", 3)),
+        "a/LICENSE": ("Apache-2.0", "\n      Apache License\n   Version 2.0, January 2004\n http://www.apache.org/licenses/\n\n TERMS AND CONDITIONS FOR USE"),
+        "b/COPYING": ("GPL-3.0", "  GNU GENERAL PUBLIC LICENSE\n     Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc."),
+        "prose.txt": (None, "the license of this work is not known\nand the terms of the offer are free of charge, to any person\nwho is subject to the terms of it"),
+    }
+    inherits = {"a/x/y.py": ("Apache-2.0", "a"), "b/z.c": ("GPL-3.0", "b")}
+    frame = spark.createDataFrame([(p, t) for p, (_, t) in texts.items()] + [(p, "code") for p in inherits], "path string, text string")
+    got = {r.path: r for r in licences.scanned(frame).collect()}
+    assert {p: got[p].licence for p in texts} == {p: n for p, (n, _) in texts.items()}
+    assert {p: (got[p].licence, got[p].from_folder) for p in inherits} == inherits
+    assert all(got[p].how == "own" and got[p].score >= licences.THRESHOLD for p, (n, _) in texts.items() if n)

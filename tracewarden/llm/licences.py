@@ -3,6 +3,10 @@
 * A unit of text is a line. Its words (a-z and digits, lower case) are weighed by term frequency times the inverse document
   frequency over the templates; a word of no template weighs as the rarest. The cosine to every template is taken, and the best of a file's lines
   is the file's own licence if it reaches ``THRESHOLD``; headers and licence files are treated alike, wherever the line stands.
+* A notice that is wrapped over lines or shares a line with other words reaches the threshold in no line. So files without such a
+  line are searched for runs: wherever three consecutive words of a template or of a text in ``HEADS`` stand, whatever line
+  breaks and comment signs are between them, the run of that template's length around them is scored like a line, with the weights of
+  templates and heads together. A line that reaches the threshold is preferred to any run.
 * Lines without any key word of the templates cannot reach the threshold (``key_words`` proves it) and are left aside.
   Equal lines are scored once, so a line that a third of all files hold costs one row per task.
 * A licence file (named licence, license, copying or notice, with any extension) speaks for its folder and what is below. A
@@ -44,6 +48,25 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
 }
 
+_FREE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+_FREE_LIBRARY = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+# Heads of licence files and usual headers, for runs only. Older versions are there so as not to be taken for the newer ones.
+HEADS = {
+    "AGPL-3.0": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", _FREE.format("Affero General Public License", "3")],
+    "Apache-2.0": [
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
+    "BSD-3-Clause": [
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "CC-BY-4.0": ["Creative Commons Attribution 4.0 International Public License"],
+    "CC-BY-NC-4.0": ["Creative Commons Attribution-NonCommercial 4.0 International Public License"],
+    "GPL-2.0": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991", _FREE.format("General Public License", "2")],
+    "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", _FREE.format("General Public License", "3")],
+    "LGPL-2.1": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", _FREE_LIBRARY.format("2.1")],
+    "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", _FREE.format("Lesser General Public License", "3"), _FREE_LIBRARY.format("3")],
+    "MPL-2.0": ["Mozilla Public License Version 2.0 1. Definitions"],
+}
+
 WORD = "[a-z0-9]+"
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice)(\..*)?$"
 
@@ -51,9 +74,13 @@ LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice)(\..*)?$"
 EVERYDAY = {"2", "3", "4", "0", "a", "and", "any", "are", "by", "form", "in", "is", "of", "only", "that", "the", "this", "to", "under", "use", "with", "work"}
 
 
-def weights() -> tuple[list[tuple[str, int, str, float]], dict[str, float], float]:
+def run_templates() -> dict[str, list[str]]:
+    return {n: TEMPLATES.get(n, []) + HEADS.get(n, []) for n in sorted({*TEMPLATES, *HEADS})}
+
+
+def weights(templates: dict[str, list[str]] = TEMPLATES) -> tuple[list[tuple[str, int, str, float]], dict[str, float], float]:
     """((licence, template, word, normalised weight) rows, idf by word, idf of any other word)."""
-    texts = [(name, re.findall(WORD, t.lower())) for name, ts in TEMPLATES.items() for t in ts]
+    texts = [(name, re.findall(WORD, t.lower())) for name, ts in templates.items() for t in ts]
     df = Counter(w for _, ws in texts for w in {*ws})
     idf = {w: round(math.log((1 + len(texts)) / (1 + n)) + 1, 6) for w, n in sorted(df.items())}
     other = round(math.log(1 + len(texts)) + 1, 6)
@@ -81,9 +108,9 @@ def key_words(threshold: float = THRESHOLD) -> list[str]:
     return sorted(keys)
 
 
-def line_licences(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def line_licences(lines: DataFrame, threshold: float = THRESHOLD, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """(line, licence, score) for the distinct ``lines`` that reach the threshold."""
-    rows, idf, other = weights()
+    rows, idf, other = weights(templates)
     spark = lines.sparkSession
     known = F.broadcast(spark.createDataFrame(rows, "licence string, template int, word string, weight double"))  # the templates' words
     worth = F.broadcast(spark.createDataFrame(sorted(idf.items()), "word string, idf double"))
@@ -102,6 +129,29 @@ def _best(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(low).select(*keys, *[F.col(f"b.{n}") for n in names], (-F.col("b.score")).alias("score"))
 
 
+def runs(files: DataFrame) -> DataFrame:
+    """(path, line): the distinct runs of ``files`` that share three consecutive words with a template or head, one space between words."""
+    seeds = set()
+    for ts in run_templates().values():
+        for t in ts:
+            ws = re.findall(WORD, t.lower())
+            seeds |= {(" ".join(ws[k : k + 3]), k, len(ws)) for k in range(len(ws) - 2)}
+    known = F.array(*[F.lit(x) for x in sorted({s for s, _, _ in seeds})])
+    # Through inline(), so that the optimiser computes words and threes once per file and not once per place.
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    words = files.select("path", F.inline(F.array(F.struct(words.alias("words")))))
+    threes = F.transform("words", lambda w, i: F.concat_ws(" ", w, F.get("words", i + 1), F.get("words", i + 2)))
+    threes = words.select("path", "words", F.inline(F.array(F.struct(threes.alias("threes")))))
+    met = threes.filter(F.size(F.array_intersect("threes", known)) > 0)
+    places = F.filter(F.transform("threes", lambda x, i: F.struct(x.alias("seed"), i.alias("place"))), lambda x: F.array_contains(known, x["seed"]))
+    met = met.select("path", "words", F.inline(places))
+    table = F.broadcast(files.sparkSession.createDataFrame(sorted(seeds), "seed string, offset int, length int"))  # the templates' words
+    start = F.col("place") - F.col("offset")
+    first = F.greatest(start, F.lit(0))
+    run = F.array_join(F.slice("words", first + 1, start + F.col("length") - first), " ")
+    return met.join(table, "seed").select("path", run.alias("line")).distinct()
+
+
 def folder_of(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
@@ -115,6 +165,9 @@ def scanned(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     lines = stored(lines.filter(F.col("line").rlike(held)).distinct())
     found = stored(line_licences(lines.select("line").distinct(), threshold))
     own = stored(_best(lines.join(found, "line"), ["path"], ["licence"]))
+    rest = stored(runs(files.filter("text IS NOT NULL").join(own.select("path"), "path", "left_anti")))
+    found = stored(line_licences(rest.select("line").distinct(), threshold, run_templates()))
+    own = stored(own.unionByName(_best(rest.join(found, "line"), ["path"], ["licence"])))
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     speaking = own.filter(name.rlike(LICENCE_FILE)).withColumn("from_folder", folder_of(F.col("path")))
     speaking = stored(_best(speaking, ["from_folder"], ["licence", "path"]).select("from_folder", "licence", "score"))

@@ -202,3 +202,18 @@ def test_archive_and_snapshot(spark, events):
 def test_dedup_limits_copies_before_the_shuffle(events):
     plan = tables.dedup_events(events)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_alerts_without_a_time_or_of_another_day_are_stored_once(spark, tmp_path):
+    from tracewarden.sources.tables import append_alerts
+
+    def batch(*rows):
+        return spark.createDataFrame(rows, "alert_id string, event_id string, day string").selectExpr(
+            "alert_id", "event_id", "CAST(day AS timestamp) AS timestamp")
+
+    path = str(tmp_path / "alerts")
+    append_alerts(batch(("a", "1", None), ("b", "2", "2024-01-02")), path)
+    append_alerts(batch(("a", "1", None), ("b", "2", "2024-01-05"), ("c", "3", None), ("d", "4", "2024-01-05")), path)
+    append_alerts(batch(("a", "1", None), ("c", "3", None)), path)
+    got = sorted((r.alert_id, str(r.timestamp)[:10]) for r in spark.read.parquet(path).collect())
+    assert got == [("a", "None"), ("b", "2024-01-02"), ("c", "None"), ("d", "2024-01-05")]

@@ -47,15 +47,13 @@ def append_events(df: DataFrame, path: str) -> None:
 
 
 def append_alerts(df: DataFrame, path: str) -> None:
-    """Append alerts whose alert_id is not stored yet.
+    """Append alerts whose alert_id is not stored yet; only the id column of the table is read for that.
 
-    An id fixes the event and so the day, so only the days of the batch are read.
+    All days are read: an alert can come without a time, and an event id again with another day's time.
     """
     spark = df.sparkSession
     if _has_data(spark, path):
-        days = _dated(df).agg(F.min("event_date").alias("a"), F.max("event_date").alias("b")).first()
-        stored = spark.read.parquet(path).filter(F.col("event_date").between(F.lit(days["a"]), F.lit(days["b"])))
-        df = df.join(stored.select("alert_id"), "alert_id", "left_anti")
+        df = df.join(spark.read.parquet(path).select("alert_id"), "alert_id", "left_anti")
     write_dated(first_by_key(df, "alert_id", ["timestamp", "event_id"]), path)
 
 

@@ -1,6 +1,8 @@
 """One registered query per operator of this folder, over whole tables with production parameters."""
 
-from tracewarden.llm import ann_forest, decontamination, language_id, licences, line_dedup, mixing, ngram_join, quality, substring_dedup, suffix_dedup
+from tracewarden.llm import (
+    ann_forest, decontamination, language_id, licences, line_dedup, mixing, ngram_join, packing, quality, substring_dedup, suffix_dedup,
+)
 from tracewarden.llm.common import table
 from tracewarden.llm.oracles import ORACLES  # noqa: F401
 
@@ -17,4 +19,5 @@ QUERIES = {
     "op6_substring_dedup": lambda spark, folder: substring_dedup.digest(table(spark, folder, "documents")),
     "op7_ngram_jaccard_join": lambda spark, folder: ngram_join.digest(table(spark, folder, "documents")),
     "op10_suffix_array_dedup": lambda spark, folder: suffix_dedup.digest(table(spark, folder, "documents")),
+    "op13_packing": lambda spark, folder: packing.digest(table(spark, folder, "documents")),
 }

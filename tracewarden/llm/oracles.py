@@ -141,6 +141,30 @@ SELECT doc_id, size, source_size, target,
 FROM a
 """
 
+DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT i, lang, source, t, count(*) AS n FROM (SELECT i, lang, source, unnest(w) AS t FROM d) GROUP BY ALL),
+kept AS (SELECT lang, t, sum(n) AS n FROM c GROUP BY lang, t HAVING count(*) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+cells AS (SELECT c.lang, c.source, c.t, sum(c.n) AS n FROM c SEMI JOIN kept ON kept.lang = c.lang AND kept.t = c.t GROUP BY ALL),
+sizes AS (SELECT lang, source, sum(n) AS total FROM cells GROUP BY ALL),
+p AS (SELECT g.lang, g.source, kept.t, coalesce(cells.n, 0) AS n,
+    1 + CAST((1000000000 * (coalesce(cells.n, 0) + 5)) // (coalesce(sizes.total, 0) + 5 * v) AS BIGINT) AS p,
+    1 + CAST((1000000000 * (kept.n + 5)) // (l.total + 5 * v) AS BIGINT) AS q
+  FROM g JOIN kept ON kept.lang = g.lang JOIN l ON l.lang = g.lang LEFT JOIN sizes ON sizes.lang = g.lang AND sizes.source = g.source
+  LEFT JOIN cells ON cells.lang = g.lang AND cells.source = g.source AND cells.t = kept.t),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', t, p - q FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM every)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR r <= 50
+"""
+
+
 def _licences() -> str:
     rows, idf, other = licences.weights()
     known = ", ".join(f"('{n}', {i}, '{w}', {x})" for n, i, w, x in rows)
@@ -183,4 +207,5 @@ ORACLES = {
     "op6_substring_dedup": SUBSTRING,
     "op7_ngram_jaccard_join": NGRAM_JOIN,
     "op10_suffix_array_dedup": SUFFIX,
+    "op12_source_divergence": DIVERGENCE,
 }

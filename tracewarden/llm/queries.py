@@ -1,7 +1,7 @@
 """One registered query per operator of this folder, over whole tables with production parameters."""
 
 from tracewarden.llm import (
-    ann_forest, decontamination, divergence, language_id, licences, line_dedup, mixing, ngram_join, packing, quality, substring_dedup, suffix_dedup,
+    ann_forest, decontamination, divergence, hard_negatives, language_id, licences, line_dedup, mixing, ngram_join, packing, quality, substring_dedup, suffix_dedup,
 )
 from tracewarden.llm.common import table
 from tracewarden.llm.oracles import ORACLES  # noqa: F401
@@ -21,4 +21,5 @@ QUERIES = {
     "op10_suffix_array_dedup": lambda spark, folder: suffix_dedup.digest(table(spark, folder, "documents")),
     "op13_packing": lambda spark, folder: packing.digest(table(spark, folder, "documents")),
     "op12_source_divergence": lambda spark, folder: divergence.digest(table(spark, folder, "documents")),
+    "op11_hard_negatives": lambda spark, folder: hard_negatives.digest(table(spark, folder, "embeddings")),
 }

@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,26 +48,36 @@ def greedy_spacing(
 def _streamed(nodes: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
     keys = list(keys)
 
+    def same(column, a, b):
+        """Whether rows ``a`` and ``b`` agree; null agrees with null."""
+        values, none = column.to_numpy(), column.isna().to_numpy()
+        return (values[a] == values[b]) | (none[a] & none[b])
+
     def keep(batches):
-        last_key, last = None, 0
+        tail, last = None, 0  # the newest row, and the last kept value of its key
         for batch in batches:
             if not len(batch):
                 continue
             values = batch["_v"].to_numpy()
-            turn = np.zeros(len(batch), bool)
-            for k in keys:
-                column = batch[k]
-                turn[1:] |= ~((column.values[1:] == column.values[:-1]) | (column.isna().values[1:] & column.isna().values[:-1]))
-            starts = np.flatnonzero(turn | (np.arange(len(batch)) == 0))
+            turn = np.r_[True, ~np.logical_and.reduce([same(batch[k], slice(1, None), slice(None, -1)) for k in keys])]
+            starts = np.flatnonzero(turn)
+            ends = np.r_[starts[1:], len(batch)]
             picked = np.zeros(len(batch), bool)
-            for a, b in zip(starts, [*starts[1:], len(batch)]):  # one key; a step per kept value
-                key = tuple(None if x is None or x != x else x for x in batch.iloc[a][keys])
-                at = a if key != last_key else a + int(np.searchsorted(values[a:b], last + gap))
-                while at < b:
+            goes_on = tail is not None and all(
+                tail[k] == batch[k].iloc[0] or (pd.isna(tail[k]) and pd.isna(batch[k].iloc[0])) for k in keys)
+            picked[starts[1:] if goes_on else starts] = True  # the first value of a key is kept
+            wide = values[ends - 1] - values[starts] >= gap
+            wide[0] |= goes_on
+            for n in np.flatnonzero(wide):  # only keys that may keep more; a step per kept value
+                a, b = starts[n], ends[n]
+                before = last if n == 0 and goes_on else values[a]
+                while (at := a + int(np.searchsorted(values[a:b], before + gap))) < b:
                     picked[at] = True
-                    last = int(values[at])
-                    at = a + int(np.searchsorted(values[a:b], last + gap))
-                last_key = key
+                    before = values[at]
+            kept = np.flatnonzero(picked[starts[-1] :])
+            if len(kept):  # else the key of the batch before goes on without a new value
+                last = int(values[starts[-1] + kept[-1]])
+            tail = {k: batch[k].iloc[-1] for k in keys}
             yield batch[picked]
 
     ordered = nodes.repartition(*keys).sortWithinPartitions(*keys, "_v")

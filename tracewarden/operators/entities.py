@@ -191,20 +191,26 @@ def entity_lateral(
     )))
 
 
+def with_lateral(
+    events: DataFrame, seen: DataFrame, window_s: int = 600, hosts: int = 3, hot_rows: int = HOT_ROWS, last: int = 100
+) -> DataFrame:
+    """Observations with lateral movement among their flags and in the risk they add."""
+    rows = events.filter("actor != 'unknown'").select("event_id", "actor", "source", micros(F.col("timestamp")).alias("_us"))
+    counted = recent_presence(rows, "actor", "source", window_s, last, hot_rows)
+    moved = counted.filter(F.col("n_hosts") >= hosts).select("actor", "event_id", "_us", F.lit(True).alias("_moved"))
+    return seen.join(moved, ["actor", "event_id", "_us"], "left").withColumns({
+        "flags": F.when(F.col("_moved"), F.concat("flags", F.array(F.lit("lateral_movement")))).otherwise(F.col("flags")),
+        "risk_added": F.col("risk_added") + F.when(F.col("_moved"), F.lit(fixed.RISK["lateral_movement"])).otherwise(0.0),
+    }).drop("_moved")
+
+
 def risk_added(
     events: DataFrame, window_s: int = 600, hosts: int = 3, hot_rows: int = HOT_ROWS, seen: DataFrame | None = None,
     last: int = 100, **hours,
 ) -> DataFrame:
     """(actor, event_id, _us, timestamp, risk_added) per tracked event, lateral movement included."""
     seen = observations(events, hot_rows=hot_rows, **hours) if seen is None else seen
-    base = seen.select("actor", "event_id", "_us", "timestamp", "risk_added")
-    rows = events.filter("actor != 'unknown'").select("event_id", "actor", "source", micros(F.col("timestamp")).alias("_us"))
-    counted = recent_presence(rows, "actor", "source", window_s, last, hot_rows)
-    moved = counted.filter(F.col("n_hosts") >= hosts).select(
-        "actor", "event_id", "_us", F.lit(fixed.RISK["lateral_movement"]).alias("_more"))
-    return base.join(moved, ["actor", "event_id", "_us"], "left").withColumn(
-        "risk_added", F.col("risk_added") + F.coalesce("_more", F.lit(0.0))
-    ).drop("_more")
+    return with_lateral(events, seen, window_s, hosts, hot_rows, last).select("actor", "event_id", "_us", "timestamp", "risk_added")
 
 
 def risk_scores(events: DataFrame, hot_rows: int = HOT_ROWS, **options) -> DataFrame:
@@ -223,53 +229,47 @@ def entity_snapshot(
     """One row per actor, and per source host that never acts itself (with event_count 0).
 
     Sets stay small by construction (hours, types, flags); hosts are cut to ``shown_hosts`` names before they are
-    gathered, next to their exact number.
+    gathered, next to their exact number; ``entity_hosts`` has all.
     """
     events = unique_events(events)
-    seen = reliable(observations(events, hot_rows=hot_rows, **hours))  # read six times below
-    risk = reliable(risk_added(events, window_s, hosts, hot_rows, seen=seen))
-    lateral = F.col("risk_added") >= fixed.RISK["lateral_movement"]
-    totals = risk.groupBy("actor").agg(
-        F.round(F.least(F.lit(fixed.RISK_CEILING), F.sum("risk_added")), 2).alias("risk_score"),
-        F.max(F.when(F.col("risk_added") > 0, F.col("timestamp"))).alias("last_risk_update"),
-    )
-    life = seen.groupBy("actor").agg(
-        F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"),
-        F.count("*").alias("event_count"),
-        F.count_if(F.col("branch") == "auth_failure").alias("_failures"),
-        F.count_if(F.col("branch") == "auth_success").alias("auth_successes"),
-        F.array_sort(F.collect_set(F.hour("timestamp"))).alias("active_hours"),
-        F.array_sort(F.collect_set("event_type")).alias("known_event_types"),
-    )
+    seen = reliable(with_lateral(events, observations(events, hot_rows=hot_rows, **hours), window_s, hosts, hot_rows))
     runs = success_after_failures(seen, failure_threshold, hot_rows)
-    reset = runs.groupBy("actor").agg(F.max("failures").alias("_reset"))
-    moved = risk.join(seen.select("actor", "event_id", "_us", F.col("risk_added").alias("_own")), ["actor", "event_id", "_us"])
-    moved = moved.filter(lateral & (F.col("risk_added") > F.col("_own"))).select("actor", F.lit("lateral_movement").alias("flag"))
-    flags = (
-        seen.select("actor", F.explode("flags").alias("flag"))
-        .unionByName(runs.select("actor", F.lit("success_after_failures").alias("flag")))
-        .unionByName(moved)
-        .groupBy("actor").agg(F.array_sort(F.collect_set("flag")).alias("deviation_flags"))
+    reset = runs.groupBy("actor").agg(F.max("failures").alias("reset"))
+    life = seen.groupBy("actor").agg(
+        F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.count("*").alias("events"),
+        F.count_if(F.col("branch") == "auth_failure").alias("failures"),
+        F.count_if(F.col("branch") == "auth_success").alias("successes"),
+        F.collect_set(F.hour("timestamp")).alias("hours"), F.collect_set("event_type").alias("types"),
+        F.flatten(F.collect_set("flags")).alias("flags"), F.sum("risk_added").alias("risk"),
+        F.max(F.when(F.col("risk_added") > 0, F.col("timestamp"))).alias("risk_at"),
     )
-    pairs = seen.filter("source != 'unknown'").groupBy("actor", "source").agg(F.min("timestamp").alias("_at"))
+    pairs = entity_hosts(seen)
     w = Window.partitionBy("actor").orderBy("source")
-    shown = pairs.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= shown_hosts).groupBy("actor").agg(
-        F.array_sort(F.collect_list("source")).alias("known_hosts"))
-    number = pairs.groupBy("actor").agg(F.count("*").alias("known_host_count"))
-    actors = (
-        life.join(totals, "actor").join(reset, "actor", "left").join(flags, "actor", "left")
-        .join(shown, "actor", "left").join(number, "actor", "left")
-    )
+    known = pairs.withColumn("_n", F.row_number().over(w)).groupBy("actor").agg(
+        F.collect_list(F.when(F.col("_n") <= shown_hosts, F.col("source"))).alias("hosts"), F.count("*").alias("host_count"))
+    ended = F.when(F.col("reset").isNotNull(), F.array(F.lit("success_after_failures"))).otherwise(F.array().cast("array<string>"))
+    actors = life.join(reset, "actor", "left").join(known, "actor", "left").withColumn("flags", F.concat("flags", ended))
+    return snapshot_rows(actors, pairs.groupBy("source").agg(F.min("first_seen").alias("first_seen")))
+
+
+def entity_hosts(seen: DataFrame) -> DataFrame:
+    """(actor, source, first_seen): every host that an actor was seen on."""
+    return seen.filter("source != 'unknown'").groupBy("actor", "source").agg(F.min("timestamp").alias("first_seen"))
+
+
+def snapshot_rows(actors: DataFrame, sources: DataFrame) -> DataFrame:
+    """The snapshot from what is known of each actor, and of each source (source, first_seen) anyone was seen on."""
     nothing = F.array().cast("array<string>")
+    names = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, nothing)))
     meta = F.struct(
-        (F.col("_failures") - F.coalesce("_reset", F.lit(0))).alias("auth_failures"), "auth_successes",
-        F.coalesce("known_hosts", nothing).alias("known_hosts"),
-        F.coalesce("known_host_count", F.lit(0)).alias("known_host_count"), "active_hours",
-        F.coalesce("deviation_flags", nothing).alias("deviation_flags"), "known_event_types",
+        (F.col("failures") - F.coalesce("reset", F.lit(0))).alias("auth_failures"), F.col("successes").alias("auth_successes"),
+        names("hosts").alias("known_hosts"), F.coalesce("host_count", F.lit(0).cast("long")).alias("known_host_count"),
+        F.array_sort("hours").alias("active_hours"), names("flags").alias("deviation_flags"), F.array_sort("types").alias("known_event_types"),
     )
     acting = actors.select(
-        F.col("actor").alias("entity_id"), "first_seen", "last_seen", "event_count", "risk_score",
-        F.coalesce("last_risk_update", "first_seen").alias("last_risk_update"), meta.alias("metadata"),
+        F.col("actor").alias("entity_id"), "first_seen", "last_seen", F.col("events").alias("event_count"),
+        F.round(F.least(F.lit(fixed.RISK_CEILING), "risk"), 2).alias("risk_score"),
+        F.coalesce("risk_at", "first_seen").alias("last_risk_update"), meta.alias("metadata"),
     )
     zero = F.lit(0).cast("long")
     passive_meta = F.struct(
@@ -277,13 +277,11 @@ def entity_snapshot(
         zero.alias("known_host_count"), F.array().cast("array<int>").alias("active_hours"),
         nothing.alias("deviation_flags"), nothing.alias("known_event_types"),
     )
-    passive = (
-        pairs.filter("source != actor").groupBy("source").agg(F.min("_at").alias("first_seen"))
-        .join(life.select(F.col("actor").alias("source")), "source", "left_anti")
-        .select(F.col("source").alias("entity_id"), "first_seen", F.col("first_seen").alias("last_seen"),
-                zero.alias("event_count"), F.lit(0.0).alias("risk_score"),
-                F.col("first_seen").alias("last_risk_update"), passive_meta.alias("metadata"))
-    )
+    # A source that acts has a row of its own already, also if it is the only one to be seen on itself.
+    passive = sources.join(actors.select(F.col("actor").alias("source")), "source", "left_anti").select(
+        F.col("source").alias("entity_id"), "first_seen", F.col("first_seen").alias("last_seen"),
+        zero.alias("event_count"), F.lit(0.0).alias("risk_score"),
+        F.col("first_seen").alias("last_risk_update"), passive_meta.alias("metadata"))
     return acting.unionByName(passive).select(
         "entity_id", entity_type(F.col("entity_id")).alias("entity_type"), "first_seen", "last_seen", "event_count",
         "risk_score", risk_label(F.col("risk_score")).alias("risk_label"), F.lit(False).alias("is_stale"),

@@ -26,12 +26,40 @@ HOT_ROWS = 4_000_000
 SPREAD = 4
 
 
+class Measured(int):
+    """``hot_rows`` that knows the hot keys of some events already, see ``measured``; used in its place by every operator."""
+
+    known: dict[frozenset, tuple | None] = {}
+
+
+def measured(events: DataFrame, hot_rows: int, *key_sets: Sequence[str]) -> Measured:
+    """Count each of ``key_sets`` once, in one pass. What an operator makes of ``events`` has at most ``SPREAD`` rows for one
+    event, so keys that are not hot here are not hot there; those found are cut into pieces in every operator.
+    """
+    limit = max(1, hot_rows // SPREAD)
+    columns = sorted({k for keys in key_sets for k in keys})
+    sets = [[F.col(k) for k in keys] for keys in key_sets]
+    rows = events.select(*columns).groupingSets(sets, *columns).agg(
+        F.grouping_id().alias("_set"), F.count("*").alias("_n")).filter(F.col("_n") > limit)
+    found = reliable(rows)
+    sizes = {r["_set"]: r for r in found.groupBy("_set").agg(F.count("*").alias("keys"), F.sum("_n").alias("rows")).collect()}
+    out = Measured(hot_rows)
+    out.known = {}
+    for keys in key_sets:
+        bits = sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in keys)
+        size = sizes.get(bits)
+        out.known[frozenset(keys)] = size and (found.filter(F.col("_set") == bits).select(*keys), size["keys"], size["rows"] * SPREAD)
+    return out
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int, base: DataFrame | None = None):
     """Keys with more than ``hot_rows`` rows as (DataFrame, key count, row count), or None when there are none.
 
     The count is combined map-side, reads the key columns only, and at most total/hot_rows keys can qualify. A null key
     counts like any other. ``base`` is what ``df`` was made of, at most ``SPREAD`` rows for one: counting it is cheaper.
     """
+    if isinstance(hot_rows, Measured) and frozenset(keys) in hot_rows.known:
+        return hot_rows.known[frozenset(keys)]
     if base is not None:
         df, hot_rows = base, max(1, hot_rows // SPREAD)
     hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)

@@ -249,7 +249,8 @@ _KEPT = "alert_type, stage, actor, source_host, timestamp, event_id"
 
 @events_query("alert_cooldown", with_ctes(f"SELECT {_KEPT} FROM kept", "kept"))
 def _(ev):
-    found = detection.candidates(ev, window_s=W, hosts=2, entity=_ENTITY, brute_force_threshold=3, stuffing_threshold=2)
+    ev, hot_rows = detection.prepared(ev)
+    found = detection.candidates(ev, window_s=W, hosts=2, entity=_ENTITY, hot_rows=hot_rows, brute_force_threshold=3, stuffing_threshold=2)
     return correlate.cooldown(reliable(found), 7200).select(*_KEPT.split(", "))
 
 

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame
 from tracewarden.operators import correlate as c
 from tracewarden.operators import entities as e
 from tracewarden.operators.narrative import five_w
-from tracewarden.operators.running import HOT_ROWS
+from tracewarden.operators.running import HOT_ROWS, measured
 from tracewarden.operators.sigma import RulePack, sigma_match
-from tracewarden.session import reliable
+from tracewarden.session import reliable, written
 
 
 def candidates(
@@ -29,15 +29,22 @@ def candidates(
     )
 
 
+def prepared(events: DataFrame, hot_rows: int = HOT_ROWS):
+    """The events as a table of their own, and ``hot_rows`` with the hot keys of the detectors."""
+    events = written(events)
+    return events, measured(events, hot_rows, ["actor"], ["source"], ["actor", "source"])
+
+
 def detect(
     events: DataFrame, pack: RulePack | None = None, window_s: int = 600, cooldown_s: int = 300, hosts: int = 3,
     entity: dict | None = None, hot_rows: int = HOT_ROWS, **rules,
 ) -> DataFrame:
     """Final alerts. Candidates and survivors are checkpointed: both feed several later steps.
 
-    Repeated event ids count once. What the detectors read is written once, so the input is parsed once.
+    Repeated event ids count once. What the detectors read is written once as a table, so the input is parsed once and each
+    scan reads its own columns. The keys that windows are kept by are counted once.
     """
-    events = reliable(c.unique_events(events))
+    events, hot_rows = prepared(c.unique_events(events), hot_rows)
     found = reliable(candidates(events, pack, window_s, hosts, entity, hot_rows, **rules))
     kept = reliable(c.cooldown(found, cooldown_s, hot_rows))
     return c.finalise(kept, events, window_s, hot_rows)

@@ -63,6 +63,13 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage with a Parquet table in the shared scratch folder: later readers prune columns and push filters down."""
+    spark, path = df.sparkSession, scratch_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
     """Join on ``keys`` where null equals null; the keys of the left side remain."""
     keys = list(keys)

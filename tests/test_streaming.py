@@ -2,13 +2,16 @@
 
 import tempfile
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewarden.operators.normalize import normalise_linux, parse_linux_lines
 from tracewarden.operators.validate import parse_event_json, to_json_lines
+from tracewarden.operators import entities as e
 from tracewarden.plans import detection
 from tracewarden.schema import EVENT
 from tracewarden.sources import files
+from tracewarden.streaming.entities import LiveEntities
 from tracewarden.streaming.live import LiveDetection, dedup_stream, subscribe, timeline_stream
 
 
@@ -89,3 +92,30 @@ def test_log_lines_with_host_from_folder(spark):
     live = drain(normalise_linux(parse_linux_lines(files.read_log_lines(spark, f"{folder}/*", stream=True), 2024, "2024-02-01")))
     row = live.first()
     assert (row["actor"], row["target"], row["source"], row["mitre_technique"]) == ("root", "10.0.0.5", "web07", "T1110")
+
+
+def test_live_entities_equal_batch(spark, events):
+    """Many micro-batches: risk, timeline, deviations and snapshot are those of one batch, and the state is compacted on the way."""
+    folder = fresh() + "/in"
+    batches = 9
+    cut = F.ntile(batches).over(Window.orderBy("timestamp", "event_id"))
+    pieces = events.withColumn("part", cut).persist()
+    for i in range(batches):
+        pieces.filter(F.col("part") == i + 1).drop("part").coalesce(1).write.parquet(f"{folder}/part={i}")
+    options = {"window_s": 86_400, "hosts": 2, "failure_threshold": 2, "stale_days": 7}
+    live = LiveEntities(spark, fresh() + "/out", min_severity=6, compact_every=4, **options)
+    live.start(follow(spark, folder), fresh(), availableNow=True).awaitTermination()
+
+    def same(got, want):
+        columns = sorted(want.columns)
+        rows = [sorted(map(str, x.select(*columns).collect())) for x in (got, want)]
+        assert rows[0] == rows[1]
+
+    same(live.snapshot(), e.entity_snapshot(events, 86_400, 2, 2, stale_days=7))
+    same(live.risk(), e.risk_scores(events, window_s=86_400, hosts=2, stale_days=7))
+    same(live.timeline(), e.entity_timeline(events, 6, 2, stale_days=7))
+    pick = ["alert_type", "actor", "source_host", "timestamp", "event_id", "description", "severity_score"]
+    same(live.deviations().select(*pick), e.deviations(events, 2, stale_days=7).select(*pick))
+    told = live.narrated("2024-02-01")
+    assert told.filter("five_w.what IS NULL OR five_w.who.summary IS NULL").count() == 0 and told.count() == live.deviations().count()
+    assert live._ids("lives", "batch_id") == [8] and live._ids("lives_base", "upto") == [7]

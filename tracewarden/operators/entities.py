@@ -156,6 +156,11 @@ def deviations(
 ) -> DataFrame:
     """Candidate alerts for every deviation of an actor from its own history."""
     seen = reliable(observations(events, hot_rows=hot_rows, **hours)) if seen is None else seen
+    return deviation_alerts(seen, success_after_failures(seen, failure_threshold, hot_rows, past), hours.get("stale_days", 90))
+
+
+def deviation_alerts(seen: DataFrame, runs: DataFrame, stale_days: int = 90) -> DataFrame:
+    """The alerts for flagged observations, and for ``runs`` of failures that a success ended."""
     texts = {
         "new_host_access": F.format_string("First seen on %s", "source"),
         "audit_log_cleared": F.lit("Security audit log was cleared"),
@@ -164,11 +169,9 @@ def deviations(
         "group_membership_change": F.format_string("%s added to security group", "actor"),
         "scheduled_task_created": F.format_string("Scheduled task created by %s", "actor"),
         "after_hours_access": F.concat(F.lit("Authentication at "), F.date_format("timestamp", "HH:mm"), F.lit(" UTC")),
-        "stale_account_active": F.format_string(
-            "Account inactive for %s+ days, now active", F.lit(hours.get("stale_days", 90))),
+        "stale_account_active": F.format_string("Account inactive for %s+ days, now active", F.lit(stale_days)),
     }
     hits = emit(seen, *[(F.array_contains("flags", n), _deviation_alert(n, t)) for n, t in texts.items()])
-    runs = success_after_failures(seen, failure_threshold, hot_rows, past)
     text = F.format_string("%s failures before success", "run")
     return hits.unionByName(emit(runs, (F.lit(True), _deviation_alert("success_after_failures", text))))
 

@@ -75,6 +75,81 @@ def archive_events(df: DataFrame, path: str, as_of, days: int = 90) -> DataFrame
     return live
 
 
+def _limits(spark: SparkSession, path: str) -> list[int]:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{path}/_retained")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [int(f.getPath().getName()) for f in fs.listStatus(target)] if fs.exists(target) else []
+
+
+def retain_events(spark: SparkSession, path: str, archive: str, as_of, days: int = 90) -> None:
+    """Move rows older than ``days`` before ``as_of`` from the live table to the archive, a day at a time.
+
+    1. The archive gets the old rows; its days concerned are rewritten (dynamic partition overwrite) with each event once.
+    2. A marker names the new limit. From then on ``read_live`` and ``read_all`` take older rows from the archive only.
+    3. The old days leave the live table; of the day of the limit the younger rows are written again.
+
+    A run that stops anywhere can be repeated: before the marker, readers still have the live rows; after it, what is left of
+    them is passed over. Rows without a time stay. Only days before the limit are read. A limit never moves back.
+    """
+    limit = spark.range(1).select(F.unix_micros(instant(as_of) - F.make_dt_interval(days=F.lit(days)))).first()[0]
+    limit = max([limit, *_limits(spark, path)])
+    at = F.timestamp_micros(F.lit(limit))
+    table = spark.read.parquet(path)
+    old = table.filter((F.col("event_date") <= F.to_date(at)) & (F.col("timestamp") < at))
+    touched = [r[0] for r in old.select("event_date").distinct().collect()]  # one value per day
+    writer = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+    order = ["event_date", "timestamp", "event_id"]
+    if touched:
+        there = spark.read.schema(table.schema).parquet(archive).filter(F.col("event_date").isin(touched)) if _has_data(spark, archive) else None
+        if there is not None:
+            named = there.filter("event_id IS NOT NULL").select("event_id")
+            # Events without an id cannot be told from those of an earlier attempt; whole rows are compared.
+            plain = old.filter("event_id IS NULL").exceptAll(there.filter("event_id IS NULL").select(*old.columns))
+            old = there.select(*old.columns).unionByName(old.filter("event_id IS NOT NULL").join(named, "event_id", "left_anti").select(*old.columns)).unionByName(plain)
+        writer(old.repartitionByRange(*order).sortWithinPartitions(*order)).partitionBy("event_date").parquet(archive)
+
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_retained/{limit}")
+    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.create(marker, True).close()
+
+    limit_day = spark.range(1).select(F.to_date(at)).first()[0]
+    if limit_day in touched:
+        young = table.filter((F.col("event_date") == F.lit(limit_day)) & (F.col("timestamp") >= at))
+        if not young.isEmpty():
+            writer(young.repartitionByRange(*order).sortWithinPartitions(*order)).partitionBy("event_date").parquet(path)
+            touched.remove(limit_day)
+    for day in touched:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/event_date={day}"), True)
+    if not any(f.getPath().getName().startswith("event_date=") for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(path))):
+        # Nothing is left: a file without rows keeps the schema.
+        table.limit(0).drop("event_date").write.mode("overwrite").parquet(f"{path}/event_date={limit_day}")
+    spark.catalog.refreshByPath(path)
+    for older in _limits(spark, path):
+        if older < limit:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/_retained/{older}"), True)
+
+
+def read_live(spark: SparkSession, path: str) -> DataFrame:
+    """The live table as of the newest retention limit."""
+    rows, limits = spark.read.parquet(path), _limits(spark, path)
+    if not limits:
+        return rows
+    at = F.timestamp_micros(F.lit(max(limits)))
+    young = (F.col("event_date") >= F.to_date(at)) & (F.col("timestamp") >= at)
+    return rows.filter(young | F.col("timestamp").isNull())
+
+
+def read_all(spark: SparkSession, path: str, archive: str) -> DataFrame:
+    """Live and archived events, each once at any moment of a retention run."""
+    live, limits = read_live(spark, path), _limits(spark, path)
+    if not limits or not _has_data(spark, archive):
+        return live
+    at = F.timestamp_micros(F.lit(max(limits)))
+    return live.unionByName(spark.read.schema(live.schema).parquet(archive).filter(F.col("timestamp") < at))
+
+
 def scan_archive(spark: SparkSession, path: str, since, until, actor: str | None = None) -> DataFrame:
     """Archived events of a time range in order; whole days outside it are never opened."""
     since, until = instant(since), instant(until)

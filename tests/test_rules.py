@@ -105,3 +105,44 @@ def test_input_order_does_not_matter(events):
     pick = ["alert_type", "actor", "event_id", "title"]
     got = [sorted(map(tuple, c.correlate(x, 86_400, 3, 2, 2).select(*pick).collect())) for x in (events, shuffled)]
     assert got[0] == got[1]
+
+
+def test_alerts_of_events_without_ids(make):
+    """Two attacks an hour apart keep their own ids, evidence and span."""
+    rows = make([(i, "bob", "h1", 4625) for i in range(10)] + [(3600 + i, "bob", "h1", 4625) for i in range(10)])
+    brute = detection.detect(rows.withColumn("event_id", F.lit(None).cast("string"))).filter("alert_type = 'brute_force'").collect()
+    assert len({r["alert_id"] for r in brute}) == 2
+    assert all(len(r["event_ids"]) == 10 and r["metadata"]["span_seconds"] == "9" for r in brute)
+    assert not set(brute[0]["event_ids"]) & set(brute[1]["event_ids"])
+
+
+def test_events_without_ids_times_and_actors(make):
+    """Missing values cost nothing but what needs them: alerts of whole events stay, nothing crashes, copies keep apart."""
+    whole = make([(i, "bob", "h1", 4625) for i in range(12)] + [(50, "eve", "h2", 1102)])
+    broken = make([(i, "carl", f"h{i % 5}", 4624) for i in range(30)]).withColumns({
+        "event_id": F.when(F.col("raw_event_id") < 0, F.col("event_id")),
+        "timestamp": F.when(F.expr("source != 'h1'"), F.col("timestamp")),
+        "actor": F.when(F.expr("source != 'h2'"), F.col("actor"))})
+    pick = lambda df: {(r["alert_type"], r["actor"], r["source_host"], r["event_id"]) for r in df.collect()}
+    got, want = pick(detection.detect(whole.unionByName(broken))), pick(detection.detect(whole))
+    assert want <= got and all(a[1] in ("carl", None) for a in got - want)
+    assert detection.detect(broken).filter("alert_id IS NULL OR event_id IS NULL").count() == 0
+
+
+def test_pruned_names_are_those_of_the_greedy_rule(make):
+    import bisect
+    import random
+
+    draw = random.Random(8)
+    rows = [("a", f"n{draw.randrange(10**6)}", 0, draw.randrange(50)) for _ in range(400)]
+    spark = make([(0, "a", "b", 1)]).sparkSession
+    cut = spark.createDataFrame([(*r, 0) for r in rows], "actor string, source string, _slice bigint, _at bigint, _piece bigint")
+    for sign in (1, -1):
+        for keep in (0, 1, 10):
+            names, want = [], []
+            for _, name, _, at in sorted(rows, key=lambda r: (sign * r[3], r[1])):
+                if len(names) <= keep or name < names[keep]:
+                    bisect.insort(names, name)
+                    del names[keep + 1 :]
+                    want.append((name, at))
+            assert sorted((r["source"], r["_at"]) for r in c._candidates(cut, sign, keep).collect()) == sorted(want)

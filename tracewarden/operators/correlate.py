@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ CANDIDATE = [
 ]
 # Sources of one actor and time slice that are pruned in one task.
 PIECE_ROWS = 50_000
+_NO_NAME = np.int64(2**62)  # after every rank
 # Order in which the detectors of one event are asked; the first of a kind wins the cooldown.
 STAGE = {
     "entity": 0, "sigma": 10_000, "brute_force": 20_001, "credential_stuffing": 20_002, "lateral_movement": 20_003,
@@ -445,19 +448,16 @@ def _pruned(seen: DataFrame, sign: int, keep: int, piece_rows: int) -> DataFrame
 def _candidates(cut: DataFrame, sign: int, keep: int) -> DataFrame:
     """What is left of each (actor, slice, piece) when sources that ``keep`` + 1 smaller names of the piece precede are dropped."""
 
-    def run(table):
-        import bisect
-
-        names, out = [], []
-        for name, at in sorted(zip(table["source"].to_pylist(), table["_at"].to_pylist()), key=lambda r: (sign * r[1], r[0])):
-            if len(names) <= keep or name < names[keep]:
-                bisect.insort(names, name)
-                del names[keep + 1 :]
-                out.append((name, at))
-        first = table.slice(0, 1).to_pylist()[0]
-        return pa.Table.from_pylist(
-            [{"actor": first["actor"], "source": n, "_slice": first["_slice"], "_at": at} for n, at in out],
-            pa.schema([("actor", pa.string()), ("source", pa.string()), ("_slice", pa.int64()), ("_at", pa.int64())]))
+    def run(table: pa.Table) -> pa.Table:
+        rank = pc.rank(table["source"], "ascending", tiebreaker="first").to_numpy().astype(np.int64)
+        order = np.lexsort((rank, sign * table["_at"].to_numpy()))
+        smallest = rank[order]
+        # The k-th smallest name so far: what the (k-1)-th passes on is the larger of the newcomer and the one it displaces.
+        for _ in range(keep):
+            smallest = np.maximum(smallest, np.r_[_NO_NAME, np.minimum.accumulate(smallest)[:-1]])
+        bound = np.r_[_NO_NAME, np.minimum.accumulate(smallest)[:-1]]
+        kept = order[rank[order] < bound]
+        return table.select(["actor", "source", "_slice", "_at"]).take(pa.array(kept))
 
     return cut.groupBy("actor", "_slice", "_piece").applyInArrow(run, "actor string, source string, _slice bigint, _at bigint")
 
@@ -484,14 +484,25 @@ def unique_events(events: DataFrame) -> DataFrame:
     return events.join(again, "event_id", "left_anti").unionByName(best.select("event_id", "_e.*").select(*events.columns))
 
 
+def identified(events: DataFrame) -> DataFrame:
+    """Events without an id get one from their content; equal ones are numbered. The others are not shuffled."""
+    columns = [c for c in events.columns if c != "event_id"]
+    bare = events.filter("event_id IS NULL")
+    content = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    place = F.row_number().over(Window.partitionBy("_content").orderBy("_content"))
+    named = bare.withColumn("_content", content).withColumn("event_id", F.concat_ws("-", F.lit("content"), F.left("_content", F.lit(32)), place))
+    return events.filter("event_id IS NOT NULL").unionByName(named.select(*events.columns))
+
+
 def alert_key(*cols: str) -> Column:
-    return F.sha2(F.concat_ws("\u0001", *cols), 256)
+    """Null is a value of its own, so that an alert never gets the id of another."""
+    return F.sha2(F.concat_ws("\u0001", *[F.coalesce(c, F.lit("\u0002")) for c in cols]), 256)
 
 
 def finalise(
     alerts: DataFrame, events: DataFrame, window_s: int = 600, hot_rows: int = HOT_ROWS, shown_hosts: int = 100
 ) -> DataFrame:
-    """Give each surviving alert its id, status, evidence and complete texts.
+    """Give each surviving alert its id, status, evidence and complete texts. Events need ids, see ``identified``.
 
     ``distinct_hosts`` has the first ``shown_hosts`` names, beside the exact number in the metadata; ``alert_hosts`` and
     ``recent_hosts`` give all as a table.

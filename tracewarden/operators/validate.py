@@ -12,21 +12,26 @@ from tracewarden.schema import EVENT_COLUMNS, EVENT_JSON
 
 
 def parse_event_json(df: DataFrame, as_of, col: str = "value") -> tuple[DataFrame, DataFrame]:
-    """JSON text -> (valid flat events, rejected rows with ``reason``). Works on batch and streaming input."""
+    """JSON text -> (valid flat events, rejected rows with ``reason``). Works on batch and streaming input.
+
+    A required field has to be there; null is repaired like any bad value, and an event whose id is null keeps none.
+    """
     read = F.from_json(col, EVENT_JSON, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     # The filters below must not be pushed into the reading, which would repeat it per field: an explode is a barrier.
     parsed = df.withColumn("_e", F.explode(F.array(read)))
     e = F.col("_e")
     reason = F.when(e.isNull() | e["_corrupt_record"].isNotNull(), "invalid json")
     for name in fixed.REQUIRED_FIELDS:
-        reason = reason.when(e[name].isNull(), f"missing required field: {name}")
+        # A field that is there but null is repaired later; the keys are read only where a value is null.
+        absent = e[name].isNull() & ~F.coalesce(F.array_contains(F.json_object_keys(col), name), F.lit(False))
+        reason = reason.when(absent, f"missing required field: {name}")
     flagged = parsed.withColumn("reason", reason)
     valid = flagged.filter("reason IS NULL").select("*", "_e.*").drop(col, "reason", "_e", "_corrupt_record")
     return flatten(_fix(valid, as_of)), flagged.filter("reason IS NOT NULL").select(F.col(col), "reason")
 
 
 def validate(df: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
-    """The same rules on a DataFrame whose columns are the nested event fields (sub-objects as JSON text)."""
+    """The same rules on a DataFrame whose columns are the nested event fields (sub-objects as JSON text). Here null means absent."""
     missing = F.lit(None)
     for name in reversed(fixed.REQUIRED_FIELDS):
         missing = F.when(F.col(name).isNull(), f"missing required field: {name}").otherwise(missing)
@@ -64,7 +69,7 @@ def _fix(df: DataFrame, as_of) -> DataFrame:
         "event_id",
         F.coalesce(iso_ts(F.col("timestamp")), instant(as_of)).alias("timestamp"),
         F.when(platform.isin(fixed.PLATFORMS), platform).otherwise("unknown").alias("platform"),
-        "source",
+        or_unknown(F.col("source")).alias("source"),
         F.struct(part("_entity.actor", "unknown").alias("actor"), part("_entity.target", "unknown").alias("target"))
         .alias("entity"),
         F.struct(

@@ -41,10 +41,10 @@ def detect(
 ) -> DataFrame:
     """Final alerts. Candidates and survivors are checkpointed: both feed several later steps.
 
-    Repeated event ids count once. What the detectors read is written once as a table, so the input is parsed once and each
+    Repeated event ids count once; events without one get an id from their content. What the detectors read is written once as a table, so the input is parsed once and each
     scan reads its own columns. The keys that windows are kept by are counted once.
     """
-    events, hot_rows = prepared(c.unique_events(events), hot_rows)
+    events, hot_rows = prepared(c.identified(c.unique_events(events)), hot_rows)
     found = reliable(candidates(events, pack, window_s, hosts, entity, hot_rows, **rules))
     kept = reliable(c.cooldown(found, cooldown_s, hot_rows))
     return c.finalise(kept, events, window_s, hot_rows)

@@ -16,8 +16,10 @@ from tracewarden.operators import cases, correlate, entities, narrative, normali
 from tracewarden.plans import detection
 from tracewarden.plans.adapter import load, load_events
 from tracewarden.plans.oracles import NARRATIVE_ROWS, SIGMA, entity_type, risk_label, with_ctes
+from tracewarden.schema import EVENT
 from tracewarden.session import reliable, scratch_folder
-from tracewarden.sources import files, tables
+from tracewarden.sources import arrivals, files, tables
+from tracewarden.streaming.entities import LiveEntities
 
 W = 86_400
 AS_OF = "2024-01-31 00:00:00"
@@ -168,11 +170,10 @@ def _(ev):
     return reports.top_by(ev, "source")
 
 
-for _unit, _name in (("minute", "timeline_minute"), ("day", "timeline_day"), ("week", "timeline_hour")):
-    _trunc = "hour" if _unit == "week" else _unit
+for _unit, _name in (("minute", "timeline_minute"), ("day", "timeline_day"), ("hour", "timeline_hour")):
 
     @events_query(_name, with_ctes(
-        f"""SELECT date_trunc('{_trunc}', timestamp)::TIMESTAMP AS bucket, count(*) AS count, max(severity) AS max_severity FROM u
+        f"""SELECT date_trunc('{_unit}', timestamp)::TIMESTAMP AS bucket, count(*) AS count, max(severity) AS max_severity FROM u
         WHERE timestamp >= '2024-01-05' AND timestamp <= '2024-01-25' AND platform='windows' GROUP BY 1""", "u"))
     def _(ev, unit=_unit):
         return reports.timeline(ev, AS_OF, unit, "2024-01-05", "2024-01-25", "windows")
@@ -730,6 +731,72 @@ def _(ev):
                           cases.cases(_case_log(alerts)), "2024-01-30 00:00:00")
 
 
+# ---- Streams and tables that change: the events arrive in pieces, in order of time ----
+
+def _pieces(spark, folder, parts: int) -> str:
+    """The events as files in order of time, written one after the other: a file source takes them by the time of writing."""
+    path, events = scratch_folder(spark), load_events(spark, folder)
+    low, high = events.agg(F.min(F.unix_micros("timestamp")), F.max(F.unix_micros("timestamp"))).first()
+    part = F.least(F.floor((F.unix_micros("timestamp") - low) * parts / (high - low + 1)), F.lit(parts - 1))
+    for i in range(parts):
+        events.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _followed(spark, folder, parts: int = 3) -> LiveEntities:
+    """Live entities after a stream of all events, one file a micro-batch."""
+    events = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(_pieces(spark, folder, parts))
+    live = LiveEntities(spark, scratch_folder(spark), W, 2, 2, min_severity=6, compact_every=2, stale_days=STALE_DAYS)
+    live.start(events, scratch_folder(spark), availableNow=True).awaitTermination()
+    return live
+
+
+@query("live_snapshot", with_ctes(f"SELECT {_SNAP}, {', '.join(_META)} FROM snap", "snap"))
+def _(spark, folder):
+    return _followed(spark, folder).snapshot().select(*_SNAP.split(", "), *[f"metadata.{m}" for m in _META])
+
+
+@query("live_risk", ORACLES["risk_scores"])
+def _(spark, folder):
+    return _followed(spark, folder).risk()
+
+
+@query("live_timeline", ORACLES["entity_timeline"])
+def _(spark, folder):
+    return _followed(spark, folder).timeline()
+
+
+_SINCE = "2024-01-12 12:00:00"
+
+
+@query("retention_live", with_ctes(
+    f"SELECT CASE WHEN timestamp < '{_SINCE}' THEN 'archive' ELSE 'live' END AS place, event_id, timestamp, actor FROM u", "u"))
+def _(spark, folder):
+    """Written, archived twice, the second time with a repeated run; both tables are read as they are on disk."""
+    live, archive = scratch_folder(spark), scratch_folder(spark)
+    tables.write_dated(load_events(spark, folder), live)
+    for as_of in ("2024-04-05", "2024-04-11 12:00:00", "2024-04-11 12:00:00"):
+        tables.retain_events(spark, live, archive, as_of, 90)
+    both = spark.read.parquet(live).withColumn("place", F.lit("live")).unionByName(spark.read.parquet(archive).withColumn("place", F.lit("archive")))
+    return both.select("place", "event_id", "timestamp", "actor")
+
+
+@query("first_arrivals", with_ctes(
+    """SELECT event_id, CASE WHEN CAST(event_id AS BIGINT) % 3 = 0 THEN timestamp - INTERVAL 2 DAYS ELSE timestamp END AS timestamp,
+    CAST(CASE CAST(event_id AS BIGINT) % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS INTEGER) AS batch FROM u""", "u"))
+def _(spark, folder):
+    """Three batches and a repeated one; what comes again is older by event time and loses all the same."""
+    path, events = scratch_folder(spark), load_events(spark, folder)
+    third = F.col("event_id").cast("long") % 3
+    earlier = events.withColumn("timestamp", F.col("timestamp") - F.expr("INTERVAL 2 DAYS"))
+    first = earlier.filter(third == 0)
+    second = events.filter(third <= 1).unionByName(events.filter(third == 1))
+    for number, batch in enumerate([first, second, events.unionByName(earlier.limit(0))]):
+        arrivals.append_first(batch, path, number, buckets=16)
+    arrivals.append_first(earlier, path, 2, buckets=16)
+    return arrivals.read_first(spark, path).select("event_id", "timestamp", "batch")
+
+
 # ---- Normalisation: text built from the tables, parsed, compared with what it was built from ----
 
 @events_query("json_events", with_ctes(f"SELECT {EV} FROM u", "u"))

@@ -221,7 +221,8 @@ class LiveEntities:
     def compact(self, batch_id: int) -> None:
         """Fold the changes up to ``batch_id`` into a new base and remove what it replaces."""
         for table, rows in (("lives", self._lives()), ("sources", self._sources())):
-            rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/{table}_base/upto={batch_id}")
+            if batch_id not in self._ids(f"{table}_base", "upto"):  # else the batch is repeated
+                rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/{table}_base/upto={batch_id}")
             for old in self._ids(f"{table}_base", "upto"):
                 if old < batch_id:
                     self._remove(f"{table}_base/upto={old}")

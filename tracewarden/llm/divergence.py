@@ -36,7 +36,7 @@ SCALE = 1_000_000_000
 TOP = 50
 
 TILE_GROUPS = 64
-TILE_TERMS = 16_384
+TILE_TERMS = 2048
 LEAF = 32
 
 SLICE_BYTES = 4 << 20

@@ -1,6 +1,9 @@
 """Language identification against a plain version and on pages of known language."""
 
 import math
+import random
+import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -10,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tracewarden.llm import language_id as li
 
+HIDDEN = re.compile(rb"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+DECLARED = re.compile(rb"<html\b[^>]*?\slang\s*=\s*[\"']?\s*([a-z]{2,3})\b", re.I)
 SCHEMA = "page_id bigint, url string, html string, host int, own string, score string, text int"
 
 
@@ -23,9 +28,9 @@ def plain(pages, model, hold=li.HOLD, temper=li.TEMPER):
     n, rows = len(langs), {}
     for page, url, html in pages:
         raw = (html or "").encode()
-        grams = li.trigrams(li._HIDDEN.sub(b" ", raw))
+        grams = li.trigrams(HIDDEN.sub(b" ", raw))
         like = table[grams].sum(0) / (1 + len(grams) / temper) if len(grams) else np.zeros(n)
-        said, host = li._DECLARED.search(raw), li._HOST.match(url or "")
+        said, host = DECLARED.search(raw), li._HOST.match(url or "")
         host = host[1].lower() if host else ""
         own = np.floor(np.exp(like - like.max()) / np.exp(like - like.max()).sum() * li.UNIT + 0.5)
         rows[page] = (like - like.max(), host, said[1].decode().lower() if said else "", own)
@@ -81,3 +86,22 @@ def test_nothing(spark, model):
     docs = spark.createDataFrame([], "doc_id bigint, text string, lang string")
     assert li.fused(pages, model).count() == 0
     assert li.digest(pages, docs).count() == 0
+
+
+def test_scanner_is_the_pattern():
+    draw = random.Random(1)
+    bits = [b"<!--", b"-->", b"<script", b"</script>", b"</SCRIPT  >", b"<style>", b"</style", b">", b"<", b"<html", b" lang", b"=", b"'en'", b' "', b"de", b" ",
+            b"text", b"<p class=x>", b"\n", b"scripts", b"-", b"!"]
+    for _ in range(30_000):
+        raw = b"".join(draw.choice(bits) for _ in range(draw.randint(0, 14)))
+        assert li.visible(raw) == HIDDEN.sub(b" ", raw), raw
+        said = DECLARED.search(raw)
+        assert li.declared(raw) == (said[1].decode().lower() if said else ""), raw
+
+
+@pytest.mark.parametrize("bit", [b"<!--", b"<script>", b"<html ", b"<html lang=  ", b"</script ", b"<", b"<style <!-- ", b"<html lang = ' "])
+def test_long_markup_without_closers(bit):
+    raw = bit * (10_000_000 // len(bit))
+    start = time.process_time()
+    li.visible(raw), li.declared(raw)
+    assert time.process_time() - start < 20

@@ -4,6 +4,7 @@ import brute
 import pytest
 from compare import connect, differences
 from conftest import SF
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -22,7 +23,7 @@ def test_query(spark, con, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert "pipeline" in entry.queries()
 
 
@@ -53,3 +54,14 @@ def test_odd_and_empty_documents(spark, odd, nothing):
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             docs = stored(stage(spark, docs, SF))
             assert k == 4 or docs.columns == odd.columns
+
+
+def test_clashing_names_and_maps(spark, odd):
+    """Columns with names that the stages use, dots and maps, while ids repeat."""
+    names = ["_kept", "_found", "a.b", "key", "_best", "v0", "gone"]
+    docs = odd.drop("gone").select("*", *[F.lit(n).alias(n) for n in names], F.create_map(F.lit("k"), F.col("source")).alias("m"))
+    docs, columns = stored(docs), docs.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stored(stage(spark, docs, SF))
+        assert k == 4 or docs.columns == columns
+    assert docs.count() > 0

@@ -39,12 +39,18 @@ def one_per_id(rows: DataFrame, key: str, *values: str) -> DataFrame:
     Rows without a key are left out. Where a key is repeated, the row with the largest (values) counts, so a text is
     preferred to null. Ids are looked at first, without their texts; only repeated ones are grouped.
     """
-    rows = rows.select(F.col(key).cast("long").alias(key), *values).filter(F.col(key).isNotNull())
+    quoted = [F.col(f"`{v}`") for v in values]
+    rows = rows.select(F.col(key).cast("long").alias(key), *quoted).filter(F.col(key).isNotNull())
     again = rows.groupBy(key).agg(F.count("*").alias("_times")).filter("_times > 1").select(key)
     if again.isEmpty():
         return rows
-    best = rows.join(again, key, "left_semi").groupBy(key).agg(F.max(F.struct(*values)).alias("_best"))
-    return rows.join(again, key, "left_anti").unionByName(best.select(key, "_best.*"))
+    # Maps have no order; their texts have.
+    kinds = dict(zip(rows.columns, (f.dataType.simpleString() for f in rows.schema.fields)))
+    order = [F.to_json(F.struct(c)).alias(f"o{i}") if "map<" in kinds[v] else c.alias(f"o{i}") for i, (v, c) in enumerate(zip(values, quoted))]
+    whole = F.struct(*[c.alias(f"v{i}") for i, c in enumerate(quoted)])
+    best = rows.join(again, key, "left_semi").groupBy(key).agg(F.max_by(whole, F.struct(*order)).alias("_best"))
+    best = best.select(key, *[F.col(f"_best.v{i}").alias(v) for i, v in enumerate(values)])
+    return rows.join(again, key, "left_anti").unionByName(best)
 
 
 def text_bytes(docs: DataFrame) -> int:

@@ -13,8 +13,8 @@ do not depend on order), less the page's own, so that a page is no evidence for
 
 Null html or url count as empty: no trigrams, nothing declared, the empty host. Ties go to the language that sorts first. Rows
 without page_id are left out, and of repeated ids the row with the largest (html, url) counts. Documents without a
-language are not learnt from; without any document there is no result. An empty table gives an empty result. Other
-columns are not read.
+language are not learnt from; without any document there is no result. An empty table gives an empty result. Pages of any
+length are read in whole, in time proportional to their length. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,13 +34,61 @@ HOLD = 5
 BUCKETS = 1 << 14
 UNIT = 1_000_000
 
-_HIDDEN = re.compile(rb"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
-_DECLARED = re.compile(rb"<html\b[^>]*?\slang\s*=\s*[\"']?\s*([a-z]{2,3})\b", re.I)
+_ELEMENT = re.compile(rb"<(script|style)\b", re.I)
+_CLOSING = {name: re.compile(rb"</" + name + rb"\s*>", re.I) for name in (b"script", b"style")}
+_ROOT = re.compile(rb"<html\b", re.I)
+_LANG = re.compile(rb"\slang\s*=\s*(?:[\"']\s*)?([a-z]{2,3})\b", re.I)
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", re.I)
 # Letters in lower case, everything else one space; bytes of other alphabets count as letters.
 _FOLD = bytes(b + 0x20 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
+def visible(raw: bytes) -> bytes:
+    """A page without comments, scripts, styles and tags, each a space. What is never closed counts as a tag, and a tag that is
+    never closed as text. Linear in the page: what has no closer at one place has none further on, and is not looked for again."""
+    out, at, absent = [], 0, set()
+
+    def after(kind: bytes, place: int) -> int:
+        """The end of the next closer from ``place`` on, or -1."""
+        if kind in absent:
+            return -1
+        if kind in _CLOSING:
+            found = _CLOSING[kind].search(raw, place)
+            end = found.end() if found else -1
+        else:
+            end = raw.find(kind, place)
+            end = end + len(kind) if end >= 0 else -1
+        if end < 0:
+            absent.add(kind)
+        return end
+
+    while (start := raw.find(b"<", at)) >= 0:
+        end = -1
+        if raw.startswith(b"<!--", start):
+            end = after(b"-->", start + 4)
+        elif element := _ELEMENT.match(raw, start):
+            end = after(element[1].lower(), element.end())
+        if end < 0:
+            end = after(b">", start + 1)
+        if end < 0:
+            break  # no tag is closed from here on
+        out += [raw[at:start], b" "]
+        at = end
+    return b"".join([*out, raw[at:]])
+
+
+def declared(raw: bytes) -> str:
+    """The language that <html lang> names, or ''. Each tag is read once."""
+    at = 0
+    while root := _ROOT.search(raw, at):
+        end = raw.find(b">", root.end())
+        end = len(raw) if end < 0 else end
+        if said := _LANG.search(raw, root.end(), end):
+            return said[1].decode().lower()
+        at = end
+    return ""
+
+
 def trigrams(text: bytes) -> np.ndarray:
     """Buckets of the byte trigrams of a text, runs of other than letters as one space."""
     data = np.frombuffer(b" " + b" ".join(text.translate(_FOLD).split()) + b" ", np.uint8).astype(np.int64)
@@ -85,12 +133,12 @@ def evidence(pages: DataFrame, model: tuple[list[str], np.ndarray], temper: int
             out = []
             for page, html, url in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 raw = (html or "").encode()
-                grams = trigrams(_HIDDEN.sub(b" ", raw))
+                grams = trigrams(visible(raw))
                 like = table[grams].sum(0) / (1 + len(grams) / temper) if len(grams) else np.zeros(len(langs))
-                found, host = _DECLARED.search(raw), _HOST.match(url or "")
+                host = _HOST.match(url or "")
                 host = host[1].lower().rstrip(".") if host else ""
                 labels = host.split(".")
-                out.append((page, host, ".".join(labels[-2:]), labels[-1], found[1].decode().lower() if found else "", like - like.max()))
+                out.append((page, host, ".".join(labels[-2:]), labels[-1], declared(raw), like - like.max()))
             columns = list(zip(*out)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 

@@ -1,4 +1,9 @@
-"""From documents to a training mix: the stages of the corpus pipeline."""
+"""From documents to a training mix: the stages of the corpus pipeline.
+
+For every stage: columns that are not named below are carried, whatever their names and types. Rows without doc_id go in stage 2, where
+also one row of each repeated doc_id stays (the largest text; null only if there is no other). A null text is one without words and without
+lines; it is neither copy nor contaminated, and its size is 0. An empty table passes through all stages as an empty table.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +14,14 @@ from tracewarden.llm import decontamination, line_dedup, mixing, ngram_join, qua
 from tracewarden.llm.common import prepared, stored, table
 
 
+def _of(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``docs`` whose doc_id is (left_semi) or is not (left_anti) among ``ids``; the key's name is one that docs do not have."""
+    key = "key"
+    while key in {c.lower() for c in docs.columns}:
+        key += "_"
+    return docs.join(stored(ids.select(F.col("doc_id").alias(key))), F.col("doc_id") == F.col(key), how)
+
+
 def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it learns from all of ``docs`` and the labels."""
     prepared(spark)
@@ -25,15 +38,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component, that of its smallest doc_id; documents without words all stay."""
     prepared(spark)
-    kept = ngram_join.classes(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    return docs.join(stored(kept), F.col("doc_id") == F.col("_kept"), "left_semi")
+    return _of(docs, ngram_join.classes(docs).filter("doc_id = component_id"), "left_semi")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = decontamination.digest(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
-    found = found.select(F.col("doc_id").alias("_found"))
-    return docs.join(stored(found), F.col("doc_id") == F.col("_found"), "left_anti")
+    return _of(docs, decontamination.digest(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

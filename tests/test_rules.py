@@ -146,3 +146,14 @@ def test_pruned_names_are_those_of_the_greedy_rule(make):
                     del names[keep + 1 :]
                     want.append((name, at))
             assert sorted((r["source"], r["_at"]) for r in c._candidates(cut, sign, keep).collect()) == sorted(want)
+
+
+def test_hot_keys_counted_once(make):
+    """Keys that one count finds hot are cut in every operator; alerts stay the same."""
+    rows = make([(7 * i, ("bob", "eve", None)[i % 3], f"h{i % 4}", (4625, 4624, 1102, 4732)[i % 4]) for i in range(120)])
+    events, hot = detection.prepared(rows, 80)
+    assert {k: v and v[1] for k, v in hot.known.items()} == {
+        frozenset(["actor"]): 3, frozenset(["source"]): 4, frozenset(["actor", "source"]): None}
+    pick = ["alert_type", "actor", "source_host", "event_id", "event_ids"]
+    got = [sorted(map(str, detection.detect(rows, hot_rows=h, hosts=2).select(*pick).collect())) for h in (80, 4_000_000)]
+    assert got[0] == got[1] and got[0]

@@ -217,3 +217,12 @@ def test_alerts_without_a_time_or_of_another_day_are_stored_once(spark, tmp_path
     append_alerts(batch(("a", "1", None), ("c", "3", None)), path)
     got = sorted((r.alert_id, str(r.timestamp)[:10]) for r in spark.read.parquet(path).collect())
     assert got == [("a", "None"), ("b", "2024-01-02"), ("c", "None"), ("d", "2024-01-05")]
+
+
+def test_null_is_not_absent(spark):
+    """A required field that is there but null is repaired; only one that is not there rejects the event."""
+    lines = ['{"event_id":null,"timestamp":null,"platform":null,"source":null}', '{"event_id":"b","timestamp":"2024-01-01T00:00:00","platform":"linux"}']
+    valid, bad = v.parse_event_json(spark.createDataFrame([(x,) for x in lines], "value string"), "2024-02-01")
+    row = valid.collect()
+    assert [(r["event_id"], str(r["timestamp"]), r["platform"], r["source"]) for r in row] == [(None, "2024-02-01 00:00:00", "unknown", "unknown")]
+    assert [r["reason"] for r in bad.collect()] == ["missing required field: source"]

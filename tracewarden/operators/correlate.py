@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.functions import fixed, predicates as p
 from tracewarden.functions.times import micros
+from tracewarden.operators.host_lists import first_hosts
 from tracewarden.operators.running import HOT_ROWS, running_totals
 from tracewarden.operators.sliding import SECOND, presence, sliding_counts, spans
 from tracewarden.operators.spacing import greedy_spacing
@@ -504,8 +505,8 @@ def finalise(
 ) -> DataFrame:
     """Give each surviving alert its id, status, evidence and complete texts. Events need ids, see ``identified``.
 
-    ``distinct_hosts`` has the first ``shown_hosts`` names, beside the exact number in the metadata; ``alert_hosts`` and
-    ``recent_hosts`` give all as a table.
+    ``distinct_hosts`` has the first ``shown_hosts`` names, beside the exact number in the metadata (``first_hosts``);
+    ``alert_hosts`` and ``recent_hosts`` give all as a table.
     """
     alerts = alerts.withColumn("alert_id", alert_key("alert_type", "actor", "source_host", "event_id"))
     trace = traced(events)
@@ -513,7 +514,7 @@ def finalise(
     lateral = alerts.filter("stage = %d" % STAGE["lateral_movement"])
     rows = presence(trace.filter("auth").select("actor", "source", "_us", "event_id", "auth"), "actor", "source", window_s,
                     F.col("auth"), hot_rows)
-    hosts = alert_hosts(lateral, spans(rows, "actor", "source"), window_s)
+    hosts = first_hosts(lateral, spans(rows, "actor", "source"), shown_hosts, hot_rows)
     recent = alerts.filter("stage = %d" % STAGE["entity_lateral"])
     hosts = hosts.unionByName(recent_hosts(recent, events, window_s, hot_rows=hot_rows))
     hosts = first_names(hosts.withColumnRenamed("host", "name"), "distinct_hosts", shown_hosts)

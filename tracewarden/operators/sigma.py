@@ -10,7 +10,7 @@ import ipaddress
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import cached_property, reduce
 from pathlib import Path
 
 import pandas as pd
@@ -21,28 +21,18 @@ from pyspark.sql import functions as F
 from tracewarden.functions import fixed
 from tracewarden.functions.text import payload_kv
 from tracewarden.operators.correlate import CANDIDATE, STAGE, proof
-from tracewarden.schema import EVENT_COLUMNS
+from tracewarden.operators.rule_tests import TESTS, RuleError, check_regex, field_columns, wildcard_regex
 
 BUILTIN = Path(__file__).parent.parent / "resources" / "builtin_rules.yml"
 RULES_PER_COLUMN = 100
 LOWERED = "_payload"  # lower(raw_payload), computed once per event
 
 
-class RuleError(ValueError):
-    """A rule that cannot be compiled; the message says why."""
-
-
 # ---- Fields and values ----
 
 def compile_field(name: str) -> Column:
     """Text value of a rule field: mapped column, else event column, else ``name=value`` inside the payload."""
-    tries = []
-    if name in fixed.SIGMA_FIELDS:
-        tries.append(F.col(fixed.SIGMA_FIELDS[name]).cast("string"))
-    if name in EVENT_COLUMNS and fixed.SIGMA_FIELDS.get(name) != name:
-        tries.append(F.col(name).cast("string"))
-    tries.append(payload_kv(F.col("raw_payload"), name))
-    return F.coalesce(*tries)
+    return F.coalesce(*[F.col(c).cast("string") for c in field_columns(name)], payload_kv(F.col("raw_payload"), name))
 
 
 def _lowered(name: str) -> Column:
@@ -63,37 +53,6 @@ def _all(conds: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conds, F.lit(True))
 
 
-def wildcard_regex(text: str) -> str:
-    """``*``, ``?`` and ``[...]`` over the whole value as a Java regular expression."""
-    out, i = [], 0
-    while i < len(text):
-        ch = text[i]
-        close = text.find("]", i + 2) if ch == "[" else -1
-        if ch == "*":
-            out.append(".*")
-        elif ch == "?":
-            out.append(".")
-        elif close > 0:
-            inside = text[i + 1:close].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
-            out.append("[" + ("^" + inside[1:] if inside.startswith("!") else re.sub(r"^\^", r"\\^", inside)) + "]")
-            i = close
-        else:
-            out.append(re.escape(ch))
-        i += 1
-    return "(?s)^" + "".join(out) + "$"
-
-
-def _check_regex(pattern: str) -> str:
-    """Reject what the JVM dialect lacks, with a message at load time."""
-    try:
-        re.compile(pattern)
-    except re.error as ex:
-        raise RuleError(f"invalid regular expression {pattern!r}: {ex}") from ex
-    if "(?P<" in pattern or "(?P=" in pattern or "(?(" in pattern:
-        raise RuleError(f"unsupported regular expression construct in {pattern!r}")
-    return pattern
-
-
 def _cidr(name: str, text: str) -> Column:
     """Address after the last '@' inside a network; IPv4 stays in the JVM, IPv6 uses a vectorised helper."""
     try:
@@ -129,7 +88,7 @@ def match_value(name: str, value, modifiers: Sequence[str]) -> Column:
     if "cidr" in modifiers:
         return _cidr(name, text)
     if "re" in modifiers:
-        return _sure(compile_field(name).rlike("(?i)" + _check_regex(text)))
+        return _sure(compile_field(name).rlike("(?i)" + check_regex(text)))
     c, low = _lowered(name), text.lower()
     for modifier, test in (("contains", c.contains), ("startswith", c.startswith), ("endswith", c.endswith)):
         if modifier in modifiers:
@@ -141,25 +100,48 @@ def match_value(name: str, value, modifiers: Sequence[str]) -> Column:
     return _sure(c == low)
 
 
-def match_field(key: str, value) -> Column:
+class Columns:
+    """What detections are compiled to. ``rule_index`` has another form of the same, whose tests are data."""
+
+    all = staticmethod(_all)
+    any = staticmethod(_any)
+    value = staticmethod(match_value)
+
+    def keyword(self, word: str) -> Column:
+        return _sure(F.col(LOWERED).contains(word))
+
+    def one_of(self, column: str, *values: str) -> Column:
+        return _sure(F.lower(column).isin(*values))
+
+    def negated(self, test: Column) -> Column:
+        return ~test
+
+    def at_least(self, need: int, tests: Sequence[Column]) -> Column:
+        return reduce(lambda a, b: a + b, [t.cast("int") for t in tests]) >= need
+
+
+COLUMNS = Columns()
+
+
+def match_field(key: str, value, to=COLUMNS) -> Column:
     name, *modifiers = key.split("|")
     modifiers = [m.lower() for m in modifiers]
-    tests = [match_value(name, v, modifiers) for v in (value if isinstance(value, list) else [value])]
-    return _all(tests) if "all" in modifiers else _any(tests)
+    tests = [to.value(name, v, modifiers) for v in (value if isinstance(value, list) else [value])]
+    return to.all(tests) if "all" in modifiers else to.any(tests)
 
 
-def compile_block(block) -> Column:
+def compile_block(block, to=COLUMNS) -> Column:
     """A selection: fields are ANDed; a list of selections is ORed; anything else matches nothing."""
     if isinstance(block, dict):
-        return _all([match_field(k, v) for k, v in block.items()])
+        return to.all([match_field(k, v, to) for k, v in block.items()])
     if isinstance(block, list):
-        return _any([compile_block(b) for b in block if isinstance(b, dict)])
-    return F.lit(False)
+        return to.any([compile_block(b, to) for b in block if isinstance(b, dict)])
+    return to.any([])
 
 
-def compile_keywords(words) -> Column:
+def compile_keywords(words, to=COLUMNS) -> Column:
     words = words if isinstance(words, list) else [words]
-    return _any([_sure(F.col(LOWERED).contains(str(w).lower())) for w in words])
+    return to.any([to.keyword(str(w).lower()) for w in words])
 
 
 # ---- Conditions ----
@@ -167,7 +149,7 @@ def compile_keywords(words) -> Column:
 _QUANTIFIER = re.compile(r"\b(\d+|all)\s+of\s+([\w*\-.]+)", re.I)
 
 
-def compile_condition(text: str, detection: dict) -> Column:
+def compile_condition(text: str, detection: dict, to=COLUMNS) -> Column:
     """Condition text -> Column. ``not`` binds tighter than ``and`` than ``or``, exactly as in Python, so the
     condition is rewritten to a Python expression over block numbers and read with the standard library."""
     blocks = {k: v for k, v in detection.items() if k not in ("condition", "keywords", "timeframe")}
@@ -190,9 +172,9 @@ def compile_condition(text: str, detection: dict) -> Column:
         else:
             names = [b for b in blocks if b == target]
         if not names:
-            return leaf(F.lit(False))
-        hits = reduce(lambda a, b: a + b, [compile_block(blocks[n]).cast("int") for n in names])
-        return leaf(hits >= (len(names) if need == "all" else int(need)))
+            return leaf(to.any([]))
+        hits = [compile_block(blocks[n], to) for n in names]
+        return leaf(to.at_least(len(names) if need == "all" else int(need), hits))
 
     def named(m: re.Match) -> str:
         word = m.group(0)
@@ -201,19 +183,19 @@ def compile_condition(text: str, detection: dict) -> Column:
         if word.lower() in ("and", "or", "not"):
             return f" {word.lower()} "
         if word.upper() in ("TRUE", "FALSE"):
-            return leaf(F.lit(word.upper() == "TRUE"))
+            return leaf(to.all([]) if word.upper() == "TRUE" else to.any([]))
         if word == "keywords":
-            return leaf(compile_keywords(detection.get("keywords", [])))
-        return leaf(compile_block(blocks.get(word)))
+            return leaf(compile_keywords(detection.get("keywords", []), to))
+        return leaf(compile_block(blocks.get(word), to))
 
     text = _QUANTIFIER.sub(quantified, text)
     text = re.sub(r"[()]|[^\s()]+", named, text)
 
     def fold(node) -> Column:
         if isinstance(node, ast.BoolOp):
-            return (_all if isinstance(node.op, ast.And) else _any)([fold(v) for v in node.values])
+            return (to.all if isinstance(node.op, ast.And) else to.any)([fold(v) for v in node.values])
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
-            return ~fold(node.operand)
+            return to.negated(fold(node.operand))
         if isinstance(node, ast.Name):
             return leaves[int(node.id[1:])]
         raise RuleError("unsupported condition")
@@ -224,22 +206,21 @@ def compile_condition(text: str, detection: dict) -> Column:
         raise RuleError(f"cannot read condition: {ex.msg}") from ex
 
 
-def compile_logsource(source: dict) -> Column:
+def compile_logsource(source: dict, to=COLUMNS) -> Column:
     """Cheap test of platform and type, placed before the condition."""
     product, category, service = (str(source.get(k) or "").lower() for k in ("product", "category", "service"))
-    platform, kind = F.lower("platform"), F.lower("event_type")
     tests = []
     if product in ("windows", "linux"):
-        tests.append(platform == product)
+        tests.append(to.one_of("platform", product))
     if category in ("process_creation", "process_access"):
-        tests.append(kind == "process")
+        tests.append(to.one_of("event_type", "process"))
     if category in ("network_connection", "network_traffic"):
-        tests.append(kind == "network")
+        tests.append(to.one_of("event_type", "network"))
     if service in ("security", "system"):
-        tests.append(platform == "windows")
+        tests.append(to.one_of("platform", "windows"))
     if service in ("syslog", "auth"):
-        tests.append(platform.isin("linux", "network"))
-    return _sure(_all(tests))
+        tests.append(to.one_of("platform", "linux", "network"))
+    return to.all(tests)
 
 
 # ---- Rules and packs ----
@@ -257,7 +238,17 @@ class Rule:
     score: int
     technique: str
     tactic: str
-    condition: Column = field(compare=False, repr=False)
+    raw: dict = field(compare=False, repr=False)
+
+    def compiled(self, to):
+        """Log source and condition in the form of ``to``."""
+        detection = self.raw["detection"]
+        condition = compile_condition(str(detection.get("condition", "selection")).strip(), detection, to)
+        return to.all([compile_logsource(self.raw.get("logsource") or {}, to), condition])
+
+    @cached_property
+    def condition(self) -> Column:
+        return self.compiled(COLUMNS)
 
 
 def compile_rule(raw, file_path: str = "imported") -> Rule:
@@ -277,8 +268,7 @@ def compile_rule(raw, file_path: str = "imported") -> Rule:
             technique = found.group(1).upper()
         elif tag.startswith("attack.") and not re.match(r"attack\.t\d", tag, re.I):
             tactic = tag[len("attack."):].replace("_", "-")
-    condition = compile_condition(str(detection.get("condition", "selection")).strip(), detection)
-    return Rule(
+    rule = Rule(
         rule_id=str(raw.get("id") or "rule-" + re.sub(r"\W+", "-", str(raw["title"]).lower())),
         title=str(raw["title"]),
         description=str(raw.get("description") or f"Sigma rule matched: {raw['title']}"),
@@ -290,8 +280,10 @@ def compile_rule(raw, file_path: str = "imported") -> Rule:
         score=score,
         technique=technique,
         tactic=tactic,
-        condition=compile_logsource(raw.get("logsource") or {}) & condition,
+        raw=raw,
     )
+    rule.compiled(TESTS)  # a rule that cannot be compiled fails here
+    return rule
 
 
 @dataclass(frozen=True)
@@ -358,9 +350,9 @@ def rule_matches(events: DataFrame, pack: RulePack) -> DataFrame:
     return df.withColumn("_rule", F.explode(F.concat(*groups))).drop(LOWERED, *groups)
 
 
-def sigma_match(events: DataFrame, pack: RulePack) -> DataFrame:
-    """Candidate alerts of every rule on every event."""
-    hits = rule_matches(
+def sigma_match(events: DataFrame, pack: RulePack, matches=rule_matches) -> DataFrame:
+    """Candidate alerts of every rule on every event. For packs of thousands of rules, ``matches`` is ``rule_index.indexed_matches``."""
+    hits = matches(
         events.select("event_id", "timestamp", "platform", "source", "actor", "target", "event_type", "severity",
                       "raw_event_id", "description", "raw_payload", "mitre_technique", "mitre_tactic"), pack
     ).select("event_id", "timestamp", "source", "actor", "target", "_rule")

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewarden.functions import fixed, predicates as p, text, times
-from tracewarden.operators import cases, correlate, entities, narrative, normalize, reports, search, sigma, validate
+from tracewarden.operators import cases, correlate, entities, narrative, normalize, reports, rule_versions, search, sigma, validate
+from tracewarden.operators.rule_index import indexed_matches
 from tracewarden.plans import detection
 from tracewarden.plans.adapter import load, load_events
 from tracewarden.plans.oracles import NARRATIVE_ROWS, SIGMA, entity_type, risk_label, with_ctes
@@ -1139,3 +1140,62 @@ def _(ev):
 def _(ev):
     pack = sigma.RulePack.builtin().without("builtin-004").without("builtin-010")
     return sigma.sigma_match(ev, pack).groupBy("sigma_rule_id").agg(F.count("*").alias("matches"))
+
+
+# A pack of about 2,400 rules: a value of two fields, or a text of the payload, and some that match nothing.
+@events_query("sigma_indexed", with_ctes("""SELECT concat('pair-', raw_event_id, '-', source) AS sigma_rule_id, event_id FROM u
+ UNION ALL SELECT concat('text-', json_extract_string(raw_payload, '$.k')), event_id FROM u
+ UNION ALL SELECT concat('not-', source), event_id FROM u WHERE raw_event_id = 4625 AND NOT (starts_with(actor, 'svc_') OR platform = 'linux')""", "u"))
+def _(ev):
+    rules = [(f"pair-{i}-host-{h}", {"sel": {"EventID": i, "Computer": f"HOST-{h}"}, "condition": "sel"})
+             for i in fixed.WINDOWS_EVENTS for h in range(20)]
+    rules += [(f"text-{k}", {"keywords": [f'"k": {k}}}'], "condition": "keywords"}) for k in range(1000)]
+    rules += [(f"not-host-{h}", {"sel": {"Computer": f"host-{h}", "EventID": 4625}, "a": {"SubjectUserName|startswith": "svc_"},
+                                 "b": {"Platform": "linux"}, "condition": "sel and not (a or b)"})
+              for h in range(20)]
+    pack = sigma.RulePack(tuple(sigma.compile_rule({"id": i, "title": i, "detection": d}) for i, d in rules))
+    return sigma.sigma_match(ev, pack, indexed_matches).select("sigma_rule_id", "event_id")
+
+
+_TEXT = "id: {0}\ntitle: {0} {1}\ndescription: about {1}\nlevel: {2}\ndetection: {{sel: {{EventID: {3}}}, condition: sel}}"
+_FIRST = [  # rules of the first day, and what happened to them then
+    rule_versions.imported(_TEXT.format("cleared", "v1", "high", 1102), "2024-01-01"),
+    rule_versions.imported(_TEXT.format("groups", "v1", "low", "[4732, 4728]"), "2024-01-01"),
+    rule_versions.imported(_TEXT.format("logons", "v1", "low", 4624), "2024-01-01"),
+    rule_versions.disabled("groups", "2024-01-10 12:00:00"),
+]
+_LATER = [
+    rule_versions.imported(_TEXT.format("cleared", "v2", "critical", "[1102, 4720]"), "2024-01-15"),
+    rule_versions.disabled("logons", "2024-01-05"),
+    rule_versions.enabled("logons", "2024-01-20"),
+    rule_versions.imported(_TEXT.format("shares", "v1", "medium", 5140), "2024-01-12 06:30:00"),
+]
+_VALID_SQL = """SELECT rule_id AS sigma_rule_id, v AS title, level, u.event_id, u.timestamp FROM u JOIN (VALUES
+  ('cleared', 'v1', 'high', [1102], TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-15'), ('cleared', 'v2', 'critical', [1102, 4720], '2024-01-15', '9999-01-01'),
+  ('groups', 'v1', 'low', [4732, 4728], '2024-01-01', '2024-01-10 12:00:00'), ('logons', 'v1', 'low', [4624], '2024-01-01', '2024-01-05'),
+  ('logons', 'v1', 'low', [4624], '2024-01-20', '9999-01-01'), ('shares', 'v1', 'medium', [5140], '2024-01-12 06:30:00', '9999-01-01')
+ ) r(rule_id, v, level, ids, since, until) ON list_contains(ids, raw_event_id) AND timestamp >= since AND timestamp < until"""
+
+
+def _history(spark: SparkSession) -> rule_versions.RuleHistory:
+    path = scratch_folder(spark)
+    for batch, changes in enumerate((_FIRST, _LATER, _LATER)):  # the last one is a repeated run
+        rule_versions.append_changes(spark, path, changes, min(batch, 1))
+    return rule_versions.RuleHistory.of(rule_versions.read_changes(spark, path))
+
+
+@events_query("sigma_versions", with_ctes(
+    f"SELECT sigma_rule_id, concat(sigma_rule_id, ' ', title) AS title, upper(level) AS severity, event_id FROM ({_VALID_SQL})", "u"))
+def _(ev):
+    return _history(ev.sparkSession).alerts(ev).select("sigma_rule_id", "title", "severity", "event_id")
+
+
+@events_query("rule_list", with_ctes(f"""SELECT r.*, coalesce(match_count, 0) AS match_count, last_matched FROM (VALUES
+  ('cleared', 2, 'cleared v2', 'about v1', 'critical', true, TIMESTAMP '2024-01-15'), ('groups', 2, 'groups v1', 'about v1', 'low', false, '2024-01-10 12:00:00'),
+  ('logons', 2, 'logons v1', 'about v1', 'low', false, '2024-01-05'), ('shares', 1, 'shares v1', 'about v1', 'medium', true, '2024-01-12 06:30:00')
+ ) r(rule_id, version, title, description, level, is_active, loaded_at) LEFT JOIN (SELECT sigma_rule_id, count(*) AS match_count, max(timestamp) AS last_matched
+  FROM ({_VALID_SQL}) WHERE timestamp <= TIMESTAMP '2024-01-18' GROUP BY 1) ON sigma_rule_id = rule_id""", "u"))
+def _(ev):
+    history = _history(ev.sparkSession)
+    return rule_versions.list_rules(history, history.alerts(ev), "2024-01-18", active_only=False).select(
+        "rule_id", "version", "title", "description", "level", "is_active", "loaded_at", "match_count", "last_matched")

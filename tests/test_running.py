@@ -194,3 +194,46 @@ def test_known_sources_ignore_events_without_a_time(spark, make):
     alerts = events.withColumn("alert_id", F.col("event_id")).withColumn("source_host", F.col("source"))
     got = {r.alert_id: r.known_sources for r in c.known_sources(alerts, events, 600).collect()}
     assert got == {"e0001": ["s0"], "e0002": ["s0", "s1"], "e0003": ["s0", "s1", "s2"]}
+
+
+def _greedy(moments, gap):
+    kept, last = set(), None
+    for at in sorted(moments):
+        if last is None or at - last >= gap:
+            kept.add(at)
+            last = at
+    return kept
+
+
+def test_cooldown_of_chains_brute_force(spark, make):
+    """Chains of close alerts, two alerts of one moment, and alerts without a time, with keys in one task and in pieces."""
+    rnd = random.Random(8)
+    rows = [(rnd.choice([rnd.randrange(400), rnd.randrange(5_000)]), rnd.choice(["ann", "bob", None]), rnd.choice(["h1", "h2"]), 1102)
+            for _ in range(400)]
+    events = make(rows)
+    untimed = make([(0, "ann", "h1", 1102), (1, "ann", "h1", 1102)]).withColumns(
+        {"timestamp": F.lit(None).cast("timestamp"), "event_id": F.concat(F.lit("n"), "event_id")})
+    found = c.audit_log_cleared(events.unionByName(untimed))
+    want = {(actor, host, at) for actor in ("ann", "bob", None) for host in ("h1", "h2")
+            for at in _greedy({r[0] for r in rows if r[1] == actor and r[2] == host}, 60)}
+    first = {}
+    for i, (at, actor, host, _) in enumerate(rows):
+        first.setdefault((actor, host, at), f"e{i:04d}")
+    for hot in (4_000_000, 20):
+        kept = c.cooldown(found, 60, hot).select(
+            "actor", "source_host", "event_id", (F.unix_timestamp("timestamp") - F.lit(1705320000)).alias("at")).collect()
+        timed = [r for r in kept if r.at is not None]
+        assert {(r.actor, r.source_host, r.at) for r in timed} == want and len(timed) == len(want)
+        assert all(first[r.actor, r.source_host, r.at] == r.event_id for r in timed)
+        assert [r.event_id for r in kept if r.at is None] == ["ne0000"]
+
+
+def _shuffles(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_windows_of_one_actor_share_a_shuffle(make):
+    events = make([(i, "ann", f"h{i % 3}", 4624) for i in range(20)])
+    assert _shuffles(c.actor_windows(c.traced(events), 600)) == 1
+    assert _shuffles(e.observations(events)) == 1
+    assert _shuffles(e.entity_lateral(events, 600, 2)) == 1

@@ -9,7 +9,7 @@ from tracewarden.functions import fixed, predicates as p
 from tracewarden.functions.text import entity_type, risk_label
 from tracewarden.functions.times import instant, micros
 from tracewarden.operators.correlate import alert_struct, emit, metadata, proof, unique_events
-from tracewarden.operators.running import HOT_ROWS, running_totals
+from tracewarden.operators.running import HOT_ROWS, placed, running_totals
 from tracewarden.operators.sliding import SECOND, recent_presence
 from tracewarden.operators.spacing import greedy_spacing
 from tracewarden.session import reliable
@@ -62,6 +62,7 @@ def observations(
         micros(F.col("timestamp")).alias("_us"), _branch().alias("branch"),
     )
     order = ["_us", "event_id"]
+    rows, hot_rows = placed(rows, "actor", hot_rows, tracked(events))
     rows = running_totals(rows, ["actor", "source"], order, {"_on_host": F.lit(1)}, hot_rows=hot_rows)
     rows = running_totals(
         rows, ["actor"], order,
@@ -183,9 +184,7 @@ def entity_lateral(
     used = events.filter("actor != 'unknown'")
     rows = used.select("event_id", "timestamp", "actor", "source", "target", "mitre_technique", "mitre_tactic",
                        micros(F.col("timestamp")).alias("_us"))
-    counted = recent_presence(rows, "actor", "source", window_s, last, hot_rows)
-    busy = counted.filter(F.col("n_hosts") >= hosts).select("actor", "event_id", "_us", "n_hosts")
-    rows = rows.join(busy, ["actor", "event_id", "_us"])
+    rows = recent_presence(rows, "actor", "source", window_s, last, hot_rows).filter((F.col("n_hosts") >= hosts) & F.col("_us").isNotNull())
     text = F.format_string(f"%s authenticated to %s distinct hosts within {window_s // 60} minutes: {{hosts}}",
                            "actor", "n_hosts")
     return emit(rows, (F.lit(True), alert_struct(

@@ -9,7 +9,7 @@ from tracewarden.operators import entities as e
 from tracewarden.operators.narrative import five_w
 from tracewarden.operators.running import HOT_ROWS, measured
 from tracewarden.operators.sigma import RulePack, sigma_match
-from tracewarden.session import reliable, written
+from tracewarden.session import written
 
 
 def candidates(
@@ -39,15 +39,14 @@ def detect(
     events: DataFrame, pack: RulePack | None = None, window_s: int = 600, cooldown_s: int = 300, hosts: int = 3,
     entity: dict | None = None, hot_rows: int = HOT_ROWS, **rules,
 ) -> DataFrame:
-    """Final alerts. Candidates and survivors are checkpointed: both feed several later steps.
+    """Final alerts. The survivors of the cooldown are written: they feed several later steps.
 
     Repeated event ids count once; events without one get an id from their content. What the detectors read is written once as a table, so the input is parsed once and each
     scan reads its own columns. The keys that windows are kept by are counted once.
     """
     events, hot_rows = prepared(c.identified(c.unique_events(events)), hot_rows)
-    found = reliable(candidates(events, pack, window_s, hosts, entity, hot_rows, **rules))
-    kept = reliable(c.cooldown(found, cooldown_s, hot_rows))
-    return c.finalise(kept, events, window_s, hot_rows)
+    found = candidates(events, pack, window_s, hosts, entity, hot_rows, **rules)
+    return c.finalise(c.cooldown(found, cooldown_s, hot_rows), events, window_s, hot_rows)
 
 
 def investigate(events: DataFrame, as_of, **options) -> DataFrame:

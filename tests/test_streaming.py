@@ -142,3 +142,50 @@ def test_live_entities_equal_batch(spark, events):
     told = live.narrated("2024-02-01")
     assert told.filter("five_w.what IS NULL OR five_w.who.summary IS NULL").count() == 0 and told.count() == live.deviations().count()
     assert live._ids("lives", "batch_id") == [4] and live._ids("lives_base", "upto") == [3]
+
+
+class _Map(dict):
+    """A map state that counts its calls."""
+
+    calls = 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self
+
+
+def test_a_bucket_of_actors_costs_two_state_calls_an_actor():
+    import pandas as pd
+
+    from tracewarden.streaming import entities as live
+
+    states = {}
+
+    class Handle:
+        def getMapState(self, name, key, value):
+            return states.setdefault(name, _Map())
+
+    life = live.ActorLife(600, 3, 100, 5, 20)
+    life.init(Handle())
+
+    def batch(rows):
+        return pd.DataFrame([dict(event_id=f"e{at:04d}", at_us=at * 1_000_000, actor=a, source=s, target=s, event_type="auth", severity=2,
+                                  description="", branch="auth_success", is_auth=True, at_hour=12, bucket=1) for at, a, s in rows])
+
+    many = live.HELD_NAMES + 30
+    few = batch([(t, a, f"h{t % 4}") for t in range(40) for a in ("ann", "bob", None)])
+    out = next(life.handleInputRows((1,), iter([few]), None))
+    assert states["lives"].calls == 6 and not states["known"].calls
+    assert out["on_host"].sum() == 12 and out["life"].notna().sum() == 3
+    out = next(life.handleInputRows((1,), iter([batch([(100 + t, "ann", f"h{t}") for t in range(many)])]), None))
+    assert out["on_host"].sum() == many - 4 and out["life"].iloc[-1]["host_count"] == many
+    out = next(life.handleInputRows((1,), iter([batch([(900 + t, "ann", f"h{t}") for t in range(many)])]), None))
+    assert not out["on_host"].any() and out["life"].iloc[-1]["events"] == 40 + 2 * many

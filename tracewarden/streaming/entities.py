@@ -1,12 +1,12 @@
 """Entity behaviour on a stream: risk after each event, the snapshot, the timeline and the deviation alerts, as events arrive.
 
 What must be known of an actor is keyed state in the state store (``transformWithState`` on RocksDB): one row of counts, the
-events of the lateral window (at most ``last``), and a map of the hosts it was seen on, which is looked up by name and never read
+events of the lateral window (at most ``last``) and its first hosts; further hosts are a map that is looked up by name and never read
 as a whole. A micro-batch costs what its own rows and actors cost, however much came before.
 
 The rows of an actor are taken in order of (time, id) inside a micro-batch, and batches as they arrive. A row that is late adds to the
 counts when it arrives: none is dropped, and no watermark is needed. Rows that come in order give what the batch operators give. Rows
-without a time count as earliest. One actor's rows of one micro-batch are held by one task; bound a batch by the trigger of the source.
+without a time count as earliest. The rows of one bucket of actors in one micro-batch are held by one task; bound a batch by the trigger of the source.
 """
 
 from __future__ import annotations
@@ -30,17 +30,28 @@ NO_TIME = -(2**62)
 # Flags of an event, by bit in the state.
 FLAGS = ["new_host_access", "audit_log_cleared", "new_service", "new_account_created", "group_membership_change",
          "scheduled_task_created", "after_hours_access", "stale_account_active", "lateral_movement", "success_after_failures"]
+BIT = {name: 1 << k for k, name in enumerate(FLAGS)}
 OWN = FLAGS[1:6]  # raised by the kind of event alone
 
 LIFE = ("first_us long, last_us long, events long, failures long, successes long, reset long, risk double, risk_us long, hours int, "
         "flags int, types array<string>, hosts array<string>, host_count long")
+LIFE_NAMES = [c.split()[0] for c in LIFE.split(", ")]
+STATE = f"{LIFE}, few array<string>, times array<long>, places array<string>"
+# Host names of an actor that are kept in its state; further ones are rows of their own, which are looked up by name.
+HELD_NAMES = 128
+# Actors are dealt into this many buckets; fixed for the life of a stream.
+BUCKETS = 4096
 SEEN = ("event_id string, _us long, actor string, source string, target string, event_type string, severity int, description string, "
         "branch string")
 OUT = f"{SEEN}, flags array<string>, run long, on_host boolean, risk_added double, risk_score double, life struct<{LIFE.replace(' ', ':').replace(',:', ',')}>"
 
 
 class ActorLife(StatefulProcessor):
-    """Adds to each event of an actor what it means for the actor; the last one of a micro-batch carries the actor's life so far."""
+    """Adds to each event of an actor what it means for the actor; the last one of a micro-batch carries the actor's life so far.
+
+    Actors are dealt into buckets, and a call takes the rows of a bucket: one read and one write of the state per actor, and one table
+    out per bucket.
+    """
 
     def __init__(self, window_s: int, hosts: int, last: int, failure_threshold: int, shown_hosts: int,
                  night_start: int = 22, night_end: int = 5, history: int = 10, stale_days: int = 90):
@@ -48,97 +59,114 @@ class ActorLife(StatefulProcessor):
         self.night_start, self.night_end, self.history, self.stale = night_start, night_end, history, stale_days * e.DAY
 
     def init(self, handle) -> None:
-        self.life = handle.getValueState("life", LIFE)
-        self.recent = handle.getValueState("recent", "us array<long>, source array<string>")
-        self.known = handle.getMapState("known", "source string", "us long")
+        # A null name has a key of its own.
+        self.lives = handle.getMapState("lives", "named boolean, actor string", STATE)
+        self.known = handle.getMapState("known", "named boolean, actor string, on_source boolean, source string", "us long")
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key, rows, timerValues):
-        rows = pd.concat(list(rows), ignore_index=True).sort_values(["at_us", "event_id"], kind="stable", ignore_index=True)
-        actor, n = key[0], len(rows)
-        (first, last, events, failures, successes, reset, risk, risk_us, hours, flags, types, hosts, host_count) = (
-            self.life.get() if self.life.exists() else (None, NO_TIME, 0, 0, 0, 0, 0.0, None, 0, 0, [], [], 0))
-        us, branch = rows["at_us"].to_numpy(np.int64), rows["branch"].to_numpy(object)
-        source, auth, hour = rows["source"].to_numpy(object), rows["is_auth"].to_numpy(bool), rows["at_hour"].to_numpy(np.int64)
-
-        # The first time on each host, by name.
-        on_host = np.zeros(n, bool)
-        new_names = []
-        for name, at in pd.Series(np.arange(n)).groupby(pd.Series(source), dropna=False).first().items():
-            named = "" if pd.isna(name) else name
-            if not self.known.containsKey((named,)):
-                self.known.updateValue((named,), (int(us[at]),))
-                on_host[at] = True
-                if not pd.isna(name) and name != "unknown":
-                    new_names.append(name)
-        hosts = sorted([*hosts, *new_names])[: self.shown]
-        host_count += len(new_names)
-
-        number = events + 1 + np.arange(n)
-        failed = failures + np.cumsum(branch == "auth_failure")
-        before = np.maximum.accumulate(np.r_[last, us[:-1]])
-        raised = {
-            "new_host_access": (branch == "auth_success") & on_host & (source != "unknown"),
-            **{k: branch == k for k in OWN},
-            "after_hours_access": auth & (number > self.history) & ((hour >= self.night_start) | (hour <= self.night_end)),
-            "stale_account_active": auth & (before > NO_TIME) & (us > NO_TIME) & (us - before >= self.stale),
-            "lateral_movement": self._lateral(actor, us, source) >= self.hosts,
-        }
-        added = np.where(branch == "auth_failure", fixed.RISK["auth_failure"], 0.0) + np.where(branch == "high_severity", fixed.RISK["high_severity"], 0.0)
-        for name, hit in raised.items():
-            added = added + np.where(hit, fixed.RISK[name], 0.0)
-        total = risk + np.cumsum(added)
-
-        # A success ends the run of failures only if it is long enough.
-        run: list = [None] * n
-        for i in np.flatnonzero((branch == "auth_success") & (failed - reset >= self.threshold)):
-            if failed[i] - reset >= self.threshold:
-                run[i], reset = int(failed[i] - reset), int(failed[i])
-                flags |= 1 << FLAGS.index("success_after_failures")
-
-        timed = us[us > NO_TIME]
-        if len(timed):
-            first = int(timed[0]) if first is None else min(first, int(timed[0]))
-        if (rises := us[(added > 0) & (us > NO_TIME)]).size:
-            risk_us = max(int(rises[-1]), NO_TIME if risk_us is None else risk_us)
-        for k, name in enumerate(raised):
-            flags |= int(raised[name].any()) << k
-        for h in np.unique(hour[hour >= 0]):
-            hours |= 1 << int(h)
-        types = sorted({*types, *rows["event_type"].dropna().unique()})
-        life = (first, int(max(last, us.max())), events + n, int(failed[-1]), successes + int((branch == "auth_success").sum()), reset,
-                float(total[-1]), risk_us, hours, flags, types, hosts, host_count)
-        self.life.update(life)
-
-        out = rows.drop(columns=["is_auth", "at_hour"]).rename(columns={"at_us": "_us"})
-        out["flags"] = [[name for name, hit in raised.items() if hit[i]] for i in range(n)]
-        out["run"], out["on_host"], out["risk_added"] = pd.array(run, "Int64"), on_host & (source != "unknown"), added
-        out["risk_score"] = np.round(np.minimum(total, fixed.RISK_CEILING), 2)
-        names = [c.split()[0] for c in LIFE.split(", ")]
-        out["life"] = [None] * (n - 1) + [dict(zip(names, life))]
-        yield out
-
-    def _lateral(self, actor, us: np.ndarray, source: np.ndarray) -> np.ndarray:
-        """Per event the distinct hosts of the actor's ``last`` events that lie in the window."""
-        out = np.zeros(len(us), np.int64)
-        if actor == "unknown":
-            return out
-        old = self.recent.get() if self.recent.exists() else ([], [])
-        held = deque(zip(*old))
-        count = Counter(held_source for _, held_source in held)
-        for i, item in enumerate(zip(us.tolist(), source.tolist())):
-            held.append(item)
-            count[item[1]] += 1
-            while len(held) > self.last or held[0][0] < item[0] - self.window:
-                gone = held.popleft()[1]
-                count[gone] -= 1
-                if not count[gone]:
-                    del count[gone]
-            out[i] = len(count)
-        self.recent.update(([t for t, _ in held], [s for _, s in held]))
-        return out
+        rows = pd.concat(list(rows), ignore_index=True)
+        rows = rows.sort_values(["actor", "at_us", "event_id"], kind="stable", ignore_index=True)
+        names = rows["actor"].astype(object).where(rows["actor"].notna(), None).to_numpy(object)
+        turn = np.r_[True, names[1:] != names[:-1]]
+        starts = np.flatnonzero(turn).tolist()
+        source = rows["source"].astype(object).where(rows["source"].notna(), None).tolist()
+        us, hour = rows["at_us"].tolist(), rows["at_hour"].tolist()
+        branch, auth, kind = rows["branch"].tolist(), rows["is_auth"].tolist(), rows["event_type"].tolist()
+        out = [], [], [], [], [], []
+        for a, b in zip(starts, [*starts[1:], len(rows)]):
+            actor = names[a]
+            named = (actor is not None, actor or "")
+            old = self.lives.getValue(named)
+            life, recent = self._lived(actor, named, old, us[a:b], hour[a:b], branch[a:b], auth[a:b], kind[a:b], source[a:b], out)
+            self.lives.updateValue(named, (*life, *recent))
+            out[5].extend([None] * (b - a - 1))
+            out[5].append(dict(zip(LIFE_NAMES, life)))
+        table = rows.drop(columns=["bucket", "is_auth", "at_hour"]).rename(columns={"at_us": "_us"})
+        table["flags"], table["run"], table["on_host"], table["risk_added"] = out[0], pd.array(out[1], "Int64"), out[2], out[3]
+        table["risk_score"] = np.round(np.minimum(out[4], fixed.RISK_CEILING), 2)
+        table["life"] = out[5]
+        yield table
+
+    def _lived(self, actor, named, old, us, hour, branch, auth, kind, source, out):
+        """The life of an actor after the given rows; what each row means goes to the lists of ``out``."""
+        (first, last, events, failures, successes, reset, risk, risk_us, hours, seen, types, hosts, host_count, few, times, places) = (
+            tuple(old) if old is not None else (None, NO_TIME, 0, 0, 0, 0, 0.0, None, 0, 0, [], [], 0, [], [], []))
+        types, few, new_names = set(types), set(few), []
+        held = deque(zip(times, places))
+        count = Counter(places)
+        all_flags, runs, on_hosts, added, scores, _ = out
+        for at, h, b, is_auth, k, host in zip(us, hour, branch, auth, kind, source):
+            on_host = self._first_time(named, host, few)
+            if on_host and host is not None and host != "unknown":
+                new_names.append(host)
+            events += 1
+            failures += b == "auth_failure"
+            successes += b == "auth_success"
+            flags = []
+            if on_host and b == "auth_success" and host != "unknown":
+                flags.append("new_host_access")
+            if b in OWN:
+                flags.append(b)
+            if is_auth and events > self.history and (h >= self.night_start or h <= self.night_end):
+                flags.append("after_hours_access")
+            if is_auth and last > NO_TIME and at > NO_TIME and at - last >= self.stale:
+                flags.append("stale_account_active")
+            if actor != "unknown":
+                held.append((at, host))
+                count[host] += 1
+                while len(held) > self.last or held[0][0] < at - self.window:
+                    gone = held.popleft()[1]
+                    count[gone] -= 1
+                    if not count[gone]:
+                        del count[gone]
+                if len(count) >= self.hosts:
+                    flags.append("lateral_movement")
+            rise = fixed.RISK["auth_failure"] if b == "auth_failure" else fixed.RISK["high_severity"] if b == "high_severity" else 0.0
+            for name in flags:
+                rise += fixed.RISK[name]
+                seen |= BIT[name]
+            risk += rise
+            run = None
+            if b == "auth_success" and failures - reset >= self.threshold:
+                # A success ends the run of failures only if it is long enough.
+                run, reset = failures - reset, failures
+                seen |= BIT["success_after_failures"]
+            last = max(last, at)
+            if at > NO_TIME:
+                first = at if first is None else min(first, at)
+                if rise > 0:
+                    risk_us = at if risk_us is None else max(at, risk_us)
+            if h >= 0:
+                hours |= 1 << h
+            if k is not None and k == k:
+                types.add(k)
+            all_flags.append(flags)
+            runs.append(run)
+            on_hosts.append(on_host and host != "unknown")
+            added.append(rise)
+            scores.append(risk)
+        if new_names:
+            hosts = sorted([*hosts, *new_names])[: self.shown]
+            host_count += len(new_names)
+        life = (first, last, events, failures, successes, reset, risk, risk_us, hours, seen, sorted(types), list(hosts), host_count)
+        return life, (sorted(few), [t for t, _ in held], [s for _, s in held])
+
+    def _first_time(self, named, host, few: set) -> bool:
+        """Whether the actor was not on ``host`` before. The first names are part of its state, the rest is looked up by name."""
+        name = "" if host is None else f"+{host}"
+        if name in few:
+            return False
+        if len(few) < HELD_NAMES:
+            few.add(name)
+            return True
+        place = (*named, host is not None, host or "")
+        if self.known.containsKey(place):
+            return False
+        self.known.updateValue(place, (0,))
+        return True
 
 
 def live_observations(
@@ -150,9 +178,9 @@ def live_observations(
     rows = e.tracked(events).select(
         "event_id", F.coalesce(micros(F.col("timestamp")), F.lit(NO_TIME)).alias("at_us"), "actor", "source", "target", "event_type", "severity",
         "description", e._branch().alias("branch"), F.coalesce(F.col("event_type") == "auth", F.lit(False)).alias("is_auth"),
-        F.coalesce(F.hour("timestamp"), F.lit(-1)).alias("at_hour"))
+        F.coalesce(F.hour("timestamp"), F.lit(-1)).alias("at_hour"), F.pmod(F.xxhash64("actor"), F.lit(BUCKETS)).alias("bucket"))
     processor = ActorLife(window_s, hosts, last, failure_threshold, shown_hosts, **hours)
-    seen = rows.groupBy("actor").transformWithStateInPandas(processor, OUT, "Append", "None")
+    seen = rows.groupBy("bucket").transformWithStateInPandas(processor, OUT, "Append", "None")
     return seen.withColumn("timestamp", F.when(F.col("_us") > NO_TIME, F.timestamp_micros("_us")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from tracewarden.operators import correlate as c
 from tracewarden.operators import entities as e
-from tracewarden.operators.narrative import five_w
+from tracewarden.operators.narrative import five_w, five_w_fields
 from tracewarden.operators.running import HOT_ROWS, measured
 from tracewarden.operators.sigma import RulePack, sigma_match
 from tracewarden.session import written
@@ -49,6 +49,7 @@ def detect(
     return c.finalise(c.cooldown(found, cooldown_s, hot_rows), events, window_s, hot_rows)
 
 
-def investigate(events: DataFrame, as_of, **options) -> DataFrame:
-    """Final alerts with their narratives."""
-    return five_w(detect(events, **options), as_of)
+def investigate(events: DataFrame, as_of, fields: dict[str, str] | None = None, **options) -> DataFrame:
+    """Final alerts with their narratives, or only with the ``fields`` of them that are named, see ``five_w_fields``."""
+    alerts = detect(events, **options)
+    return five_w(alerts, as_of) if fields is None else five_w_fields(alerts, as_of, fields)

@@ -48,3 +48,15 @@ def test_texts_are_filled_only_when_asked_for(spark):
     alerts = odd_alerts(spark)
     assert "{source_ip}" not in plan_of(five_w_fields(alerts, "2024-01-31", {"who": "who.summary", "url": "why.mitre_url"}))
     assert "{source_ip}" in plan_of(five_w_fields(alerts, "2024-01-31", {"what": "what"}))
+
+
+def test_copies_of_most_events_meet_in_one_shuffle(make):
+    rows = make([(0, "bob", "a", 4625), (1, "ann", "b", 4624), (2, "eve", "c", 4624)])
+    late = rows.filter("actor = 'bob'").withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 1 MINUTE"))
+    bare = rows.filter("actor = 'eve'").withColumn("event_id", F.lit(None).cast("string"))
+    once = c.unique_events(late.unionByName(rows).unionByName(rows).unionByName(bare).unionByName(bare))
+    assert "Join" not in plan_of(once)
+    want = [*map(tuple, rows.collect()), *[tuple(bare.first())] * 2]
+    assert sorted(map(tuple, once.select(*rows.columns).collect()), key=str) == sorted(want, key=str)
+    few = c.unique_events(rows.unionByName(late.limit(1)).unionByName(bare))  # two rows of five are repeated
+    assert few.count() == 4 and few.filter("event_id IS NULL").count() == 1

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from tracewarden.operators import correlate as c
+from tracewarden.operators import entities as e
 from tracewarden.operators.narrative import five_w, five_w_fields
+from tracewarden.operators.sliding import recent_presence
 
 
 def plan_of(df):
@@ -60,3 +62,47 @@ def test_copies_of_most_events_meet_in_one_shuffle(make):
     assert sorted(map(tuple, once.select(*rows.columns).collect()), key=str) == sorted(want, key=str)
     few = c.unique_events(rows.unionByName(late.limit(1)).unionByName(bare))  # two rows of five are repeated
     assert few.count() == 4 and few.filter("event_id IS NULL").count() == 1
+
+
+def test_lateral_risk_needs_one_shuffle_and_no_join(make):
+    rows = make([(i, f"user{i % 2}", f"h{i % 3}", 4624) for i in range(20)])
+    plan = e.risk_added(rows, 600, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_payload_of_a_test_event_is_parsed_once(events):
+    assert plan_of(events.select("actor", "source", "platform", "severity")).count("get_json_object") == 1
+    # A filter is pushed below the parsed number: once for the actor, and three ways to a number of an event.
+    assert plan_of(e.tracked(events).select("actor")).count("get_json_object") <= 5
+
+
+def test_snapshot_of_odd_rows_is_the_same_in_pieces(make):
+    rows = make([(i * 40, ("bob", "ann", "unknown", "svc_x")[i % 4], ("a", "b", "c", "unknown", "d")[i * i % 5],
+                  (4624, 4625, 4625, 1102, 4720)[i % 5], 2 + i % 7) for i in range(150)])
+    i = F.regexp_extract("event_id", "[0-9]+", 0).cast("int")
+    rows = rows.withColumns({
+        "timestamp": F.when(i % 17 != 0, F.col("timestamp")), "source": F.when(i % 13 != 0, F.col("source")),
+        "actor": F.when(i % 19 != 0, F.col("actor")), "event_id": F.when(i % 23 != 0, F.col("event_id")),
+        "event_type": F.when(i % 29 != 0, F.col("event_type")),
+    })
+    plain, split = (sorted((str(r) for r in e.entity_snapshot(rows, 600, 2, 2, shown_hosts=3, hot_rows=n).collect())) for n in (4_000_000, 30))
+    assert plain == split
+    risk = lambda n: sorted(str(r) for r in e.risk_scores(rows, n, window_s=600, hosts=2).collect())
+    assert risk(4_000_000) == risk(30)
+    bob = e.entity_snapshot(rows, 600, 2, 2, shown_hosts=3).filter("entity_id = 'bob'").first()
+    mine = rows.filter("actor = 'bob'").collect()
+    names = sorted({r["source"] for r in mine} - {None, "unknown"})
+    assert bob["event_count"] == len(mine) and bob["metadata"]["known_hosts"] == names[:3]
+    assert bob["metadata"]["known_host_count"] == len(names) and "lateral_movement" in bob["metadata"]["deviation_flags"]
+    assert bob["metadata"]["active_hours"] == sorted({r["timestamp"].hour for r in mine if r["timestamp"]})
+    assert bob["metadata"]["known_event_types"] == sorted({r["event_type"] for r in mine} - {None})
+
+
+def test_presence_of_an_item_ends_where_the_next_row_takes_over(spark):
+    """Null items are items of their own, and rows without a time are not present."""
+    rows = [("k", h, t, f"e{n:02d}") for n, (h, t) in enumerate([("a", 0), (None, 1), ("a", 2), (None, 3), ("b", 3), ("a", 4), ("c", None), ("b", 90)])]
+    df = spark.createDataFrame([(k, h, t and t * 1_000_000 if t is not None else None, i) for k, h, t, i in rows],
+                               "actor string, source string, _us long, event_id string")
+    for hot in (4_000_000, 3):
+        got = {r["event_id"]: r["n_hosts"] for r in recent_presence(df, "actor", "source", 60, 3, hot_rows=hot).collect()}
+        assert [got[i] for *_, i in rows if i != "e06"] == [1, 2, 2, 2, 3, 3, 1] and got["e06"] == 0

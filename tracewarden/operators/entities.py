@@ -9,10 +9,10 @@ from tracewarden.functions import fixed, predicates as p
 from tracewarden.functions.text import entity_type, risk_label
 from tracewarden.functions.times import instant, micros
 from tracewarden.operators.correlate import alert_struct, emit, metadata, proof, unique_events
-from tracewarden.operators.running import HOT_ROWS, placed, running_totals
-from tracewarden.operators.sliding import SECOND, recent_presence
+from tracewarden.operators.running import HOT_ROWS, Measured, placed, running_totals
+from tracewarden.operators.sliding import SECOND, nth_following, present, recent_presence
 from tracewarden.operators.spacing import greedy_spacing
-from tracewarden.session import reliable
+from tracewarden.session import reliable, written
 
 DAY = 86_400 * SECOND
 SEVERITY = {
@@ -20,6 +20,14 @@ SEVERITY = {
     "group_membership_change": "HIGH", "scheduled_task_created": "MEDIUM", "new_host_access": "MEDIUM",
     "after_hours_access": "MEDIUM", "stale_account_active": "HIGH", "success_after_failures": "HIGH",
 }
+# Flags of an event, by bit in ``marks``.
+MARKS = ["new_host_access", "audit_log_cleared", "new_service", "new_account_created", "group_membership_change",
+         "scheduled_task_created", "after_hours_access", "stale_account_active", "lateral_movement"]
+
+
+def _named(marks: Column) -> Column:
+    """The names of the flags in ``marks``."""
+    return F.array_compact(F.array(*[F.when(marks.bitwiseAND(1 << k) > 0, F.lit(n)) for k, n in enumerate(MARKS)]))
 
 
 def tracked(events: DataFrame) -> DataFrame:
@@ -57,17 +65,30 @@ def observations(
 
     ``past`` (actor, events, failures, reset, last_us) and ``pairs`` (actor, source) tell what came before ``events``,
     one row per key; see life_of."""
-    rows = tracked(events).select(
+    rows = _watched(events)
+    rows, hot_rows = placed(rows, "actor", hot_rows, tracked(events))
+    seen = _observed(rows, tracked(events), night_start, night_end, history, stale_days, hot_rows, past, pairs)
+    return seen.withColumn("flags", _named(F.col("marks"))).drop("marks")
+
+
+def _watched(events: DataFrame) -> DataFrame:
+    return tracked(events).select(
         "event_id", "timestamp", "actor", "source", "target", "event_type", "severity", "raw_event_id", "description",
         micros(F.col("timestamp")).alias("_us"), _branch().alias("branch"),
     )
+
+
+def _observed(
+    rows: DataFrame, base: DataFrame, night_start: int = 22, night_end: int = 5, history: int = 10, stale_days: int = 90,
+    hot_rows: int = HOT_ROWS, past: DataFrame | None = None, pairs: DataFrame | None = None,
+) -> DataFrame:
+    """Observations of ``rows`` (of _watched, dealt by actor), with the flags as bits of ``marks``."""
     order = ["_us", "event_id"]
-    rows, hot_rows = placed(rows, "actor", hot_rows, tracked(events))
     rows = running_totals(rows, ["actor", "source"], order, {"_on_host": F.lit(1)}, hot_rows=hot_rows)
     rows = running_totals(
         rows, ["actor"], order,
         {"event_number": F.lit(1), "failures": F.when(F.col("branch") == "auth_failure", 1)},
-        {"_last": F.col("_us")}, before=True, hot_rows=hot_rows, base=tracked(events),
+        {"_last": F.col("_us")}, before=True, hot_rows=hot_rows, base=base,
     )
     if past is not None:
         earlier = past.select("actor", F.col("events").alias("_p_events"), F.col("failures").alias("_p_failures"),
@@ -96,8 +117,8 @@ def observations(
     ).otherwise(0.0)
     for name, cond in flags.items():
         risk = risk + F.when(cond, fixed.RISK[name]).otherwise(0.0)
-    raised = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in flags.items()]), lambda x: x.isNotNull())
-    return rows.withColumns({"flags": raised, "risk_added": risk}).drop(
+    marks = sum((F.when(c, 1 << MARKS.index(n)).otherwise(0) for n, c in flags.items()), F.lit(0))
+    return rows.withColumns({"marks": marks, "risk_added": risk}).drop(
         "_on_host", "_last", "_last_before", "event_number_before", "failures_before"
     )
 
@@ -194,25 +215,42 @@ def entity_lateral(
 
 
 def with_lateral(
-    events: DataFrame, seen: DataFrame, window_s: int = 600, hosts: int = 3, hot_rows: int = HOT_ROWS, last: int = 100
-) -> DataFrame:
-    """Observations with lateral movement among their flags and in the risk they add."""
-    rows = events.filter("actor != 'unknown'").select("event_id", "actor", "source", micros(F.col("timestamp")).alias("_us"))
-    counted = recent_presence(rows, "actor", "source", window_s, last, hot_rows)
-    moved = counted.filter(F.col("n_hosts") >= hosts).select("actor", "event_id", "_us", F.lit(True).alias("_moved"))
-    return seen.join(moved, ["actor", "event_id", "_us"], "left").withColumns({
-        "flags": F.when(F.col("_moved"), F.concat("flags", F.array(F.lit("lateral_movement")))).otherwise(F.col("flags")),
+    events: DataFrame, window_s: int = 600, hosts: int = 3, hot_rows: int = HOT_ROWS, last: int = 100, **hours
+) -> tuple[DataFrame, Measured]:
+    """Observations with lateral movement among their flags (bits of ``marks``) and in the risk they add; and ``hot_rows``, measured.
+
+    What the windows need of the events is written once, so each event is parsed once. Where no actor is hot, all windows
+    share one shuffle, each row carries its observation through them, and ``last_on_host`` is true for one row of each
+    pair of actor and source. With hot actors the rows that moved are joined to their observations, so that totals over
+    pieces do not build on one another, and ``last_on_host`` is true for all.
+    """
+    rows = written(_watched(events).select("event_id", "timestamp", "actor", "source", "event_type", "branch"))
+    base = rows = rows.withColumn("_us", micros(F.col("timestamp")))
+    rows, hot_rows = placed(rows, "actor", hot_rows)
+    known, whole = F.col("actor") != "unknown", F.col("event_id").isNotNull() & F.col("_us").isNotNull()
+    if hot_rows.known[frozenset(["actor"])]:
+        seen = _observed(rows, base, hot_rows=hot_rows, **hours)
+        counted = recent_presence(base.filter(known).select("event_id", "actor", "source", "_us"), "actor", "source", window_s, last, hot_rows)
+        moved = counted.filter(F.col("n_hosts") >= hosts).select("actor", "event_id", "_us", F.lit(True).alias("_moved"))
+        seen = seen.join(moved, ["actor", "event_id", "_us"], "left").withColumns(
+            {"_moved": F.col("_moved").isNotNull(), "last_on_host": F.lit(True)})
+    else:
+        rows = nth_following(rows, ["actor", "source"], 1, hot_rows, "_next")
+        seen = nth_following(_observed(rows, base, hot_rows=hot_rows, **hours), "actor", last, hot_rows)
+        seen = present(seen.withColumn("last_on_host", F.col("_next").isNull()), "actor", "source", window_s, known, hot_rows)
+        seen = seen.withColumn("_moved", F.coalesce(known & whole & (F.col("n_hosts") >= hosts), F.lit(False))).drop("n_hosts")
+    return seen.withColumns({
+        "marks": F.when(F.col("_moved"), F.col("marks").bitwiseOR(1 << MARKS.index("lateral_movement"))).otherwise(F.col("marks")),
         "risk_added": F.col("risk_added") + F.when(F.col("_moved"), F.lit(fixed.RISK["lateral_movement"])).otherwise(0.0),
-    }).drop("_moved")
+    }).drop("_moved"), hot_rows
 
 
 def risk_added(
-    events: DataFrame, window_s: int = 600, hosts: int = 3, hot_rows: int = HOT_ROWS, seen: DataFrame | None = None,
-    last: int = 100, **hours,
+    events: DataFrame, window_s: int = 600, hosts: int = 3, hot_rows: int = HOT_ROWS, last: int = 100, **hours,
 ) -> DataFrame:
     """(actor, event_id, _us, timestamp, risk_added) per tracked event, lateral movement included."""
-    seen = observations(events, hot_rows=hot_rows, **hours) if seen is None else seen
-    return with_lateral(events, seen, window_s, hosts, hot_rows, last).select("actor", "event_id", "_us", "timestamp", "risk_added")
+    seen, _ = with_lateral(events, window_s, hosts, hot_rows, last, **hours)
+    return seen.select("actor", "event_id", "_us", "timestamp", "risk_added")
 
 
 def risk_scores(events: DataFrame, hot_rows: int = HOT_ROWS, **options) -> DataFrame:
@@ -233,25 +271,39 @@ def entity_snapshot(
     Sets stay small by construction (hours, types, flags); hosts are cut to ``shown_hosts`` names before they are
     gathered, next to their exact number; ``entity_hosts`` has all.
     """
-    events = unique_events(events)
-    seen = reliable(with_lateral(events, observations(events, hot_rows=hot_rows, **hours), window_s, hosts, hot_rows))
-    runs = success_after_failures(seen, failure_threshold, hot_rows)
-    reset = runs.groupBy("actor").agg(F.max("failures").alias("reset"))
-    life = seen.groupBy("actor").agg(
+    seen, hot_rows = with_lateral(unique_events(events), window_s, hosts, hot_rows, **hours)
+    # Only what the sums below read is written, and they read only their own columns of it.
+    seen = written(seen.select(
+        "actor", "source", "timestamp", "event_type", "branch", "failures", "marks", "risk_added", "last_on_host"))
+    ends = seen.filter((F.col("branch") == "auth_success") & (F.col("failures") >= failure_threshold)).select("actor", "failures")
+    reset = greedy_spacing(ends, ["actor"], "failures", failure_threshold, initial=0, hot_rows=hot_rows).groupBy("actor").agg(
+        F.max("failures").alias("reset"))
+    # Numbers are summed by actor and kind of event first: they need no sets, and few rows are left for the names of kinds.
+    life = seen.groupBy("actor", "event_type").agg(
         F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.count("*").alias("events"),
         F.count_if(F.col("branch") == "auth_failure").alias("failures"),
         F.count_if(F.col("branch") == "auth_success").alias("successes"),
-        F.collect_set(F.hour("timestamp")).alias("hours"), F.collect_set("event_type").alias("types"),
-        F.flatten(F.collect_set("flags")).alias("flags"), F.sum("risk_added").alias("risk"),
-        F.max(F.when(F.col("risk_added") > 0, F.col("timestamp"))).alias("risk_at"),
-    )
-    pairs = entity_hosts(seen)
+        F.bit_or(F.expr("shiftleft(1, hour(timestamp))")).alias("hours"), F.bit_or("marks").alias("marks"),
+        F.sum("risk_added").alias("risk"), F.max(F.when(F.col("risk_added") > 0, F.col("timestamp"))).alias("risk_at"),
+    ).groupBy("actor").agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("events").alias("events"),
+        F.sum("failures").alias("failures"), F.sum("successes").alias("successes"), F.bit_or("hours").alias("hours"),
+        F.collect_set("event_type").alias("types"), F.bit_or("marks").alias("marks"), F.sum("risk").alias("risk"),
+        F.max("risk_at").alias("risk_at"),
+    ).withColumns({
+        "hours": F.array_compact(F.array(*[F.when(F.col("hours").bitwiseAND(1 << h) != 0, F.lit(h)) for h in range(24)])),
+        "flags": _named(F.col("marks")),
+    }).drop("marks")
+    placed_on = seen.filter("source != 'unknown'")
+    # With hot actors more than one row of a pair says to be the last.
+    pairs = placed_on.filter("last_on_host").select("actor", "source")
+    pairs = pairs.distinct() if hot_rows.known[frozenset(["actor"])] else pairs
     w = Window.partitionBy("actor").orderBy("source")
     known = pairs.withColumn("_n", F.row_number().over(w)).groupBy("actor").agg(
         F.collect_list(F.when(F.col("_n") <= shown_hosts, F.col("source"))).alias("hosts"), F.count("*").alias("host_count"))
     ended = F.when(F.col("reset").isNotNull(), F.array(F.lit("success_after_failures"))).otherwise(F.array().cast("array<string>"))
     actors = life.join(reset, "actor", "left").join(known, "actor", "left").withColumn("flags", F.concat("flags", ended))
-    return snapshot_rows(actors, pairs.groupBy("source").agg(F.min("first_seen").alias("first_seen")))
+    return snapshot_rows(actors, placed_on.groupBy("source").agg(F.min("timestamp").alias("first_seen")))
 
 
 def entity_hosts(seen: DataFrame) -> DataFrame:
@@ -262,11 +314,11 @@ def entity_hosts(seen: DataFrame) -> DataFrame:
 def snapshot_rows(actors: DataFrame, sources: DataFrame) -> DataFrame:
     """The snapshot from what is known of each actor, and of each source (source, first_seen) anyone was seen on."""
     nothing = F.array().cast("array<string>")
-    names = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, nothing)))
+    names = lambda c: F.sort_array(F.array_distinct(F.coalesce(c, nothing)))
     meta = F.struct(
         (F.col("failures") - F.coalesce("reset", F.lit(0))).alias("auth_failures"), F.col("successes").alias("auth_successes"),
         names("hosts").alias("known_hosts"), F.coalesce("host_count", F.lit(0).cast("long")).alias("known_host_count"),
-        F.array_sort("hours").alias("active_hours"), names("flags").alias("deviation_flags"), F.array_sort("types").alias("known_event_types"),
+        F.sort_array("hours").alias("active_hours"), names("flags").alias("deviation_flags"), F.sort_array("types").alias("known_event_types"),
     )
     acting = actors.select(
         F.col("actor").alias("entity_id"), "first_seen", "last_seen", F.col("events").alias("event_count"),

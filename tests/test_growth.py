@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tracewarden.operators import correlate as c
 from tracewarden.operators import entities as e
 from tracewarden.operators.narrative import five_w, five_w_fields
+from tracewarden.operators.search import search_entities
 from tracewarden.operators.sliding import recent_presence
 
 
@@ -70,6 +71,12 @@ def test_lateral_risk_needs_one_shuffle_and_no_join(make):
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
 
 
+def test_search_of_entities_reads_only_what_was_summed(make):
+    rows = make([(i, f"user{i % 2}", f"h{i % 3}", 4624) for i in range(20)])
+    plan = plan_of(search_entities(e.entity_snapshot(rows, 600, 2), 5, search="user"))
+    assert "LogicalRDD" not in plan and "description" not in plan and "collect_set(flags" not in plan
+
+
 def test_payload_of_a_test_event_is_parsed_once(events):
     assert plan_of(events.select("actor", "source", "platform", "severity")).count("get_json_object") == 1
     # A filter is pushed below the parsed number: once for the actor, and three ways to a number of an event.

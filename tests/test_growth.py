@@ -7,6 +7,7 @@ from tracewarden.operators import entities as e
 from tracewarden.operators.narrative import five_w, five_w_fields
 from tracewarden.operators.search import search_entities
 from tracewarden.operators.sliding import recent_presence
+from tracewarden.session import written
 
 
 def plan_of(df):
@@ -83,6 +84,22 @@ def test_payload_of_a_test_event_is_parsed_once(events):
     assert plan_of(e.tracked(events).select("actor")).count("get_json_object") <= 5
 
 
+def test_events_of_the_windows_are_parsed_once(events, monkeypatch):
+    plans = []
+    monkeypatch.setattr(e, "written", lambda df: plans.append(plan_of(df)) or written(df))
+    e.risk_added(events, 600, 2)
+    assert [plan.count("get_json_object") for plan in plans] == [1]
+
+
+def test_noise_of_unknown_actors_adds_no_risk(make):
+    rows = make([(0, "unknown", "a", 1102, 2), (1, "unknown", "a", 1102, 3), (2, "bob", "a", 1102, 2), (3, "eve", "b", 1102, 2)])
+    rows = rows.unionByName(rows.limit(1).withColumns({"event_id": F.lit("n1"), "severity": F.lit(None).cast("int")}))
+    rows = rows.withColumn("actor", F.when(F.col("actor") != "eve", F.col("actor")))
+    kept = sorted(r["event_id"] for r in e.tracked(rows).collect())
+    assert kept == ["e0001", "e0002"]
+    assert sorted(r["event_id"] for r in e.risk_added(rows, 600, 2).collect()) == kept
+
+
 def test_snapshot_of_odd_rows_is_the_same_in_pieces(make):
     rows = make([(i * 40, ("bob", "ann", "unknown", "svc_x")[i % 4], ("a", "b", "c", "unknown", "d")[i * i % 5],
                   (4624, 4625, 4625, 1102, 4720)[i % 5], 2 + i % 7) for i in range(150)])

@@ -65,14 +65,14 @@ def observations(
 
     ``past`` (actor, events, failures, reset, last_us) and ``pairs`` (actor, source) tell what came before ``events``,
     one row per key; see life_of."""
-    rows = _watched(events)
+    rows = _watched(tracked(events))
     rows, hot_rows = placed(rows, "actor", hot_rows, tracked(events))
     seen = _observed(rows, tracked(events), night_start, night_end, history, stale_days, hot_rows, past, pairs)
     return seen.withColumn("flags", _named(F.col("marks"))).drop("marks")
 
 
 def _watched(events: DataFrame) -> DataFrame:
-    return tracked(events).select(
+    return events.select(
         "event_id", "timestamp", "actor", "source", "target", "event_type", "severity", "raw_event_id", "description",
         micros(F.col("timestamp")).alias("_us"), _branch().alias("branch"),
     )
@@ -219,13 +219,14 @@ def with_lateral(
 ) -> tuple[DataFrame, Measured]:
     """Observations with lateral movement among their flags (bits of ``marks``) and in the risk they add; and ``hot_rows``, measured.
 
-    What the windows need of the events is written once, so each event is parsed once. Where no actor is hot, all windows
+    What the windows need of the events is written once and filtered as it is read: a filter before the write would be pushed
+    below the parser, and each event be parsed for the filter and once more for its row. Where no actor is hot, all windows
     share one shuffle, each row carries its observation through them, and ``last_on_host`` is true for one row of each
     pair of actor and source. With hot actors the rows that moved are joined to their observations, so that totals over
     pieces do not build on one another, and ``last_on_host`` is true for all.
     """
-    rows = written(_watched(events).select("event_id", "timestamp", "actor", "source", "event_type", "branch"))
-    base = rows = rows.withColumn("_us", micros(F.col("timestamp")))
+    rows = written(_watched(events).select("event_id", "timestamp", "actor", "source", "event_type", "severity", "branch"))
+    base = rows = tracked(rows).drop("severity").withColumn("_us", micros(F.col("timestamp")))
     rows, hot_rows = placed(rows, "actor", hot_rows)
     known, whole = F.col("actor") != "unknown", F.col("event_id").isNotNull() & F.col("_us").isNotNull()
     if hot_rows.known[frozenset(["actor"])]:

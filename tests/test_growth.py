@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tracewarden import session
 from tracewarden.operators import correlate as c
 from tracewarden.operators import entities as e
 from tracewarden.operators.narrative import five_w, five_w_fields
@@ -91,6 +92,12 @@ def test_events_of_the_windows_are_parsed_once(events, monkeypatch):
     assert [plan.count("get_json_object") for plan in plans] == [1]
 
 
+def test_what_one_task_wrote_is_read_by_many(spark, monkeypatch):
+    monkeypatch.setattr(session, "FILE_ROWS", 10, raising=False)
+    back = written(spark.range(0, 35, 1, 1))
+    assert len(back.inputFiles()) == 4 and sorted(r["id"] for r in back.collect()) == list(range(35))
+
+
 def test_noise_of_unknown_actors_adds_no_risk(make):
     rows = make([(0, "unknown", "a", 1102, 2), (1, "unknown", "a", 1102, 3), (2, "bob", "a", 1102, 2), (3, "eve", "b", 1102, 2)])
     rows = rows.unionByName(rows.limit(1).withColumns({"event_id": F.lit("n1"), "severity": F.lit(None).cast("int")}))

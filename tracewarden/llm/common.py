@@ -11,6 +11,8 @@ from tracewarden.session import ensure_checkpoint_dir, reliable
 
 # Bytes of one Arrow batch that Spark hands to Python; bounds the memory of a task whatever the length of the texts.
 BATCH_BYTES = 16 << 20
+# Whether Spark removes the shuffle files of a query when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -25,11 +27,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` into the shared checkpoint folder as Parquet and read it back: lineage ends, executors may go."""
+    """Write ``df`` into the shared checkpoint folder as Parquet and read it back: lineage and its shuffle files end, executors may go."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,10 +3,11 @@
 A document's set holds the hashes of its distinct runs of five words. Documents with equal sets are one class; the class
 of a third of all documents is thus a map-side combined minimum. Between classes:
 
-* Sets are ordered by hash. Two sets with J >= t and the smaller of size m have at least f(m) = 1 + m // 20 members in
-  common among their first |X| - ceil(t|X|) + f(|X|) members (their prefixes), for any monotone f. Prefix members that
+* Members are ordered by how usual they are (``levels``), then by hash, so lines that many texts share come last. Two sets with
+  J >= t and the smaller of size m have at least f(m) = 1 + m // 20 members in common among their first
+  |X| - ceil(t|X|) + f(|X|) members (their prefixes), for any monotone f and any one order of all members. Prefix members that
   no other document has are dropped (``exchange``); a class left with fewer than f needs no more work.
-* Similar classes form a group. Its key is the lowest prefix member that is about as frequent as the class's median member or more,
+* Similar classes form a group. Its key is the first prefix member that is about as frequent as the class's median member or more,
   which copies of one text agree on: their edits are rarer, and a line that many texts share is only a few members.
 * The token-group matrix has a row (token, group) for the union of the prefixes of a group's classes, with how many have the
   token and the sizes that occur. A class is counted against the rows of its own tokens, itself left out, which bounds its overlap
@@ -23,6 +24,8 @@ repeated ids the largest text counts. An empty table gives an empty result. Othe
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -37,6 +40,8 @@ PERCENT = 80  # J >= PERCENT / 100
 SLACK = 20  # f(m) = 1 + m // SLACK
 PIVOTS = 4
 BLOCK = 500
+SLOTS = 1 << 18  # counters of how many sets have a member, by its lowest bits
+SHARES = 64  # in which the counters of all tasks are summed
 
 
 def required(n, percent: int = PERCENT):
@@ -74,19 +79,59 @@ def _sums(row: np.ndarray, prints: np.ndarray, count: int) -> tuple[np.ndarray,
 
 
 def signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc_id, n, a, b): size and 128-bit hash of each document's set."""
+    """(doc_id, n, a, b): size and 128-bit hash of each document's set. After these, without doc_id, a task's (share, counts)."""
+    names = ["doc_id", "n", "a", "b", "share", "counts"]
 
     def run(batches):
+        seen = np.zeros(SLOTS, np.int64)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for s in slices(batch.column(1), lower=True):
-                n, a, b = _sums(*shingle_sets(s, size), len(s.first) - 1)
+                row, prints = shingle_sets(s, size)
+                seen += np.bincount(slots(prints), minlength=SLOTS)
+                n, a, b = _sums(row, prints, len(s.first) - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[s.rows], pa.int64()), pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))],
-                    ["doc_id", "n", "a", "b"],
+                    [pa.array(ids[s.rows], pa.int64()), pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
+                     pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names,
                 )
+        if seen.any():
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.nulls(SHARES, pa.int64())] * 4, pa.array(range(SHARES), pa.int32()),
+                 pa.array([x.astype(np.uint32).tobytes() for x in seen.reshape(SHARES, -1)], pa.binary())], names,
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, a bigint, b bigint, share int, counts binary")
+
+
+def slots(prints: np.ndarray) -> np.ndarray:
+    return (prints & np.uint64(SLOTS - 1)).astype(np.int64)
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, a bigint, b bigint")
+def levels(counted: DataFrame) -> np.ndarray:
+    """How usual the members of each slot are, from the (share, counts) of all tasks.
+
+    Rare members are 0, those in about twice as many sets are one more. A counter holds all members of its slot: what it has above the
+    median counter is a usual member when that is beyond chance. The order of members is the same for all sets whatever the levels are,
+    so they decide how much is compared, never what is found.
+    """
+
+    def run(batches):
+        sums: dict = {}
+        for batch in batches:
+            for share, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[share] = sums.get(share, 0) + np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(sums, pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["share", "counts"]
+            )
+
+    rows = counted.select("share", "counts").repartition("share").mapInArrow(run, "share int, counts binary").collect()
+    if not rows:
+        return np.zeros(SLOTS, np.uint8)
+    sums = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows, key=lambda r: r["share"])])
+    usual = np.median(sums)
+    unit = 16 + 8 * np.sqrt(usual)
+    return np.frexp(np.maximum(sums - usual, 0) // unit)[1].astype(np.uint8)
 
 
 def prefix_length(n: np.ndarray, percent: int, slack: int) -> np.ndarray:
@@ -96,9 +141,10 @@ def prefix_length(n: np.ndarray, percent: int, slack: int) -> np.ndarray:
 def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, slack: int = SLACK, pivots: int = PIVOTS) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id): class_id is the smallest doc_id with the same set."""
     docs = one_per_id(docs, "doc_id", "text")
-    marks = stored(signatures(docs, size))
+    marked = stored(signatures(docs, size))
+    marks, usual = marked.filter("doc_id IS NOT NULL").select("doc_id", "n", "a", "b"), levels(marked.filter("doc_id IS NULL"))
     reps = marks.filter("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
-    found = links(docs, reps.select("rep", "n"), size, percent, slack, pivots)
+    found = links(docs, reps.select("rep", "n"), size, percent, slack, pivots, usual)
     same = stored(components(found, "a", "b"))
     whole = reps.join(same, reps["rep"] == same["node"], "left").select("n", "a", "b", "rep", "component")
     keep = marks.join(whole, ["n", "a", "b"], "left")
@@ -108,9 +154,10 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, slack: in
     )
 
 
-def links(docs: DataFrame, reps: DataFrame, size: int = SIZE, percent: int = PERCENT, slack: int = SLACK, pivots: int = PIVOTS) -> DataFrame:
-    """(a, b): links between class representatives that connect the same components as all links do."""
-    sets = stored(candidates(docs, reps, size, percent, slack))
+def links(docs: DataFrame, reps: DataFrame, size: int = SIZE, percent: int = PERCENT, slack: int = SLACK, pivots: int = PIVOTS,
+          usual: np.ndarray | None = None) -> DataFrame:
+    """(a, b): links between class representatives that connect the same components as all links do. ``usual``: see ``levels``."""
+    sets = stored(candidates(docs, reps, size, percent, slack, usual))
     members = grouped(sets.select("rep", "n", "prefix"), percent, slack)
     opened = stored(qualifying(members, percent, slack))
     members = members.select("rep", "grp")
@@ -197,13 +244,13 @@ def overlaps(row: np.ndarray, prints: np.ndarray, x: np.ndarray, y: np.ndarray,
 
 def grouped(sets: DataFrame, percent: int, slack: int) -> DataFrame:
     """(rep, n, grp, k, prefix): the group of each class that still shares enough, with the size of the group."""
-    tokens = sets.select("rep", "n", F.explode("prefix").alias("token"))
+    tokens = sets.select("rep", "n", F.posexplode("prefix").alias("at", "token"))
     often = stored(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"))
-    each = tokens.join(often, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    each = tokens.join(often, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "at", "token"))).alias("t"))
     each = each.filter(F.size("t") >= _need(F.col("n"), percent, slack))
     median = F.get("t", F.floor(F.size("t") / 2).cast("int"))["df"]
     usual = F.filter("t", lambda x: 2 * x["df"] >= median)
-    key = F.array_min(F.transform(usual, lambda x: x["token"]))
+    key = F.array_min(F.transform(usual, lambda x: F.struct(x["at"], x["token"])))["token"]
     rows = stored(each.select("rep", "n", key.alias("grp"), F.transform("t", lambda x: x["token"]).alias("prefix")))
     return rows.join(stored(rows.groupBy("grp").agg(F.count("*").alias("k"))), "grp")
 
@@ -264,19 +311,25 @@ def whole_sets(texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, np.concatenate(prints), np.bincount(row, minlength=len(texts))
 
 
-def candidates(docs: DataFrame, reps: DataFrame, size: int, percent: int, slack: int) -> DataFrame:
-    """(rep, n, prefix, text): classes that share enough of their prefix; ``prefix`` has only shared members."""
+def candidates(docs: DataFrame, reps: DataFrame, size: int, percent: int, slack: int, usual: np.ndarray | None = None) -> DataFrame:
+    """(rep, n, prefix, text): classes that share enough of their prefix; ``prefix`` has only shared members, in order."""
     layout = Layout.of(text_bytes(docs), 0.25)
+    sent = zlib.compress(np.zeros(SLOTS, np.uint8) if usual is None else usual)
 
-    def prefixes(s):
+    def prefixes(s, level):
         row, prints = shingle_sets(s, size)
+        rank = level[slots(prints)]
+        if rank.any():
+            order = np.lexsort((rank, row))  # stable: by hash within a level
+            prints = prints[order]
         n = np.bincount(row, minlength=len(s.first) - 1)
         place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         return row, prints, n, place < prefix_length(n, percent, slack)[row]
 
     def entries(ids, texts):
+        level = np.frombuffer(zlib.decompress(sent), np.uint8)
         for s in slices(texts, lower=True):
-            row, prints, n, early = prefixes(s)
+            row, prints, n, early = prefixes(s, level)
             _, a, b = _sums(row, prints, len(n))
             # Equal sets of a slice need to be sent once, for their smallest id.
             mine = ids[s.rows]
@@ -294,12 +347,13 @@ def candidates(docs: DataFrame, reps: DataFrame, size: int, percent: int, slack:
 
     def pick(ids, texts, told, table):
         wanted = np.array(table.column("rep").drop_null().to_pylist(), np.int64)
+        level = np.frombuffer(zlib.decompress(sent), np.uint8)
         out = []
         for s in slices(texts, lower=True):
             mine = ids[s.rows]
             if not np.isin(mine, wanted).any():
                 continue
-            row, prints, n, early = prefixes(s)
+            row, prints, n, early = prefixes(s, level)
             cuts = np.r_[0, np.cumsum(n)]
             least = 1 + required(n, percent) // slack
             for r in np.flatnonzero(np.isin(mine, wanted)):
